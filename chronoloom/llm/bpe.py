@@ -129,7 +129,7 @@ def encoder_of(path: str) -> ChunkEncoder:
 
 
 def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids (array<int>) and decoded (text) of every document; a null text counts as empty.
+    """doc_id, n_tokens, ids (array<int>) and decoded (text) of every document; a null text counts as empty.
 
     Empty texts give no ids and an empty decoded text. Repeated rows give repeated results, an
     empty table no rows; other columns are ignored. Texts are encoded whole.
@@ -147,7 +147,7 @@ def _sha(text: str) -> str:
 
 
 def _mapped(docs: DataFrame, path: str, digest: bool) -> DataFrame:
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, ids array<int>, decoded string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "doc_id long, n_tokens long, ids array<int>, decoded string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(path)
@@ -157,7 +157,7 @@ def _mapped(docs: DataFrame, path: str, digest: bool) -> DataFrame:
                 made = [pa.array([n for n, _, _ in parts], pa.int64()), pa.array([_sha(ids) for _, ids, _ in parts], pa.string()), pa.array([_sha(text) for _, _, text in parts], pa.string())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                made = [pa.array([list(map(int, ids.split())) for _, ids, _ in parts], pa.list_(pa.int32())), pa.array([text for _, _, text in parts], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "ids", "decoded"])
+                made = [pa.array([n for n, _, _ in parts], pa.int64()), pa.array([list(map(int, ids.split())) for _, ids, _ in parts], pa.list_(pa.int32())), pa.array([text for _, _, text in parts], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

@@ -139,6 +139,24 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose language can be told; ``und`` rows go. Fits on ``docs`` itself."""
+    langs, log_p = fit(docs.where(~held_out(4, 2)))
+    model = docs.sparkSession.sparkContext.broadcast(log_p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1 << 20):
+            texts = texts_of(batch)
+            good = [bool(langs) and has_letter(t) for t in texts]
+            able = [t for t, g in zip(texts, good) if g]
+            if able:
+                known = iter(mixtures(able, model.value).max(axis=1) > 0)
+                good = [g and bool(next(known)) for g in good]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, remainder: int):
     return F.crc32(F.col("doc_id").cast("string")) % modulus == remainder
 
