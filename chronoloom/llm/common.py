@@ -12,10 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
-_KEEP = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
@@ -40,25 +38,6 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class _WordHashes(dict):
-    """Word bytes to 64-bit hash; forgets everything when full, so its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KEEP:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_hashes = _WordHashes()
-
-
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that the low and high bits of sums are usable as keys."""
     x = x ^ (x >> np.uint64(30))
@@ -68,23 +47,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int) -> None:
+    if len(Spans.up) <= n:
+        size = max(2 * n, 1 << 16)
+        Spans.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _BASE))])
+        Spans.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _INVERSE))])
+
+
 class Spans:
     """Hashes of any span of a word-hash sequence in constant time (prefix polynomial, mod 2**64)."""
 
-    _up = np.ones(1, np.uint64)
-    _down = np.ones(1, np.uint64)
+    up = np.ones(1, np.uint64)
+    down = np.ones(1, np.uint64)
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
-        if len(Spans._up) <= n:
-            size = max(2 * n, 1024)
-            Spans._up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _BASE))])
-            Spans._down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _INVERSE))])
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * Spans._up[:n])])
+        _powers(n)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * Spans.up[:n])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (np.asarray(end) - np.asarray(start)).astype(np.uint64)
-        return mix((self.sums[end] - self.sums[start]) * Spans._down[start] + length)
+        return mix((self.sums[end] - self.sums[start]) * Spans.down[start] + length)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+
+
+def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and start positions of the words of a text, from one prefix sum over its bytes."""
+    raw = np.frombuffer(data, np.uint8)
+    n = len(raw)
+    _powers(n)
+    space = np.ones(n + 2, bool)
+    space[1:-1] = _SPACE[raw]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edges[0::2], edges[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * Spans.up[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * Spans.down[start] + (end - start).astype(np.uint64)), start
 
 
 def signed(x: np.ndarray) -> np.ndarray:

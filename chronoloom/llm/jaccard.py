@@ -4,10 +4,10 @@ Documents are sets of five-word shingles under the Jaccard distance. Equal sets
 The first pivots are single shingles {s}: a set is nearer than 1 to {s} only if it holds s, so
 its Voronoi regions are those of its shingles, and the window that a link may cross is its first
 n - ceil(0.8 n) + 1 shingles in one global order (very frequent shingles last): two linked sets
-share one of these. In each shared region the least class becomes the document pivot p. Regions
-of at most ``small`` classes are joined inside a task; larger ones by a star of exact distances to p,
-after which only sets beyond 0.2 from p, and those that the triangle inequality lets link to
-them, go on to the next round with new pivots. Inside a task the same recursion runs on numpy arrays.
+share one of these. In each shared region the class that meets most others becomes the document pivot
+p. Regions of at most ``small`` classes are joined inside a task. Larger ones measure a star of exact
+distances to p: the sets within 0.2 are one component, a set beyond meets those of them that the
+triangle inequality leaves in its window, and the sets beyond join recursively about new pivots.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,13 @@ _ODD = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's five-word shingles (fewer words: the whole as one)."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = hash_words(words)
+    return packed_shingles((text or "").encode("utf-8", "surrogatepass"))
+
+
+def packed_shingles(data: bytes) -> np.ndarray:
+    h, _ = hash_words(data.lower())
+    if not len(h):
+        return h
     k = min(K, len(h))
     n = len(h) - k + 1
     total = np.full(n, k, np.uint64)
@@ -46,28 +50,31 @@ def linked(inter, left, right):
 
 
 def region_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect exactly the sets that chains of links connect; distances to pivots, recursively."""
+    """Edges that connect exactly the sets that chains of links connect.
+
+    Pivots go by falling overlap with the region. A pivot meets only the sets after it that are not in
+    its component yet and that the triangle inequality about the first pivot lets link to it.
+    """
     sizes = np.array([len(s) for s in sets])
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    common = [float(counts[np.searchsorted(values, s)].mean()) for s in sets]
+    order = np.argsort(common, kind="stable")[::-1]
+    component, away = np.arange(len(sets)), np.zeros(len(sets))
     edges: list[tuple[int, int]] = []
-    regions = [np.arange(len(sets))]
-    while regions:
-        region = regions.pop()
-        if len(region) < 2:
+    for k, pivot in enumerate(order[:-1]):
+        rest = order[k + 1 :]
+        rest = rest[(component[rest] != component[pivot]) & (np.abs(away[rest] - away[pivot]) <= 0.2 + 1e-9)]
+        if not len(rest):
             continue
-        pivot, rest = region[0], region[1:]
         flat = np.concatenate([sets[i] for i in rest])
         at = np.minimum(np.searchsorted(sets[pivot], flat), sizes[pivot] - 1)
         starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
         inter = np.add.reduceat((sets[pivot][at] == flat).astype(np.int64), starts)
-        near = linked(inter, sizes[pivot], sizes[rest])
-        edges += [(int(pivot), int(i)) for i in rest[near]]
-        if near.all():
-            continue
-        distance = 1 - inter / (sizes[pivot] + sizes[rest] - inter)
-        keep = ~near | (distance >= distance[~near].min() - 0.2 - 1e-9)
-        order = np.argsort(distance[keep], kind="stable")[::-1]
-        ordered, away = rest[keep][order], distance[keep][order]
-        regions += np.split(ordered, np.flatnonzero(away[:-1] - away[1:] > 0.2 + 1e-9) + 1)
+        if k == 0:
+            away[rest] = 1 - inter / (sizes[pivot] + sizes[rest] - inter)
+        near = rest[linked(inter, sizes[pivot], sizes[rest])]
+        edges += [(int(pivot), int(i)) for i in near]
+        component[np.isin(component, component[near])] = component[pivot]
     return edges
 
 
@@ -126,30 +133,62 @@ def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, cls long")
 
 
+def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of shared regions, each cut by set size: linked sets differ in size by a quarter at most.
+
+    That is the triangle inequality about the empty set. Sizes fall into bands of a factor 1.25, and every
+    row goes to its own band and, as a replica across the boundary, to the next.
+    """
+    blocks = rows.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last").select("key")
+    shared = rows.join(blocks, "key").distinct().join(sizes, "cls")
+    band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
+    return written(shared.select("key", "cls", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("key", "band").alias("key"), "cls"))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """(rep, packed): texts compressed in the task, since members of several regions move several times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in small_batches(batches, 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts_of(batch)], pa.binary())], ["rep", "packed"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "rep long, packed binary")
+
+
 def _regions(rows: DataFrame) -> DataFrame:
-    """(key, cls, p) for the rows of regions that at least two classes share; p: the least class."""
-    blocks = rows.groupBy("key").agg(F.min("cls").alias("p"), F.max("cls").alias("last")).where("p <> last").select("key", "p")
-    return rows.join(blocks, "key")
+    """(key, cls, p) for the rows of regions that at least two classes share.
+
+    p is the class of the region that meets most others in its regions: the middle of a group of
+    near copies rather than its edge.
+    """
+    blocks = rows.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last").select("key")
+    shared = written(rows.join(blocks, "key").distinct())
+    sizes = shared.groupBy("key").agg(F.count("*").alias("c"))
+    met = shared.join(sizes, "key").groupBy("cls").agg(F.sum("c").alias("met"))
+    pivots = shared.join(met, "cls").groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top")).select("key", F.col("top.cls").alias("p"))
+    return written(shared.join(pivots, "key"))
 
 
 def _joined_regions(members: DataFrame) -> DataFrame:
-    """Links (u, v) inside small regions: members (p, rep, text), each region whole in one task."""
+    """Links (u, v) inside small regions: members (p, rep, packed), each region whole in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, reps, sets = None, [], []
+        open_ = zstandard.ZstdDecompressor().decompress
 
         def close() -> pa.RecordBatch:
             edges = region_links(sets)
             return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in edges], pa.int64()), pa.array([reps[j] for _, j in edges], pa.int64())], ["u", "v"])
 
         for batch in small_batches(batches, 4 << 20):
-            for p, rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch)):
+            for p, rep, packed in zip(*[batch.column(k).to_pylist() for k in range(3)]):
                 if p != now:
                     if len(sets) > 1:
                         yield close()
                     now, reps, sets = p, [], []
                 reps.append(rep)
-                sets.append(shingles(text))
+                sets.append(packed_shingles(open_(packed)))
         if len(sets) > 1:
             yield close()
 
@@ -174,7 +213,7 @@ def _distances(pairs: DataFrame) -> DataFrame:
     return pairs.select("p", "cls", "text", "pivot_text").mapInArrow(run, "p long, cls long, inter long, left long, right long")
 
 
-def jaccard_links(docs: DataFrame, small: int = 200, frequent: int = 16_384) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, small: int = 600, frequent: int = 16_384) -> tuple[DataFrame, DataFrame]:
     """(classes, links): a row (doc_id, n, a, b, rep) for each document, and links (u, v) between reps."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = _classes(docs)
@@ -183,9 +222,15 @@ def jaccard_links(docs: DataFrame, small: int = 200, frequent: int = 16_384) ->
     hot = np.array([r.a for r in reversed(often)], np.int64).view(np.uint64)
     sets = found.where("kind = 0").drop("kind")
     reps = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
-    rows, near, stars, texts = _regions(_keys(docs, hot)), [], [], None
-    rows = rows.groupBy("p", "cls", "key").agg(F.lit(1).alias("one")).drop("one")
-    rows = written(rows)
+    sizes = reps.select(F.col("a").alias("cls"), "n")
+    rows, near, stars, texts = _regions(_sized(_keys(docs, hot), sizes)), [], [], None
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        """Exact distances of pairs (p, cls) of classes of large regions."""
+        both = pairs.join(texts.select("cls", "text"), "cls").join(texts.select(F.col("cls").alias("p"), F.col("text").alias("pivot_text")), "p")
+        distance = 1 - F.col("inter") / (F.col("left") + F.col("right") - F.col("inter"))
+        return written(_distances(both).withColumn("near", linked(F.col("inter"), F.col("left"), F.col("right"))).withColumn("d", distance))
+
     while True:
         members = rows.select("p", "cls").distinct()
         sizes = written(members.groupBy("p").agg(F.count("*").alias("size")))
@@ -196,15 +241,18 @@ def jaccard_links(docs: DataFrame, small: int = 200, frequent: int = 16_384) ->
         if texts is None:  # later rounds only hold classes of this one
             wanted = large.select(F.col("cls").alias("a")).distinct().join(reps, "a").select(F.col("a").alias("cls"), "rep")
             texts = written(wanted.join(docs.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "rep"))
-        pairs = large.select("p", "cls").distinct().where("p <> cls").join(texts.select("cls", "text"), "cls").join(texts.select(F.col("cls").alias("p"), F.col("text").alias("pivot_text")), "p")
-        measured = written(_distances(pairs).withColumn("near", linked(F.col("inter"), F.col("left"), F.col("right"))).withColumn("d", 1 - F.col("inter") / (F.col("left") + F.col("right") - F.col("inter"))))
-        stars.append(measured.where("near").select("p", "cls"))
-        far = measured.where("NOT near").groupBy("p").agg((F.min("d") - 0.2 - 1e-9).alias("edge"))
-        goes_on = measured.join(far, "p").where("NOT near OR d >= edge").select("p", "cls")
-        rows = written(_regions(large.join(goes_on, ["p", "cls"]).select("key", "cls")))
+        star = measured(large.select("p", "cls").distinct().where("p <> cls"))
+        stars.append(star.where("near").select("p", "cls"))
+        # sets near p are one component; a far set may link to those of them in its window ...
+        far = star.where("NOT near").select(F.col("p").alias("at"), F.col("cls").alias("p"), F.col("d").alias("far"))
+        window = (F.col("at") == F.col("q")) & (F.abs(F.col("d") - F.col("far")) <= 0.2 + 1e-9)
+        cross = star.where("near").select(F.col("p").alias("q"), "cls", "d").join(far, window).select("p", "cls").distinct()
+        stars.append(measured(cross).where("near").select("p", "cls"))
+        # ... and to other far sets, which go on with new pivots
+        rows = _regions(large.join(star.where("NOT near").select("p", "cls"), ["p", "cls"]).select("key", "cls"))
     members = reduce(DataFrame.union, near).distinct()
     named = members.join(reps.select(F.col("a").alias("cls"), "rep"), "cls").select("p", "rep")
-    whole = docs.withColumnRenamed("doc_id", "rep").join(named, "rep").select("p", "rep", "text")
+    whole = _packed(docs).join(named, "rep").select("p", "rep", "packed")
     links = _joined_regions(whole)
     for star in stars:
         ids = reps.select(F.col("a").alias("cls"), "rep")

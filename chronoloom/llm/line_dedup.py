@@ -32,10 +32,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("id", F.lit(LAST)).alias("doc_id"), F.hash("text").alias("th"), "text")
 
 
-def split_lines(text: str) -> list[list[bytes]]:
-    return [line.split() for line in text.encode("utf-8", "surrogatepass").split(b"\n")]
-
-
 def half_keys(spans: Spans, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
     """Keys of a line's halves: first and last as of its own length, then as of a line one word longer."""
     out = []
@@ -52,12 +48,16 @@ def _lines(keyed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
             ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lists = [split_lines(t) for t in texts_of(batch)]
-            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-            number = np.concatenate([np.arange(len(x)) for x in lists])
-            n = np.array([len(w) for x in lists for w in x])
-            hashes = hash_words([w for x in lists for line in x for w in line])
-            start = np.cumsum(n) - n
+            texts = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts_of(batch)]
+            data = b"".join(texts)
+            ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+            tops = np.cumsum([0, *map(len, texts)])
+            owner = np.searchsorted(tops, ends, side="right") - 1
+            number = np.arange(len(ends)) - np.searchsorted(ends, tops[owner])
+            hashes, at = hash_words(data)
+            until = np.searchsorted(at, ends)
+            start = np.concatenate([[0], until[:-1]])
+            n = until - start
             some = n > 0
             owner, number, n, start = owner[some], number[some], n[some], start[some]
             first, second = Spans(hashes), Spans(hashes ^ _SALT)
@@ -78,7 +78,7 @@ def variant_keys(hashes: np.ndarray, shared: int) -> list[tuple[int, np.ndarray]
     """
     n = len(hashes)
     powers = Spans(hashes)
-    sums, unit = powers.sums, Spans._down[1]
+    sums, unit = powers.sums, Spans.down[1]
     j = np.arange(n)
     without = sums[j] + (sums[n] - sums[j + 1]) * unit
     out = []
@@ -112,7 +112,7 @@ def _variants(asked: DataFrame, keyed: DataFrame) -> DataFrame:
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                 for w in wanted:
                     line = lines[w["line_no"]]
-                    made = variant_keys(hash_words(line.split()), w["shared"])
+                    made = variant_keys(hash_words(line)[0], w["shared"])
                     kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k in made])
                     rows.append((doc, w["line_no"], line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
             types = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))

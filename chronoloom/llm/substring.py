@@ -29,6 +29,10 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
+def _hashed(text: str | None) -> np.ndarray:
+    return hash_words((text or "").encode("utf-8", "surrogatepass"))[0]
+
+
 def regions(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM):
     """(anchor, start, n_windows, region hash) arrays of the regions of one document."""
     n = len(hashes) - window + 1
@@ -63,7 +67,7 @@ def _occurrences(keyed: DataFrame) -> DataFrame:
         for batch in small_batches(batches, 2 << 20):
             ids, ths, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
             for i, text in enumerate(texts_of(batch)):
-                if (found := regions(hash_words(_words(text)))) is not None:
+                if (found := regions(_hashed(text))) is not None:
                     parts.append((i, *found))
             if parts:
                 rows = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
@@ -81,7 +85,7 @@ def _contents(asked: DataFrame, keyed: DataFrame) -> DataFrame:
         for batch in small_batches(batches, 2 << 20):
             out: dict[str, list] = {k: [] for k in (*fields, "words", "windows")}
             for text, wanted in zip(texts_of(batch), batch.column(1).to_pylist()):
-                hashes = hash_words(_words(text))
+                hashes = _hashed(text)
                 spans = Spans(hashes)
                 for w in wanted:
                     s, n = w["start"], w["n"]

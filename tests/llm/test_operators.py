@@ -185,7 +185,7 @@ def test_decontamination(spark):
     assert decontaminate.contained_items(frame(spark, texts).limit(0), bench).count() == 0
 
 
-@pytest.mark.parametrize("small", [4, 200])
+@pytest.mark.parametrize("small", [100, 600])
 def test_jaccard(spark, corpus, small, monkeypatch):
     monkeypatch.setattr(jaccard.jaccard_links, "__defaults__", (small, 64))
     sets = []
