@@ -117,7 +117,7 @@ ORACLES = {
     "merge_inputs": _g("SELECT * FROM merges"),
     "segment_start_state": _g("SELECT s.repo_id, s.segment_id, coalesce(t.spec, '') AS spec, coalesce(t.changelog, '') AS changelog, t.derived_sha AS parent_sha FROM segments s LEFT JOIN deps d ON d.repo_id = s.repo_id AND d.segment_id = s.segment_id AND d.dep_ord = 0 LEFT JOIN tips t ON t.repo_id = d.repo_id AND t.segment_id = d.dep_id"),
     "commit_windows": _g("SELECT repo_id, segment_id, ordinal, substr(sha, 1, 8) AS sha8, substr(w[1], 1, 8) || '..' || substr(w[-1], 1, 8) AS label FROM plain WHERE segment_id LIKE 'trunk-%'"),
-    "context_split": _g("SELECT repo_id, segment_id, ordinal, array_to_string(w[greatest(1, len(w) - 1):], ',') AS \"full\", array_to_string(w[:len(w) - 2], ',') AS context, substr(w[1], 1, 8) || '..' || substr(w[-1], 1, 8) AS label FROM (SELECT repo_id, segment_id, ordinal, w FROM seeded)"),
+    "context_split": _g("SELECT repo_id, segment_id, ordinal, array_to_string(w[greatest(1, len(w) - 1):], ',') AS \"full\", CASE WHEN len(w) <= 2 THEN '' ELSE array_to_string(w[1:len(w) - 2], ',') END AS context, substr(w[1], 1, 8) || '..' || substr(w[-1], 1, 8) AS label FROM (SELECT repo_id, segment_id, ordinal, w FROM seeded)"),
     "render_context": _g("SELECT x.repo_id, x.segment_id, x.ordinal, string_agg('### ' || substr(x.s, 1, 8) || ' — ' || coalesce(c.message, 'unknown'), chr(10) ORDER BY x.i) AS context_text FROM (SELECT repo_id, segment_id, ordinal, i, w[i] AS s FROM seeded, unnest(range(1, len(w) - 1)) AS u(i)) x LEFT JOIN commits c ON c.repo_id = x.repo_id AND c.sha = x.s GROUP BY ALL"),
     "render_full_diffs": _g("""SELECT repo_id, segment_id, ordinal, CAST(ceil(length(string_agg(t, chr(10) || chr(10) ORDER BY i)) / 4.0) AS BIGINT) AS diff_tokens, string_agg(f, ',' ORDER BY i) AS paths FROM (
   SELECT x.repo_id, x.segment_id, x.ordinal, x.i, 'f' || CAST(c.seq % 7 AS VARCHAR) AS f, '### ' || substr(x.s, 1, 8) || ' — ' || c.message || chr(10) || chr(10) || '```diff' || chr(10) || 'diff --git a/f b/f' || CAST(c.seq % 7 AS VARCHAR) || chr(10) || '+' || c.message || chr(10) || '```' AS t

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEP, REC = "<<SEP>>", "<<REC>>"
-STATE = T.StructType.fromDDL(
+STATE = (
     "version int, branchHead string, totalSteps long, totalCostUsd double, shaMap map<string,string>, "
     "segmentProgress map<string,struct<status:string,completedSteps:array<struct<originalSha:string,derivedSha:string,model:string,costUsd:double,timestamp:string>>,currentSpec:string,currentChangelog:string>>, "
     "_corrupt_record string"
