@@ -59,8 +59,8 @@ def resolve_first(paths: DataFrame, modules: DataFrame, ext: str = ".md") -> Dat
 
 def relevant_specs(changes: DataFrame, modules: DataFrame, keys: list[str], ext: str = ".md", by: str = "repo_id") -> DataFrame:
     """(keys, module_path, content): the master and each touched module that has content."""
-    touched = changes.join(resolve_module(changes, modules, ext, by), [by, "path"]).select(*keys, "module_path")
-    wanted = touched.unionByName(changes.select(*keys, F.lit(f"_master{ext}").alias("module_path"))).distinct()
+    touched = changes.join(resolve_module(changes, modules, ext, by), [by, "path"]).select(by, *keys, "module_path")
+    wanted = touched.unionByName(changes.select(by, *keys, F.lit(f"_master{ext}").alias("module_path"))).distinct()
     return wanted.join(modules, [by, "module_path"]).where((F.col("module_path") == f"_master{ext}") | (F.col("content") != "")).select(*keys, "module_path", "content")
 
 
