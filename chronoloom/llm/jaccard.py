@@ -25,6 +25,8 @@ from .common import hash_words, mix, signed, small_batches, texts_of, written
 from .components import components
 
 K, PERCENT = 5, 80
+#: The pairs of one pivot are dealt over so many tasks; its text goes to those that have a pair, so never more often than pairs do.
+SALTS = 64
 _ODD = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -225,9 +227,14 @@ def jaccard_links(docs: DataFrame, small: int = 600, frequent: int = 16_384) ->
     sizes = reps.select(F.col("a").alias("cls"), "n")
     rows, near, stars, texts = _regions(_sized(_keys(docs, hot), sizes)), [], [], None
 
+    n_tasks = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
     def measured(pairs: DataFrame) -> DataFrame:
-        """Exact distances of pairs (p, cls) of classes of large regions."""
-        both = pairs.join(texts.select("cls", "text"), "cls").join(texts.select(F.col("cls").alias("p"), F.col("text").alias("pivot_text")), "p")
+        """Exact distances of pairs (p, cls) of classes of large regions; few bytes, but long work, so a set number of tasks."""
+        salted = pairs.withColumn("salt", F.pmod(F.col("cls"), F.lit(SALTS)).cast("int"))
+        dealt = salted.join(texts.select("cls", "text"), "cls")
+        pivots = salted.select("p", "salt").distinct().join(texts.select(F.col("cls").alias("p"), F.col("text").alias("pivot_text")), "p")
+        both = dealt.repartition(n_tasks, "p", "salt").join(pivots, ["p", "salt"])
         distance = 1 - F.col("inter") / (F.col("left") + F.col("right") - F.col("inter"))
         return written(_distances(both).withColumn("near", linked(F.col("inter"), F.col("left"), F.col("right"))).withColumn("d", distance))
 
