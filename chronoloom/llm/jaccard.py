@@ -54,24 +54,37 @@ def linked(inter, left, right):
 def region_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Edges that connect exactly the sets that chains of links connect.
 
-    Pivots go by falling overlap with the region. A pivot meets only the sets after it that are not in
-    its component yet and that the triangle inequality about the first pivot lets link to it.
+    Shingles of one set alone are in no intersection; a set that holds less than 0.8 of its size in
+    others can't link and is left out. Pivots go by falling overlap with the region. A pivot meets only the
+    sets after it that are not in its component yet and that the triangle inequality about the first pivot
+    lets link to it.
     """
     sizes = np.array([len(s) for s in sets])
-    values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    common = [float(counts[np.searchsorted(values, s)].mean()) for s in sets]
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = np.concatenate(sets)
+    values, counts = np.unique(flat, return_counts=True)
+    values, counts = values[counts > 1], counts[counts > 1]
+    if not len(values):
+        return []
+    code = np.minimum(np.searchsorted(values, flat), len(values) - 1)
+    held = values[code] == flat
+    common = np.add.reduceat(np.where(held, counts[code], 1), first) / sizes
+    codes = [code[i : i + n][held[i : i + n]] for i, n in zip(first, sizes)]
+    n_held = np.array([len(c) for c in codes])
     order = np.argsort(common, kind="stable")[::-1]
+    order = order[100 * n_held[order] >= PERCENT * sizes[order]]
     component, away = np.arange(len(sets)), np.zeros(len(sets))
+    in_pivot = np.zeros(len(values), bool)
     edges: list[tuple[int, int]] = []
     for k, pivot in enumerate(order[:-1]):
         rest = order[k + 1 :]
         rest = rest[(component[rest] != component[pivot]) & (np.abs(away[rest] - away[pivot]) <= 0.2 + 1e-9)]
         if not len(rest):
             continue
-        flat = np.concatenate([sets[i] for i in rest])
-        at = np.minimum(np.searchsorted(sets[pivot], flat), sizes[pivot] - 1)
-        starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
-        inter = np.add.reduceat((sets[pivot][at] == flat).astype(np.int64), starts)
+        in_pivot[codes[pivot]] = True
+        starts = np.concatenate([[0], np.cumsum(n_held[rest])[:-1]])
+        inter = np.add.reduceat(in_pivot[np.concatenate([codes[i] for i in rest])].astype(np.int64), starts)
+        in_pivot[codes[pivot]] = False
         if k == 0:
             away[rest] = 1 - inter / (sizes[pivot] + sizes[rest] - inter)
         near = rest[linked(inter, sizes[pivot], sizes[rest])]
