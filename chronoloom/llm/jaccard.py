@@ -121,12 +121,17 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, cls): the window of each set, that is its region keys; ``frequent`` (rarest first) come last."""
+    """(key, cls): the window of each set, that is its region keys; ``frequent`` (rarest first) come last.
+
+    A task gives the rows of equal sets once. Rows are dealt by key here, so that both uses of them
+    share one pass over the texts.
+    """
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = shared.value
+        seen: set[int] = set()
         for batch in small_batches(batches, 4 << 20):
             keys, owners = [], []
             for text in texts_of(batch):
@@ -134,6 +139,9 @@ def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 if not len(s):
                     continue
                 cls = mix(s).sum(dtype=np.uint64)
+                if int(cls) in seen:
+                    continue
+                seen.add(int(cls))
                 window = len(s) - -(-PERCENT * len(s) // 100) + 1
                 if len(late):
                     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
@@ -145,7 +153,7 @@ def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys)), pa.int64()), pa.array(signed(np.concatenate(owners)), pa.int64())], ["key", "cls"])
 
-    return docs.select("text").mapInArrow(run, "key long, cls long")
+    return docs.select("text").mapInArrow(run, "key long, cls long").repartition("key")
 
 
 def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
