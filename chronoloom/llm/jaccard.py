@@ -124,7 +124,8 @@ def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """(key, cls): the window of each set, that is its region keys; ``frequent`` (rarest first) come last.
 
     A task gives the rows of equal sets once. Rows are dealt by key here, so that both uses of them
-    share one pass over the texts.
+    share one pass over the texts; the filter drops nothing, but keeps the planner from adding a
+    different one to each use, which would part them again.
     """
     order = np.argsort(frequent)
     shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
@@ -153,7 +154,7 @@ def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys)), pa.int64()), pa.array(signed(np.concatenate(owners)), pa.int64())], ["key", "cls"])
 
-    return docs.select("text").mapInArrow(run, "key long, cls long").repartition("key")
+    return docs.select("text").mapInArrow(run, "key long, cls long").where("key IS NOT NULL AND cls IS NOT NULL").repartition("key")
 
 
 def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
