@@ -27,9 +27,14 @@ LAST = 2**63 - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text): a null doc_id counts as the last one; th tells rows of one doc_id apart."""
+    """(doc_id, th, text): a null doc_id counts as the last one; th, 64 bits, tells rows of one doc_id apart."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(F.coalesce("id", F.lit(LAST)).alias("doc_id"), F.hash("text").alias("th"), "text")
+    return rows.select(F.coalesce("id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+
+
+def at():
+    """What names a line: rows of one doc_id, or without one, share doc_id and line_no."""
+    return F.struct("doc_id", "line_no", "th")
 
 
 def half_keys(spans: Spans, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -67,7 +72,7 @@ def _lines(keyed: DataFrame) -> DataFrame:
             columns = [ids[owner], ths[owner], number.astype(np.int32), n.astype(np.int32), signed(first.of(start, start + n)), signed(second.of(start, start + n))]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), halves], names)
 
-    return keyed.mapInArrow(run, "doc_id long, th int, line_no int, n int, h long, g long, halves array<long>")
+    return keyed.mapInArrow(run, "doc_id long, th long, line_no int, n int, h long, g long, halves array<long>")
 
 
 def variant_keys(hashes: np.ndarray, shared: int) -> list[tuple[int, np.ndarray]]:
@@ -103,24 +108,24 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _variants(asked: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, kinds, keys) of the asked lines."""
+    """(doc_id, line_no, th, line, kinds, keys) of the asked lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
             rows = []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist()):
+            for doc, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), batch.column(3).to_pylist()):
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                 for w in wanted:
                     line = lines[w["line_no"]]
                     made = variant_keys(hash_words(line)[0], w["shared"])
                     kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k in made])
-                    rows.append((doc, w["line_no"], line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
-            types = (pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "line_no", "line", "kinds", "keys"])
+                    rows.append((doc, w["line_no"], th, line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "line_no", "th", "line", "kinds", "keys"])
 
     lists = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "shared")).alias("wanted"))
-    rows = keyed.join(lists, ["doc_id", "th"]).select("doc_id", "text", "wanted")
-    return rows.mapInArrow(run, "doc_id long, line_no int, line string, kinds array<int>, keys array<long>")
+    rows = keyed.join(lists, ["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
+    return rows.mapInArrow(run, "doc_id long, line_no int, th long, line string, kinds array<int>, keys array<long>")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -129,34 +134,33 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             good = [one_edit(a.encode().split(), b.encode().split()) for a, b in zip(texts_of(batch, "line"), texts_of(batch, "other"))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(lines.select(F.struct("doc_id", "line_no").alias("at"), "line"), "at")
-    both = left.join(lines.select(F.struct("doc_id", "line_no").alias("first"), F.col("line").alias("other")), "first")
-    flat = both.select(F.col("at.doc_id").alias("doc_id"), F.col("at.line_no").alias("line_no"), F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), "line", "other")
-    return flat.mapInArrow(run, flat.schema).groupBy("doc_id", "line_no").agg(F.min(F.struct("keep_doc_id", "keep_line_no")).alias("keep")).select("doc_id", "line_no", "keep.*")
+    left = pairs.join(lines.select(at().alias("at"), "line"), "at")
+    both = left.join(lines.select(at().alias("first"), F.col("line").alias("other")), "first")
+    flat = both.select("at.*", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), "line", "other")
+    return flat.mapInArrow(run, flat.schema).groupBy("doc_id", "line_no", "th").agg(F.min(F.struct("keep_doc_id", "keep_line_no")).alias("keep"))
 
 
 def _decided(keyed: DataFrame) -> DataFrame:
     """(doc_id, th, line_no, keep_doc_id, keep_line_no, edits) of every line that an earlier one repeats."""
     seen = written(_lines(keyed))
-    firsts = written(seen.groupBy("h", "g", "n").agg(F.min(F.struct("doc_id", "line_no", "th")).alias("first"), F.min("halves").alias("halves")))
+    firsts = written(seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves")))
     distinct = firsts.where(f"n >= {NEAR}").select("first.*", F.posexplode("halves").alias("bit", "half"))
     twice = distinct.groupBy("half").agg(F.count("*").alias("times")).where("times > 1").select("half")
     asked = distinct.join(twice, "half").groupBy("doc_id", "line_no", "th").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
     lines = written(_variants(asked, keyed))
-    rows = lines.select(F.struct("doc_id", "line_no").alias("at"), F.explode(F.arrays_zip("kinds", "keys")).alias("v")).select("at", "v.kinds", "v.keys")
+    rows = lines.select(at().alias("at"), F.explode(F.arrays_zip("kinds", "keys")).alias("v")).select("at", "v.kinds", "v.keys")
     least = rows.groupBy("keys").agg(*[F.min(F.when(F.col("kinds") == k, F.col("at"))).alias(f"m{k}") for k in range(3)], F.count("*").alias("times")).where("times > 1")
     other = F.when(F.col("kinds") == 0, F.col("m0")).when(F.col("kinds") == 1, F.col("m2")).otherwise(F.col("m1"))
     pairs = rows.join(least, "keys").select("at", other.alias("first")).where("first < at").distinct()
-    near = _verified(pairs, lines).select(F.col("doc_id").alias("near_doc"), F.col("line_no").alias("near_line"), F.struct("keep_doc_id", "keep_line_no").alias("keep"))
-    lead = firsts.select("h", "g", "n", F.col("first.doc_id").alias("near_doc"), F.col("first.line_no").alias("near_line"))
-    groups = lead.join(near, ["near_doc", "near_line"], "left")
-    is_first = (F.col("doc_id") == F.col("near_doc")) & (F.col("line_no") == F.col("near_line"))
+    near = _verified(pairs, lines).select(at().alias("first"), "keep")
+    groups = firsts.select("h", "g", "n", "first").join(near, "first", "left")
+    is_first = at() == F.col("first")
     return seen.join(groups, ["h", "g", "n"]).where(~is_first | F.col("keep").isNotNull()).select(
         "doc_id",
         "th",
         "line_no",
-        F.when(is_first, F.col("keep.keep_doc_id")).otherwise(F.col("near_doc")).alias("keep_doc_id"),
-        F.when(is_first, F.col("keep.keep_line_no")).otherwise(F.col("near_line")).alias("keep_line_no"),
+        F.when(is_first, F.col("keep.keep_doc_id")).otherwise(F.col("first.doc_id")).alias("keep_doc_id"),
+        F.when(is_first, F.col("keep.keep_line_no")).otherwise(F.col("first.line_no")).alias("keep_line_no"),
         F.when(is_first, 1).otherwise(0).alias("edits"),
     )
 
@@ -166,9 +170,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
     A line goes if an earlier one (by doc_id, then line) has the same words, white space aside, or is
     one word edit away and both have at least eight words; the earliest such line is named. Lines
-    without words never go. Null texts have no lines; a null doc_id counts as the last; rows of one doc_id
-    are one document, so the same line of repeated rows stays in each. An empty table gives no
-    rows; other columns are ignored.
+    without words never go. Null texts have no lines; a null doc_id counts as the last. Rows
+    of equal doc_id and text are one document, so the same line stays in each; rows of one doc_id, or of none,
+    with different texts are different documents (by line, then by the text's hash). An empty table
+    gives no rows; other columns are ignored.
     """
     found = _decided(_keyed(docs))
     return found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "line_no", F.when(F.col("keep_doc_id") != LAST, F.col("keep_doc_id")).alias("keep_doc_id"), "keep_line_no", "edits")
@@ -178,7 +183,7 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each text without its repeated lines; rows left without words by that go."""
     keyed = _keyed(docs)
     gone = _decided(keyed).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.hash(F.coalesce("text", F.lit(""))).alias("th"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
     rows = rows.join(gone, ["doc_id", "th"], "left")
     kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)

@@ -104,6 +104,40 @@ def test_line_dedup(spark, corpus):
     assert line_dedup.drop_repeated_lines(docs).columns == docs.columns
 
 
+def test_line_dedup_shared_ids(spark):
+    rng = random.Random(12)
+    texts, ids = [], []
+    for k in range(60):
+        doc_id = None if k % 3 else 5 if k % 2 else k
+        lines = prose(rng, 60, 5000).split("\n")
+        if k > 10:  # line 2 of an earlier row, with a word changed or as it is, at the same place
+            words = texts[rng.randrange(k)].split("\n")[2].split(" ")
+            if k % 4:
+                words[rng.randrange(len(words))] = f"z{k}"
+            lines[2] = " ".join(words)
+        texts.append("\n".join(lines))
+        ids.append(doc_id)
+    docs = frame(spark, texts, ids=ids)
+    at = {r.text: (line_dedup.LAST if r.doc_id is None else r.doc_id, r.th) for r in docs.select("doc_id", "text", F.xxhash64("text").alias("th")).collect()}
+    lines = sorted((at[t][0], k, at[t][1], line.encode().split()) for t in texts for k, line in enumerate(t.split("\n")))
+    seen, want = [], {}
+    for doc_id, k, th, words in lines:
+        same = [o[:2] for o in seen if o[3] == words]
+        near = [o[:2] for o in seen if line_dedup.one_edit(o[3], words) and len(words) >= 8 and len(o[3]) >= 8]
+        if same:
+            want[doc_id, k, th] = (*same[0], 0)
+        else:
+            if near:
+                want[doc_id, k, th] = (*near[0], 1)
+            seen.append((doc_id, k, th, words))
+    shown = lambda x: None if x == line_dedup.LAST else x
+    found = collections.Counter(tuple(r) for r in line_dedup.repeated_lines(docs).collect())
+    assert found == collections.Counter((shown(d), k, shown(w[0]), *w[1:]) for (d, k, _), w in want.items())
+    kept = collections.Counter((ids[i], "\n".join(x for k, x in enumerate(t.split("\n")) if (at[t][0], k, at[t][1]) not in want)) for i, t in enumerate(texts))
+    assert collections.Counter((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(docs).collect()) == kept
+    assert {w[2] for (d, *_), w in want.items() if d == line_dedup.LAST} == {0, 1}
+
+
 def test_one_edit():
     assert line_dedup.one_edit([b"a", b"b"], [b"a", b"c"]) and line_dedup.one_edit([b"a"], [b"a", b"b"]) and line_dedup.one_edit([b"b", b"a"], [b"a"])
     assert not line_dedup.one_edit([b"a"], [b"a"]) and not line_dedup.one_edit([b"a", b"b"], [b"b", b"a"]) and not line_dedup.one_edit([b"a"], [b"a", b"b", b"c"])
