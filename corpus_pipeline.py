@@ -27,17 +27,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(key, row): a number for each row, written so that it stays; null and reused doc_ids name no row."""
+    return written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each component stays; rows of equal doc_id and text become one."""
-    found = jaccard.jaccard_components(docs)
-    later = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    """The row of the smallest doc_id of each component stays, null last; rows of equal doc_id and text become one."""
+    rows = _numbered(docs)
+    found = jaccard.jaccard_components(rows.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
+    first = found.join(rows.select("key", "row.doc_id"), "key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
+    return rows.join(first, "key", "left_semi").select("row.*").dropDuplicates(["doc_id", "text"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold 0.8 of a benchmark item's shingles go."""
-    leaks = decontaminate.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Rows that hold 0.8 of a benchmark item's shingles go, whatever their doc_id; each row of benchmark is an item."""
+    rows = _numbered(docs)
+    items = _numbered(table(spark, sf_dir, "benchmark")).select(F.col("key").alias("item_id"), "row.text")
+    leaks = decontaminate.contained_items(rows.select(F.col("key").alias("doc_id"), "row.text"), items).select(F.col("doc_id").alias("key")).distinct()
+    return rows.join(leaks, "key", "left_anti").select("row.*").select(docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -382,3 +382,21 @@ def test_pipeline(spark, tmp_path, corpus):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {i: r.ids for i, r in rows.items()} == {i: library.encode(t, add_special_tokens=False).ids for i, t in want.items()}
     assert len(want) < len(kept) and not {100, 101, 102} & set(rows)
+
+
+def test_pipeline_shared_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    items = [prose(rng, 30, 5000, 99) for _ in range(3)]
+    one, two, three, four, five = (prose(rng, 60, 5000) for _ in range(5))
+    rows = [(None, one), (None, one + " more"), (4, two), (None, two), (7, three), (8, three + " more"), (8, four), (9, five), (9, five), (None, None)]
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    left = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert left in [collections.Counter([(None, t), (4, two), (7, three), (8, four), (9, five), (None, None)]) for t in (one, one + " more")]
+
+    spark.createDataFrame([(1, items[0]), (1, items[1]), (None, items[2])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{one} {items[0]}"), (None, two), (3, f"{three} {items[1]}"), (3, four), (5, f"{five} {items[2]}")]
+    docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and {(r.doc_id, r.text) for r in left.collect()} == {(None, two), (3, four)}
