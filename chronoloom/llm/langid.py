@@ -117,6 +117,17 @@ def mixtures(texts: list[str], log_p: np.ndarray, penalty: float = 2.0, rounds:
     return out
 
 
+def judged(texts: list, langs: list[str], log_p: np.ndarray) -> tuple[list[str], list[float], list[int]]:
+    """Prediction, score and number of languages of each text."""
+    pred, score, n = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    able = [i for i, t in enumerate(texts) if langs and has_letter(t)]
+    if able:
+        shares = mixtures([texts[i] for i in able], log_p)
+        for i, k, s, m in zip(able, shares.argmax(axis=1), shares.max(axis=1), (shares > 0.01).sum(axis=1)):
+            pred[i], score[i], n[i] = langs[k], min(1.0, float(s)), int(m)
+    return pred, score, n
+
+
 def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
     """doc_id, lang_pred, score and n_langs for every row.
 
@@ -127,31 +138,24 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
-            texts = texts_of(batch)
-            pred, score, n = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
-            able = [i for i, t in enumerate(texts) if langs and has_letter(t)]
-            if able:
-                shares = mixtures([texts[i] for i in able], model.value)
-                for i, k, s, m in zip(able, shares.argmax(axis=1), shares.max(axis=1), (shares > 0.01).sum(axis=1)):
-                    pred[i], score[i], n[i] = langs[k], min(1.0, float(s)), int(m)
+            pred, score, n = judged(texts_of(batch), langs, model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int32())], ["doc_id", "lang_pred", "score", "n_langs"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose language can be told; ``und`` rows go. Fits on ``docs`` itself."""
+    """The rows of ``docs``, all columns, that ``predict`` gives a language; ``und`` rows go. Fits on ``docs`` itself.
+
+    Where no language can be learned, no row is rejected for that: all rows with a letter stay.
+    """
     langs, log_p = fit(docs.where(~held_out(4, 2)))
     model = docs.sparkSession.sparkContext.broadcast(log_p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
             texts = texts_of(batch)
-            good = [bool(langs) and has_letter(t) for t in texts]
-            able = [t for t, g in zip(texts, good) if g]
-            if able:
-                known = iter(mixtures(able, model.value).max(axis=1) > 0)
-                good = [g and bool(next(known)) for g in good]
+            good = [p != "und" for p in judged(texts, langs, model.value)[0]] if langs else [has_letter(t) for t in texts]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

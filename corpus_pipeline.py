@@ -17,7 +17,7 @@ from chronoloom.llm.queries import table, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a letter, and all rows if no language can be learned, are rejected and go."""
+    """Rows that language ID gives ``und`` go: those without a letter. Where no language can be learned, the others stay."""
     return langid.accepted(docs)
 
 

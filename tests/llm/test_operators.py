@@ -342,6 +342,12 @@ def test_language(spark):
     assert kept.columns == docs.columns and kept.count() == 301
 
 
+def test_accepted_without_languages(spark):
+    texts = ["some words", "123 ... 4", None, "", "été"]
+    docs = frame(spark, texts).withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in langid.accepted(docs).collect()} == {0, 4}
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
