@@ -4,8 +4,8 @@ Every benchmark item is a set of five-word shingles. Items fall into size partit
 two); an item's sketch holds its bottom-m MinHash values, with m set by the upper size of its
 partition so that a document that contains 0.8 of the item's shingles holds at least one value of
 the sketch: candidates lose nothing, however long the document. Documents stream their shingles
-past the items once; a pair whose sketch is hit is then held to the exact share of shingles, compared
-as strings. Only hits are shuffled. The items are broadcast while their shingles number at most
+past the sketches; those with a hit then stream them past the items whose sketch they hit, for the
+exact share of shingles, compared as strings. Only hits are shuffled. The items are broadcast while their shingles number at most
 ``broadcast_rows``; beyond that, both sides are shuffled by hash.
 """
 
@@ -14,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 K = 5
 _SPACES = " \t\n\x0b\x0c\r"
 
 
-def _shingles(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, words, i, h): a row for each five-word window, its words lower-cased."""
+def _shingles(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, words, i, h): a row for each five-word window, its words lower-cased."""
     words = F.split(F.btrim(F.lower(text), F.lit(_SPACES)), "[ \\t\\n\\x0B\\f\\r]+")
-    windows = rows.select(F.col(key), words.alias("words")).where(F.size("words") >= K)
-    windows = windows.select(key, "words", F.explode(F.sequence(F.lit(0), F.size("words") - K)).alias("i"))
+    windows = rows.select(*keys, words.alias("words")).where(F.size("words") >= K)
+    windows = windows.select(*keys, "words", F.explode(F.sequence(F.lit(0), F.size("words") - K)).alias("i"))
     return windows.withColumn("h", F.xxhash64(*[F.col("words")[F.col("i") + j] for j in range(K)]))
 
 
@@ -30,9 +32,17 @@ def _joined_words():
     return F.concat_ws(" ", *[F.col("words")[F.col("i") + j] for j in range(K)])
 
 
+def _hits(seen: DataFrame, keys: list[str], items: DataFrame, small: bool, also=True) -> DataFrame:
+    """Rows of items for each equal shingle of ``seen``, with its keys; ``also`` is part of the join."""
+    if small:
+        return seen.alias("s").join(F.broadcast(items.alias("i")), (F.col("s.h") == F.col("i.h")) & (_joined_words() == F.col("shingle")) & also).select(*keys, "i.*")
+    seen = seen.select(*keys, "h", _joined_words().alias("joined"))
+    return seen.alias("s").join(items.alias("i"), (F.col("s.h") == F.col("i.h")) & (F.col("joined") == F.col("shingle")) & also).select(*keys, "i.*")
+
+
 def sketches(benchmark: DataFrame, share_percent: int = 80) -> DataFrame:
     """item_id, h, shingle, n_item and in_sketch for each distinct shingle of each item."""
-    distinct = _shingles(benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL"), "item_id", "text").select("item_id", "h", _joined_words().alias("shingle")).distinct()
+    distinct = _shingles(benchmark.select(F.col("item_id").cast("long"), "text").where("item_id IS NOT NULL"), ["item_id"], "text").select("item_id", "h", _joined_words().alias("shingle")).distinct()
     item = Window.partitionBy("item_id")
     sized = distinct.withColumn("n_item", F.count("*").over(item)).withColumn("bottom", F.row_number().over(item.orderBy("h", "shingle")))
     upper = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1).cast("long") - 1
@@ -49,14 +59,13 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, share_percent: int =
     """
     items = sketches(benchmark, share_percent)
     small = items.limit(broadcast_rows + 1).count() <= broadcast_rows
-    seen = _shingles(docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL"), "doc_id", "text")
-    if not small:
-        seen = seen.select("doc_id", "h", _joined_words().alias("joined"))
-        hits = seen.join(items, "h").where("joined = shingle")
-    else:
-        hits = seen.join(F.broadcast(items), "h").where(_joined_words() == F.col("shingle"))
-    once = hits.groupBy("doc_id", "item_id", "h", "shingle").agg(F.max("n_item").alias("n_item"), F.max("in_sketch").alias("in_sketch"))
-    pairs = once.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"), F.max("in_sketch").alias("candidate"))
-    return pairs.where(F.col("candidate") & (100 * F.col("n_shared") >= share_percent * F.col("n_item"))).select(
+    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    values = items.where("in_sketch").select("item_id", "h", "shingle")
+    found = written(_hits(_shingles(docs, ["doc_id"], "text"), ["doc_id"], values, small).groupBy("doc_id").agg(F.collect_set("item_id").alias("candidates")))
+    seen = _shingles(docs.join(found, "doc_id"), ["doc_id", "candidates"], "text")
+    hits = _hits(seen, ["doc_id", "candidates"], items, small, F.array_contains("candidates", F.col("item_id")))
+    once = hits.groupBy("doc_id", "item_id", "h", "shingle").agg(F.max("n_item").alias("n_item"))
+    pairs = once.groupBy("doc_id", "item_id").agg(F.max("n_item").alias("n_item"), F.count("*").alias("n_shared"))
+    return pairs.where(100 * F.col("n_shared") >= share_percent * F.col("n_item")).select(
         "doc_id", "item_id", "n_item", "n_shared", (F.col("n_shared") / F.col("n_item")).alias("containment")
     )

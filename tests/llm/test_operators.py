@@ -219,6 +219,26 @@ def test_decontamination(spark):
     assert decontaminate.contained_items(frame(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_sketch_searches(spark, monkeypatch):
+    """A pair whose sketch isn't hit is never counted: without sketch values there are no candidates."""
+    item = prose(random.Random(14), 40, 900, 50)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, [item, f"x {item} y", "other words " * 9])
+    hits, made = decontaminate._hits, []
+
+    def watched(*args):
+        made.append(hits(*args).count())
+        return hits(*args)
+
+    monkeypatch.setattr(decontaminate, "_hits", watched)
+    n, m = 36, 63 - 51 + 1  # shingles of the item, values of its sketch
+    assert decontaminate.contained_items(docs, bench).count() == 2 and made == [2 * m, 2 * n]
+    sketches = decontaminate.sketches
+    monkeypatch.setattr(decontaminate, "sketches", lambda *a: sketches(*a).withColumn("in_sketch", F.lit(False)))
+    made.clear()
+    assert decontaminate.contained_items(docs, bench).count() == 0 and made == [0, 0]
+
+
 @pytest.mark.parametrize("small", [100, 600])
 def test_jaccard(spark, corpus, small, monkeypatch):
     monkeypatch.setattr(jaccard.jaccard_links, "__defaults__", (small, 64))
