@@ -6,28 +6,26 @@ characters and ``bytes.lower()`` folds exactly A-Z, so both run at C speed on UT
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder named by ``spark.checkpoint.dir``, or else by ``setCheckpointDir``; one of them must be set."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def written(df: DataFrame) -> DataFrame:
@@ -38,6 +36,28 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(*tables: DataFrame) -> None:
+    """Delete tables made by ``written``, once all that is to come from them is written itself."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """``rows`` joined with ``values``: a row for each key and, as ``times``, how many rows have it at least.
+
+    A key of more than one in ``parts`` of those rows would fill a task. There are fewer than ``parts`` such keys,
+    whatever the data, so their values are broadcast and their rows stay where they are; the others are shuffled.
+    ``values`` must be a written table.
+    """
+    total = values.agg(F.sum("times")).first()[0] or 0
+    hot = values.where(F.col("times") * parts > total)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rest.join(values.where(F.col("times") * parts <= total), keys).unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that the low and high bits of sums are usable as keys."""
     x = x ^ (x >> np.uint64(30))

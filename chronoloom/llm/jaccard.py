@@ -1,42 +1,43 @@
-"""N-gram Jaccard join (operator 6): an exact metric-space join by pivots, windows and recursion.
-
-Documents are sets of five-word shingles under the Jaccard distance. Equal sets are one class.
-The first pivots are single shingles {s}: a set is nearer than 1 to {s} only if it holds s, so
-its Voronoi regions are those of its shingles, and the window that a link may cross is its first
-n - ceil(0.8 n) + 1 shingles in one global order (very frequent shingles last): two linked sets
-share one of these. In each shared region the class that meets most others becomes the document pivot
-p. Regions of at most ``small`` classes are joined inside a task. Larger ones measure a star of exact
-distances to p: the sets within 0.2 are one component, a set beyond meets those of them that the
-triangle inequality leaves in its window, and the sets beyond join recursively about new pivots.
+"""N-gram Jaccard join (operator 6): an exact metric-space join by pivots, regions, windows and recursion.
+
+Documents are sets of five-word shingles under the Jaccard distance; equal sets are one class. Unrelated
+documents all lie at distance 1 from each other, so the first pivots are single shingles {s}: a set is nearer
+than 1 to {s} only if it holds s. In one global order (frequent shingles last) a link can cross only into the
+regions of a set's first n - ceil(0.8 n) + 1 shingles, its window. With n // 10 shingles more, two linked
+sets share 1 + ceil(0.8 n) // 10 of their windows at least, so a set with fewer that any other set holds is linked
+with nothing and leaves before any text moves. In each region left, the class that meets most others is its
+document pivot p; regions of one pivot are joined as one.
+
+Small regions are joined inside a task, about one pivot after the other. A large one gets several
+pivots, and exact distances to all of them: sets within 0.2 of a pivot are linked with it and one
+component; every set falls into the Voronoi cell of its nearest pivot, cells are cut into blocks, and a
+block meets another one only where the triangle inequality about every pivot allows a distance of
+0.2: those windows replicate it. Pairs of blocks are joined as small regions are, but for what is one component already.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, signed, small_batches, texts_of, written
+from .common import hash_words, mix, released, signed, small_batches, spread_join, texts_of, written
 from .components import components
 
 K, PERCENT = 5, 80
-#: The pairs of one pivot are dealt over so many tasks; its text goes to those that have a pair, so never more often than pairs do.
-SALTS = 64
+#: The window's surplus is n // SURPLUS shingles.
+SURPLUS = 10
+#: Pivots of a large region.
+PIVOTS = 8
 _ODD = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's five-word shingles (fewer words: the whole as one)."""
-    return packed_shingles((text or "").encode("utf-8", "surrogatepass"))
-
-
-def packed_shingles(data: bytes) -> np.ndarray:
-    h, _ = hash_words(data.lower())
+    h, _ = hash_words((text or "").encode("utf-8", "surrogatepass").lower())
     if not len(h):
         return h
     k = min(K, len(h))
@@ -51,14 +52,18 @@ def linked(inter, left, right):
     return 100 * inter >= PERCENT * (left + right - inter)
 
 
-def region_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect exactly the sets that chains of links connect.
+def region_links(sets: list[np.ndarray], side: np.ndarray | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges that, with the components known before, connect exactly the sets that chains of links connect.
 
-    Shingles of one set alone are in no intersection; a set that holds less than 0.8 of its size in
-    others can't link and is left out. Pivots go by falling overlap with the region. A pivot meets only the
-    sets after it that are not in its component yet and that the triangle inequality about the first pivot
-    lets link to it.
+    Where ``side`` has two values, only sets of different sides meet. Sets of one ``label`` (from 0) are known
+    to be one component. Shingles of one set alone are in no intersection; a set that holds less than 0.8 of
+    its size in others can't link and is left out. Pivots go by falling overlap with the region. A pivot meets
+    only the sets after it that are not in its component yet and that the triangle inequality about the first
+    pivot lets link to it.
     """
+    side = np.zeros(len(sets), np.int64) if side is None else side
+    label = np.full(len(sets), -1) if label is None else label
+    crossed = bool(side.min() != side.max())
     sizes = np.array([len(s) for s in sets])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     flat = np.concatenate(sets)
@@ -73,12 +78,14 @@ def region_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     n_held = np.array([len(c) for c in codes])
     order = np.argsort(common, kind="stable")[::-1]
     order = order[100 * n_held[order] >= PERCENT * sizes[order]]
-    component, away = np.arange(len(sets)), np.zeros(len(sets))
+    component, away = np.where(label >= 0, len(sets) + label, np.arange(len(sets))), np.zeros(len(sets))
     in_pivot = np.zeros(len(values), bool)
     edges: list[tuple[int, int]] = []
     for k, pivot in enumerate(order[:-1]):
         rest = order[k + 1 :]
-        rest = rest[(component[rest] != component[pivot]) & (np.abs(away[rest] - away[pivot]) <= 0.2 + 1e-9)]
+        if k:
+            meets = (component[rest] != component[pivot]) & (np.abs(away[rest] - away[pivot]) <= 0.2 + 1e-9)
+            rest = rest[meets & (side[rest] != side[pivot])] if crossed else rest[meets]
         if not len(rest):
             continue
         in_pivot[codes[pivot]] = True
@@ -88,217 +95,240 @@ def region_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         if k == 0:
             away[rest] = 1 - inter / (sizes[pivot] + sizes[rest] - inter)
         near = rest[linked(inter, sizes[pivot], sizes[rest])]
+        near = near[(component[near] != component[pivot]) & ((not crossed) | (side[near] != side[pivot]))]
         edges += [(int(pivot), int(i)) for i in near]
         component[np.isin(component, component[near])] = component[pivot]
     return edges
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """kind 0: (doc_id, n, a, b), the set's size and 128-bit hash; kind 1: shingles frequent in a task."""
+def _sets(docs: DataFrame) -> DataFrame:
+    """kind 0: (row, doc_id, n, a, b, text), a set's size and 128-bit hash; kind 1: (n, a), shingles frequent in a task."""
+    names = ["kind", "doc_id", "n", "a", "b", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held: dict[int, np.ndarray] = {}
 
         def frequent() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
+            values, counts = np.unique(np.concatenate([*held.values(), np.zeros(0, np.uint64)]), return_counts=True)
             many = counts >= 8
             n = int(many.sum())
-            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(counts[many], pa.int64()), pa.array(signed(values[many]), pa.int64()), pa.array([0] * n, pa.int64())], ["kind", "doc_id", "n", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(counts[many], pa.int64()), pa.array(signed(values[many]), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], names)
 
+        size = 0
         for batch in small_batches(batches, 4 << 20):
             sets = [shingles(t) for t in texts_of(batch)]
             a = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             b = np.array([mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(a), pa.int64()), pa.array(signed(b), pa.int64())], ["kind", "doc_id", "n", "a", "b"])
-            held += sets
-            size += sum(map(len, sets))
-            if size > 3_000_000:
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(sets), pa.int32()), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(a), pa.int64()), pa.array(signed(b), pa.int64()), batch.column(1)], names)
+            for key, s in zip(a.tolist(), sets):
+                size += len(s) if key not in held else 0
+                held[key] = s
+            if size > 2_000_000:
                 yield frequent()
-                held, size = [], 0
+                held, size = {}, 0
         yield frequent()
 
-    return written(docs.mapInArrow(run, "kind int, doc_id long, n long, a long, b long"))
+    found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "kind int, doc_id long, n long, a long, b long, text string")
+    return written(found.select(F.monotonically_increasing_id().alias("row"), "*"))
 
 
-def _keys(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, cls): the window of each set, that is its region keys; ``frequent`` (rarest first) come last.
+def _window_rows(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, cls, salt, first): the window of each set and its surplus; ``first`` is false for the surplus.
 
-    A task gives the rows of equal sets once. Rows are dealt by key here, so that both uses of them
-    share one pass over the texts; the filter drops nothing, but keeps the planner from adding a
-    different one to each use, which would part them again.
+    ``frequent`` shingles (rarest first) come last in the order; they are shared anyhow, so their rows are dealt
+    over many tasks by a salt from 1, others have salt 0. A task gives the rows of equal sets once. The filter
+    drops nothing, but keeps the planner from adding a different one to each use, so that both share one pass.
     """
     order = np.argsort(frequent)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent[order], order))
+    shared = sets.sparkSession.sparkContext.broadcast((frequent[order], order))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = shared.value
         seen: set[int] = set()
         for batch in small_batches(batches, 4 << 20):
-            keys, owners = [], []
-            for text in texts_of(batch):
-                s = shingles(text)
-                if not len(s):
-                    continue
-                cls = mix(s).sum(dtype=np.uint64)
-                if int(cls) in seen:
+            keys, owners, salts, firsts = [], [], [], []
+            for cls, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
+                if cls in seen:
                     continue
-                seen.add(int(cls))
+                seen.add(cls)
+                s = shingles(text)
                 window = len(s) - -(-PERCENT * len(s) // 100) + 1
+                taken = window + len(s) // SURPLUS
+                salt = np.zeros(len(s), np.int32)
                 if len(late):
                     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
                     hot = late[at] == s
                     if hot.any():
                         s = np.concatenate([s[~hot], s[hot][np.argsort(rank[at[hot]])]])
-                keys.append(s[:window])
-                owners.append(np.full(window, cls))
+                        salt[len(s) - int(hot.sum()) :] = 1 + cls % 64
+                keys.append(s[:taken])
+                salts.append(salt[:taken])
+                owners.append(np.full(len(keys[-1]), cls, np.int64))
+                firsts.append(np.arange(len(keys[-1])) < window)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys)), pa.int64()), pa.array(signed(np.concatenate(owners)), pa.int64())], ["key", "cls"])
+                columns = [signed(np.concatenate(keys)), np.concatenate(owners), np.concatenate(salts), np.concatenate(firsts)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "cls", "salt", "first"])
 
-    return docs.select("text").mapInArrow(run, "key long, cls long").where("key IS NOT NULL AND cls IS NOT NULL").repartition("key")
+    rows = sets.where("n > 0").select("a", "text").mapInArrow(run, "key long, cls long, salt int, first boolean")
+    return rows.where("key IS NOT NULL AND cls IS NOT NULL AND salt IS NOT NULL AND first IS NOT NULL").repartition("key", "salt")
 
 
-def _sized(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows of shared regions, each cut by set size: linked sets differ in size by a quarter at most.
+def _candidates(sets: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(key, rep, n) of the windows of all classes that may link, in regions that several of them share.
 
-    That is the triangle inequality about the empty set. Sizes fall into bands of a factor 1.25, and every
-    row goes to its own band and, as a replica across the boundary, to the next.
+    A class stays if other classes hold as many shingles of its window as any partner must. Regions are cut
+    by set size: linked sets differ in size by a quarter at most, the triangle inequality about the empty
+    set. Sizes fall into bands of a factor 1.25, and every row goes to its own band and to the next.
     """
-    blocks = rows.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last").select("key")
-    shared = rows.join(blocks, "key").distinct().join(sizes, "cls")
+    rows = _window_rows(sets, frequent)
+    some = F.max("first").alias("some")  # the same columns in both uses of ``rows``
+    blocks = rows.groupBy("key", "salt").agg(F.min("cls").alias("least"), F.max("cls").alias("most"), some).where("some IS NOT NULL AND (least <> most OR salt > 0)")
+    shared = written(rows.join(blocks.select("key", "salt"), ["key", "salt"]).distinct())
+    held = shared.groupBy("cls").agg(F.count("*").alias("held"))
+    able = held.join(reps.select(F.col("a").alias("cls"), "rep", "n"), "cls").where(f"held >= 1 + ({PERCENT} * n + 99) div 100 div {SURPLUS}")
     band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-    return written(shared.select("key", "cls", F.explode(F.array(band, band + 1)).alias("band")).select(F.xxhash64("key", "band").alias("key"), "cls"))
-
-
-def _packed(docs: DataFrame) -> DataFrame:
-    """(rep, packed): texts compressed in the task, since members of several regions move several times."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
-        for batch in small_batches(batches, 4 << 20):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([press.compress((t or "").encode("utf-8", "surrogatepass")) for t in texts_of(batch)], pa.binary())], ["rep", "packed"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "rep long, packed binary")
+    banded = shared.where("first").join(able.select("cls", "rep", "n"), "cls").select("key", "rep", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = written(banded.select(F.xxhash64("key", "band").alias("key"), "rep", "n"))
+    regions = written(banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("times")).where("least <> most").select("key", "times"))
+    rows = written(spread_join(banded, regions, ["key"]))
+    released(shared, banded, regions)
+    return rows
 
 
-def _regions(rows: DataFrame) -> DataFrame:
-    """(key, cls, p) for the rows of regions that at least two classes share.
+def _members(rows: DataFrame) -> DataFrame:
+    """(p, rep, n, times, weight, met): the members of each document pivot's region, its count and sum of n.
 
-    p is the class of the region that meets most others in its regions: the middle of a group of
-    near copies rather than its edge.
+    The pivot of a shingle's region is the class that meets most others (``met``): the middle of a
+    group of near copies rather than its edge.
     """
-    blocks = rows.groupBy("key").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).where("first <> last").select("key")
-    shared = written(rows.join(blocks, "key").distinct())
-    sizes = shared.groupBy("key").agg(F.count("*").alias("c"))
-    met = shared.join(sizes, "key").groupBy("cls").agg(F.sum("c").alias("met"))
-    pivots = shared.join(met, "cls").groupBy("key").agg(F.max(F.struct("met", "cls")).alias("top")).select("key", F.col("top.cls").alias("p"))
-    return written(shared.join(pivots, "key"))
+    met = rows.groupBy("rep").agg(F.sum("times").alias("met"))
+    pivots = written(rows.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep")).alias("top"), F.count("*").alias("times")).select("key", F.col("top.rep").alias("p"), "times"))
+    members = written(spread_join(rows.select("key", "rep", "n"), pivots, ["key"]).select("p", "rep", "n").distinct())
+    sizes = written(members.groupBy("p").agg(F.count("*").alias("times"), F.sum("n").alias("weight")))
+    sized = written(spread_join(members, sizes, ["p"]))
+    released(pivots, members, sizes)
+    return sized
 
 
-def _joined_regions(members: DataFrame) -> DataFrame:
-    """Links (u, v) inside small regions: members (p, rep, packed), each region whole in one task."""
+def _joined(members: DataFrame) -> DataFrame:
+    """Links (u, v) inside parts: members (part, side, label, rep, text), each part whole in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, reps, sets = None, [], []
-        open_ = zstandard.ZstdDecompressor().decompress
+        now, held = None, []
 
         def close() -> pa.RecordBatch:
-            edges = region_links(sets)
+            sides, labels, reps, sets = zip(*held)
+            edges = region_links(list(sets), np.array(sides), np.array(labels))
             return pa.RecordBatch.from_arrays([pa.array([reps[i] for i, _ in edges], pa.int64()), pa.array([reps[j] for _, j in edges], pa.int64())], ["u", "v"])
 
         for batch in small_batches(batches, 4 << 20):
-            for p, rep, packed in zip(*[batch.column(k).to_pylist() for k in range(3)]):
-                if p != now:
-                    if len(sets) > 1:
+            for part, side, label, rep, text in zip(*[batch.column(k).to_pylist() for k in range(5)]):
+                if part != now:
+                    if len(held) > 1:
                         yield close()
-                    now, reps, sets = p, [], []
-                reps.append(rep)
-                sets.append(packed_shingles(open_(packed)))
-        if len(sets) > 1:
+                    now, held = part, []
+                held.append((side, label, rep, shingles(text)))
+        if len(held) > 1:
             yield close()
 
-    return members.repartition("p").sortWithinPartitions("p").mapInArrow(run, "u long, v long")
+    return members.select("part", "side", "label", "rep", "text").repartition("part").sortWithinPartitions("part").mapInArrow(run, "u long, v long")
 
 
-def _distances(pairs: DataFrame) -> DataFrame:
-    """(p, cls, inter, left, right): exact overlap of each pair's texts (text, pivot_text)."""
+def _star(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
+    """(p, rep, n, near, home, d): distances d of each member to the region's pivots, the nearest, and the linked ones."""
+    order = Window.partitionBy("p").orderBy((F.col("rep") != F.col("p")), F.xxhash64("rep"))
+    pivots = members.withColumn("k", F.row_number().over(order)).where(f"k <= {PIVOTS}")
+    tasks = F.ceil(F.greatest(F.col("times") / small, F.col("weight") / weight)).cast("int")
+    dealt = members.select("p", F.pmod(F.xxhash64("rep"), tasks).cast("int").alias("salt"), F.lit(0).alias("k"), "rep")
+    asked = pivots.select("p", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), (F.col("k") - PIVOTS - 1).alias("k"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, pivot = None, None
+        now, pivots = None, []
         for batch in small_batches(batches, 4 << 20):
             out = []
-            for t, q in zip(texts_of(batch), texts_of(batch, "pivot_text")):
-                if q != text:
-                    text, pivot = q, shingles(q)
-                s = shingles(t)
-                out.append((len(np.intersect1d(s, pivot, assume_unique=True)), len(s), len(pivot)))
-            made = np.array(out, np.int64).reshape(-1, 3)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, pa.int64()) for c in made.T]], ["p", "cls", "inter", "left", "right"])
-
-    return pairs.select("p", "cls", "text", "pivot_text").mapInArrow(run, "p long, cls long, inter long, left long, right long")
-
-
-def jaccard_links(docs: DataFrame, small: int = 600, frequent: int = 16_384) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): a row (doc_id, n, a, b, rep) for each document, and links (u, v) between reps."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    found = _classes(docs)
-    # the bound on ``frequent`` only orders the shingles; any order gives the same links
+            for p, salt, k, rep, text in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+                if (p, salt) != now:
+                    now, pivots = (p, salt), []
+                s = shingles(text)
+                if k < 0:
+                    pivots.append((rep, s))
+                    continue
+                inter = np.array([len(np.intersect1d(s, q, assume_unique=True)) for _, q in pivots])
+                sizes = np.array([len(q) for _, q in pivots])
+                d = 1 - inter / (len(s) + sizes - inter)
+                near = np.flatnonzero(linked(inter, len(s), sizes))
+                out.append((p, rep, len(s), [pivots[i][0] for i in near], int(near[0]) if len(near) else -1, int(d.argmin()), d.tolist()))
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["p", "rep", "n", "near", "label", "home", "d"])
+
+    rows = dealt.unionByName(asked).join(texts, "rep").select("p", "salt", "k", "rep", "text")
+    rows = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", "k")
+    return written(rows.mapInArrow(run, "p long, rep long, n long, near array<long>, label int, home int, d array<double>"))
+
+
+def _voronoi(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
+    """Links (u, v) of large regions, by the distances of all members to several pivots."""
+    star = _star(members, texts, small, weight)
+    cell = ["p", "label", "home", "band"]
+    home = F.when(F.col("label") >= 0, F.col("label")).otherwise(F.col("home"))
+    placed = star.select("p", "rep", "n", "label", home.alias("home"), F.floor(10 * F.get("d", home)).cast("int").alias("band"), "d")
+    cells = written(placed.groupBy(*cell).agg(F.count("*").alias("times"), F.sum("n").alias("weight")))
+    blocks = F.ceil(F.greatest(2 * F.col("times") / small, 2 * F.col("weight") / weight)).cast("int")
+    placed = spread_join(placed, cells, cell).withColumn("block", F.struct("label", "home", "band", F.pmod(F.xxhash64("rep"), blocks).alias("i")))
+    placed = written(placed.select("p", "block", "rep", "label", "d"))
+    ranges = placed.groupBy("p", "block").agg(*[f(F.get("d", F.lit(k))).alias(f"{name}{k}") for k in range(PIVOTS) for f, name in ((F.min, "lo"), (F.max, "hi"))])
+    left, right = ranges.alias("l"), ranges.alias("r")
+    meets = (F.col("l.p") == F.col("r.p")) & (F.col("l.block") <= F.col("r.block"))
+    for k in range(PIVOTS):  # no pivot parts them; absent pivots are null
+        for one, other in (("l", "r"), ("r", "l")):
+            meets &= F.coalesce(F.col(f"{one}.lo{k}") - F.col(f"{other}.hi{k}") <= 0.2 + 1e-9, F.lit(True))
+    apart = (F.col("l.block.label") < 0) | (F.col("l.block.label") != F.col("r.block.label"))
+    pairs = left.join(right, meets & apart).select("l.p", F.col("l.block").alias("one"), F.col("r.block").alias("other"))
+    pairs = pairs.withColumn("part", F.xxhash64("p", "one", "other"))
+    sides = pairs.select("p", "part", F.lit(0).alias("side"), F.col("one").alias("block")).unionByName(pairs.where("one <> other").select("p", "part", F.lit(1).alias("side"), F.col("other").alias("block")))
+    parts = placed.select("p", "block", "rep", "label").join(sides, ["p", "block"]).join(texts, "rep")
+    stars = star.select(F.explode("near").alias("u"), F.col("rep").alias("v"))
+    return _joined(parts).unionByName(stars)
+
+
+def jaccard_links(docs: DataFrame, small: int = 600, weight: int = 600_000, frequent: int = 16_384) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sets, classes, links): (row, doc_id, n, a, b) of each row of docs; (a, b, n, rep, least, times) of each class
+    of equal sets: its first row, smallest doc_id and count; and links (u, v) between reps.
+
+    Regions of more than ``small`` sets or ``weight`` shingles are joined by Voronoi cells: the bounds set a
+    task's memory, not the result. ``frequent`` bounds the shingles that come last; any order gives the same links.
+    """
+    found = _sets(docs)
     often = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(frequent).collect()
     hot = np.array([r.a for r in reversed(often)], np.int64).view(np.uint64)
-    sets = found.where("kind = 0").drop("kind")
-    reps = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
-    sizes = reps.select(F.col("a").alias("cls"), "n")
-    rows, near, stars, texts = _regions(_sized(_keys(docs, hot), sizes)), [], [], None
-
-    n_tasks = max(SALTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        """Exact distances of pairs (p, cls) of classes of large regions; few bytes, but long work, so a set number of tasks."""
-        salted = pairs.withColumn("salt", F.pmod(F.col("cls"), F.lit(SALTS)).cast("int"))
-        dealt = salted.join(texts.select("cls", "text"), "cls")
-        pivots = salted.select("p", "salt").distinct().join(texts.select(F.col("cls").alias("p"), F.col("text").alias("pivot_text")), "p")
-        both = dealt.repartition(n_tasks, "p", "salt").join(pivots, ["p", "salt"])
-        distance = 1 - F.col("inter") / (F.col("left") + F.col("right") - F.col("inter"))
-        return written(_distances(both).withColumn("near", linked(F.col("inter"), F.col("left"), F.col("right"))).withColumn("d", distance))
-
-    while True:
-        members = rows.select("p", "cls").distinct()
-        sizes = written(members.groupBy("p").agg(F.count("*").alias("size")))
-        near.append(members.join(sizes.where(f"size <= {small}").select("p"), "p"))
-        if sizes.where(f"size > {small}").isEmpty():
-            break
-        large = written(rows.join(sizes.where(f"size > {small}").select("p"), "p"))
-        if texts is None:  # later rounds only hold classes of this one
-            wanted = large.select(F.col("cls").alias("a")).distinct().join(reps, "a").select(F.col("a").alias("cls"), "rep")
-            texts = written(wanted.join(docs.withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]), "rep"))
-        star = measured(large.select("p", "cls").distinct().where("p <> cls"))
-        stars.append(star.where("near").select("p", "cls"))
-        # sets near p are one component; a far set may link to those of them in its window ...
-        far = star.where("NOT near").select(F.col("p").alias("at"), F.col("cls").alias("p"), F.col("d").alias("far"))
-        window = (F.col("at") == F.col("q")) & (F.abs(F.col("d") - F.col("far")) <= 0.2 + 1e-9)
-        cross = star.where("near").select(F.col("p").alias("q"), "cls", "d").join(far, window).select("p", "cls").distinct()
-        stars.append(measured(cross).where("near").select("p", "cls"))
-        # ... and to other far sets, which go on with new pivots
-        rows = _regions(large.join(star.where("NOT near").select("p", "cls"), ["p", "cls"]).select("key", "cls"))
-    members = reduce(DataFrame.union, near).distinct()
-    named = members.join(reps.select(F.col("a").alias("cls"), "rep"), "cls").select("p", "rep")
-    whole = _packed(docs).join(named, "rep").select("p", "rep", "packed")
-    links = _joined_regions(whole)
-    for star in stars:
-        ids = reps.select(F.col("a").alias("cls"), "rep")
-        pivots = ids.select(F.col("cls").alias("p"), F.col("rep").alias("u"))
-        links = links.union(star.join(ids, "cls").join(pivots, "p").select("u", F.col("rep").alias("v")))
-    return sets.join(reps, ["a", "b", "n"], "left"), links.where("u <> v")
+    sets = found.where("kind = 0").select("row", "doc_id", "n", "a", "b")
+    reps = written(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("times")))
+    rows = _candidates(found.where("kind = 0"), reps, hot)
+    members = _members(rows)
+    texts = written(found.where("kind = 0").select(F.col("row").alias("rep"), "text").join(members.select("rep").distinct(), "rep"))
+    inside = f"times <= {small} AND weight <= {weight}"
+    links = _joined(members.where(inside).join(texts, "rep").select(F.col("p").alias("part"), F.lit(0).alias("side"), F.lit(-1).alias("label"), "rep", "text"))
+    large = members.where(f"NOT ({inside})")
+    if not large.isEmpty():
+        links = links.unionByName(_voronoi(large, texts, small, weight))
+    links = written(links.where("u <> v").distinct())
+    released(rows, members, texts)
+    return sets, reps, links
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every document.
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) for every row of ``docs``.
 
-    Null, empty and blank texts have no shingles and are alone. Equal texts are linked at once,
-    whatever their number. Repeated rows of one doc_id give repeated rows; an empty table gives none;
-    other columns are ignored. Whole texts are used.
+    Null, empty and blank texts have no shingles and are alone: their component_id is their doc_id. Equal texts
+    are linked at once, whatever their number. Rows are told apart by a number of their own: repeated rows give
+    repeated rows, rows of one doc_id with different texts link each for itself, and a row without a doc_id
+    links like others; a component of such rows alone has a null component_id. An empty table gives no rows; other
+    columns are ignored. Whole texts are used.
     """
-    sets, links = jaccard_links(docs)
+    sets, reps, links = jaccard_links(docs)
     found = components(links)
-    return sets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
-    )
+    named = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("times"))
+    classes = written(spread_join(named.select("a", "b", "n", "component", F.col("times").alias("rows")), written(least), ["component"]).select("a", "b", "n", "component_id", F.col("rows").alias("times")))
+    some = spread_join(sets.where("n > 0"), classes, ["a", "b", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

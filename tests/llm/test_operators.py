@@ -239,13 +239,16 @@ def test_decontamination_sketch_searches(spark, monkeypatch):
     assert decontaminate.contained_items(docs, bench).count() == 0 and made == [0, 0]
 
 
-@pytest.mark.parametrize("small", [100, 600])
-def test_jaccard(spark, corpus, small, monkeypatch):
-    monkeypatch.setattr(jaccard.jaccard_links, "__defaults__", (small, 64))
+def shingle_sets(texts):
     sets = []
-    for t in corpus:
+    for t in texts:
         w = (t or "").encode().lower().split()
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+    return sets
+
+
+def brute_components(sets):
+    """For each set the smallest index that links reach."""
     root = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
@@ -253,11 +256,74 @@ def test_jaccard(spark, corpus, small, monkeypatch):
             if shared and 100 * shared >= 80 * len(sets[i] | sets[j]):
                 a, b = root[i], root[j]
                 root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("small", [20, 100, 600])
+def test_jaccard(spark, corpus, small, monkeypatch):
+    monkeypatch.setattr(jaccard.jaccard_links, "__defaults__", (small, 600_000, 64))
+    sets = shingle_sets(corpus)
+    root = brute_components(sets)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, corpus)).collect()}
     assert found == {i: (len(s), root[i]) for i, s in enumerate(sets)}
     assert jaccard.jaccard_components(frame(spark, corpus).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [10, 600])
+def test_jaccard_chains(spark, small, monkeypatch):
+    """Families without a centre, in one large region: links only between neighbours of a chain of edits."""
+    monkeypatch.setattr(jaccard.jaccard_links, "__defaults__", (small, 600_000, 8))
+    rng = random.Random(21)
+    texts = []
+    for _ in range(3):
+        words = prose(rng, 120, 4000).split()
+        for k in range(70):
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(len(words) - 30)] = f"z{rng.randrange(10_000)}"
+            texts.append(" ".join(words[: len(words) - rng.randrange(3)]))
+    texts += [" ".join(t.split()[-40:]) for t in texts[::9]]
+    sets = shingle_sets(texts)
+    root = brute_components(sets)
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert found == dict(enumerate(root)) and 5 < len(set(root)) < len(texts)
+
+
+def test_jaccard_row_keys(spark):
+    """Links through rows without a doc_id, rows of one doc_id with different texts, repeated rows, one very long text."""
+    rng = random.Random(22)
+    words = prose(rng, 100, 4000).split()
+    chain = [words, [*words[:50], "x", *words[51:]], [*words[:50], "x", *words[51:75], "y", *words[76:]]]
+    chain[2] = [*chain[2][5:], "z"]
+    a, b, c = (" ".join(w) for w in chain)
+    other, long = prose(rng, 80, 4000), prose(rng, 60_000, 50_000)
+    rows = [(1, a), (None, b), (3, c), (4, other), (4, a), (7, other + " more"), (4, other), (4, other), (9, long), (8, long + " end"), (None, "alone in its class"), (None, None), (5, "")]
+    texts = [t for _, t in rows]
+    root = brute_components(shingle_sets(texts))
+    least = {r: min((i for (i, _), s in zip(rows, root) if s == r and i is not None), default=None) for r in root}
+    found = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(frame(spark, texts, ids=[i for i, _ in rows])).collect())
+    assert found == collections.Counter((i, len(s), least[r]) for (i, _), s, r in zip(rows, shingle_sets(texts), root))
+    assert found[3, len(shingle_sets([c])[0]), 1] == 1 and found[4, len(shingle_sets([other])[0]), 4] == 3
+
+
+def test_region_links_sides():
+    rng = random.Random(23)
+    for _ in range(40):
+        base = [rng.sample(range(60), 40) for _ in range(2)]
+        sets = [np.unique(np.array([x for x in rng.choice(base) if rng.random() < 0.93] + rng.sample(range(60, 90), 2), np.uint64)) for _ in range(24)]
+        side = np.array([k % 2 for k in range(24)])
+        label = np.array([rng.choice([-1, -1, 0, 1]) for _ in range(24)])
+        want = [(i, j) for i in range(24) for j in range(i) if side[i] != side[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+        def parts(edges):
+            root = [100 + x if x >= 0 else k for k, x in enumerate(label)]
+            for i, j in edges:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+            return root
+
+        assert parts(jaccard.region_links(sets, side, label)) == parts(want)
+
+
 def test_region_links_recursion():
     rng = random.Random(6)
     for _ in range(30):
