@@ -5,8 +5,8 @@ documents all lie at distance 1 from each other, so the first pivots are single
 than 1 to {s} only if it holds s. In one global order (frequent shingles last) a link can cross only into the
 regions of a set's first n - ceil(0.8 n) + 1 shingles, its window. With n // 10 shingles more, two linked
 sets share 1 + ceil(0.8 n) // 10 of their windows at least, so a set with fewer that any other set holds is linked
-with nothing and leaves before any text moves. In each region left, the class that meets most others is its
-document pivot p; regions of one pivot are joined as one.
+with nothing and leaves before any text moves. In each region left, the class of which others hold most is
+its document pivot p; regions of one pivot are joined as one.
 
 Small regions are joined inside a task, about one pivot after the other. A large one gets several
 pivots, and exact distances to all of them: sets within 0.2 of a pivot are linked with it and one
@@ -174,7 +174,7 @@ def _window_rows(sets: DataFrame, frequent: np.ndarray) -> DataFrame:
 
 
 def _candidates(sets: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(key, rep, n) of the windows of all classes that may link, in regions that several of them share.
+    """(key, rep, n, share) of the windows of all classes that may link; share is how much of its window others hold.
 
     A class stays if other classes hold as many shingles of its window as any partner must. Regions are cut
     by set size: linked sets differ in size by a quarter at most, the triangle inequality about the empty
@@ -186,27 +186,26 @@ def _candidates(sets: DataFrame, reps: DataFrame, frequent: np.ndarray) -> DataF
     shared = written(rows.join(blocks.select("key", "salt"), ["key", "salt"]).distinct())
     held = shared.groupBy("cls").agg(F.count("*").alias("held"))
     able = held.join(reps.select(F.col("a").alias("cls"), "rep", "n"), "cls").where(f"held >= 1 + ({PERCENT} * n + 99) div 100 div {SURPLUS}")
+    able = able.select("cls", "rep", "n", F.expr("cast(1000 * held div n as int)").alias("share"))
     band = F.floor(F.log("n") / F.log(F.lit(1.25)) + 1e-9).cast("int")
-    banded = shared.where("first").join(able.select("cls", "rep", "n"), "cls").select("key", "rep", "n", F.explode(F.array(band, band + 1)).alias("band"))
-    banded = written(banded.select(F.xxhash64("key", "band").alias("key"), "rep", "n"))
-    regions = written(banded.groupBy("key").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("times")).where("least <> most").select("key", "times"))
-    rows = written(spread_join(banded, regions, ["key"]))
-    released(shared, banded, regions)
-    return rows
+    banded = shared.where("first").join(able, "cls").select("key", "rep", "n", "share", F.explode(F.array(band, band + 1)).alias("band"))
+    banded = written(banded.select(F.xxhash64("key", "band").alias("key"), "rep", "n", "share"))
+    released(shared)
+    return banded
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """(p, rep, n, times, weight, met): the members of each document pivot's region, its count and sum of n.
+    """(p, rep, n, times, weight): the members of each document pivot's region, its count and sum of n.
 
-    The pivot of a shingle's region is the class that meets most others (``met``): the middle of a
+    The pivot of a shingle's region is the class of which others hold most: the middle of a
     group of near copies rather than its edge.
     """
-    met = rows.groupBy("rep").agg(F.sum("times").alias("met"))
-    pivots = written(rows.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", "rep")).alias("top"), F.count("*").alias("times")).select("key", F.col("top.rep").alias("p"), "times"))
+    pivots = rows.groupBy("key").agg(F.max(F.struct("share", "rep")).alias("top"), F.count("*").alias("times")).where("times > 1")
+    pivots = written(pivots.select("key", F.col("top.rep").alias("p"), "times"))
     members = written(spread_join(rows.select("key", "rep", "n"), pivots, ["key"]).select("p", "rep", "n").distinct())
-    sizes = written(members.groupBy("p").agg(F.count("*").alias("times"), F.sum("n").alias("weight")))
+    sizes = written(members.groupBy("p").agg(F.count("*").alias("times"), F.sum("n").alias("weight")).where("times > 1"))
     sized = written(spread_join(members, sizes, ["p"]))
-    released(pivots, members, sizes)
+    released(rows, pivots, members, sizes)
     return sized
 
 
@@ -291,7 +290,7 @@ def _voronoi(members: DataFrame, texts: DataFrame, small: int, weight: int) -> D
     return _joined(parts).unionByName(stars)
 
 
-def jaccard_links(docs: DataFrame, small: int = 600, weight: int = 600_000, frequent: int = 16_384) -> tuple[DataFrame, DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, small: int = 280, weight: int = 600_000, frequent: int = 16_384) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links): (row, doc_id, n, a, b) of each row of docs; (a, b, n, rep, least, times) of each class
     of equal sets: its first row, smallest doc_id and count; and links (u, v) between reps.
 
@@ -310,9 +309,10 @@ def jaccard_links(docs: DataFrame, small: int = 600, weight: int = 600_000, freq
     links = _joined(members.where(inside).join(texts, "rep").select(F.col("p").alias("part"), F.lit(0).alias("side"), F.lit(-1).alias("label"), "rep", "text"))
     large = members.where(f"NOT ({inside})")
     if not large.isEmpty():
-        links = links.unionByName(_voronoi(large, texts, small, weight))
+        some = written(texts.join(large.select("rep").distinct(), "rep"))
+        links = links.unionByName(_voronoi(large, some, small, weight))
     links = written(links.where("u <> v").distinct())
-    released(rows, members, texts)
+    released(members, texts)
     return sets, reps, links
 
 
