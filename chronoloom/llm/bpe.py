@@ -2,19 +2,21 @@
 
 A rolling hash over the eight bytes before each white space picks chunk ends that depend on content
 alone, so copies and shared passages fall into the same chunks wherever they stand. A Python worker
-encodes a chunk once and reuses it for every document that holds it; the words of new chunks are
-reused in the same way, unknown ones going to the tokenizer in one batch. A join of two parts is
-taken as it is where the tokenizer's own rules cut (a word after ASCII white space that begins
-before U+0300); elsewhere both sides are encoded again together, with ever more context until
-the result agrees with the parts on either side. All memos are bounded; there is no shuffle, since
-a table of all chunks would move more bytes than it saves.
+encodes a chunk once and reuses it for every document that holds it. Every join of two chunks is checked:
+the words on either side of it, encoded together, must give what they give one by one. Where they
+do not, the chunks are encoded again as one, until all joins left agree. Within a new chunk, words that
+end at ASCII white space are reused in the same way, since the library alone takes more CPU time than all this; a
+chunk with a word that begins with a combining mark goes to the library whole. Memos are bounded in bytes.
+There is no shuffle: a table of all chunks would move more bytes than it saves.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
+import re
+import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,14 +26,35 @@ from pyspark.sql import functions as F
 
 from .common import mix, small_batches, texts_of
 
-_WORDS, _CHUNKS, _LONG = 250_000, 20_000, 64
 _MASK = np.uint64(63)  # a chunk has about 64 words
+_MEMO, _LONG = 12 << 20, 4096  # bytes of one generation of a memo; longer keys aren't kept
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_HEAD = re.compile(rb"[ \t-\r]*[^ \t-\r]*")
 
 Part = tuple[int, str, str]  # number of ids, ids joined by a space, decoded text
 
 
+class Memo:
+    """A dictionary of about two times ``limit`` bytes at most: what the last generation didn't use is forgotten."""
+
+    def __init__(self, limit: int = _MEMO):
+        self.limit, self.size, self.now, self.old = limit, 0, {}, {}
+
+    def get(self, key: bytes):
+        if (found := self.now.get(key)) is None and (found := self.old.get(key)) is not None:
+            self.put(key, found, len(key))
+        return found
+
+    def put(self, key: bytes, value, size: int) -> None:
+        if len(key) > _LONG:
+            return
+        if self.size > self.limit:
+            self.old, self.now, self.size = self.now, {}, 0
+        self.now[key] = value
+        self.size += size + 300
+
+
 class ChunkEncoder:
     """encode() and decode() of a ``tokenizers`` file without a decoder of its own, by reuse of chunks."""
 
@@ -45,50 +68,36 @@ class ChunkEncoder:
         if self.tokenizer.decoder is not None:
             raise ValueError("only tokenizers whose decode() joins the tokens by a space")
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.words: dict[bytes, Part] = {}
-        self.older: dict[bytes, Part] = {}
-        self.chunks: dict[bytes, Part] = {}
+        self.words, self.chunks, self.joins = Memo(3 * _MEMO), Memo(), Memo(_MEMO // 3)
 
-    def _part(self, encoding) -> Part:
-        ids = encoding.ids
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
+    def encoded(self, parts: Iterable[bytes]) -> list:
+        return self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
 
-    def raw(self, text: bytes) -> Part:
-        return self._part(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False))
+    def raw(self, parts: list[bytes]) -> list[Part]:
+        return [(len(ids := e.ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])) for e in self.encoded(parts)]
 
     @staticmethod
     def joined(parts: list[Part]) -> Part:
         parts = [p for p in parts if p[0]]
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
-    def learn(self, words: set[bytes]) -> dict[bytes, Part]:
-        """The parts of all ``words``: known ones as they are, the others in one batch."""
-        known = {w: p for w in words if (p := self.words.get(w) or self.older.get(w))}
-        new = [w for w in words if w not in known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            known[w] = self._part(e)
-        if len(self.words) + len(known) > _WORDS:
-            self.older, self.words = self.words, {}
-        self.words.update((w, p) for w, p in known.items() if len(w) <= _LONG)
-        return known
-
-    def agreed(self, words: list[bytes], parts: dict[bytes, Part]) -> Part:
-        """The parts of ``words`` in a row, each doubtful join repaired."""
-        lo, out = 0, []
-        for at in range(1, len(words)):
-            if words[at][0] < 0xCC:
-                continue
-            k = 1
-            while at - k >= lo and self.raw(b" ".join(words[at - k : at + k])) != self.joined([parts[w] for w in words[at - k : at + k]]):
-                k *= 2
-            if k > 1:  # the context that has agreed, or else everything before, is one part from now on
-                upto = min(len(words), at + k)
-                whole = self.raw(b" ".join(words[lo:upto]))
-                return self.joined([*out, whole, self.agreed(words[upto:], parts)]) if upto < len(words) else whole
-        return self.joined([parts[w] for w in words])
+    def fresh(self, chunks: list[bytes]) -> list[Part]:
+        """The parts of new chunks: from the parts of their words, or by the library as a whole."""
+        split = [c.split() for c in chunks]
+        all_words = set().union(*split)
+        parts = {w: p for w in all_words if (p := self.words.get(w)) is not None}
+        new = [w for w in all_words if w not in parts]
+        for w, p in zip(new, self.raw(new)):
+            parts[w] = p if w[0] < 0xCC or not unicodedata.category(w.decode("utf-8", "replace")[0]).startswith("M") else ()
+            self.words.put(w, parts[w], len(w) + sum(map(len, p[1:])))
+        out = [[parts[w] for w in words] for words in split]
+        whole = [k for k, row in enumerate(out) if () in row]
+        made = dict(zip(whole, self.raw([chunks[k] for k in whole])))
+        return [made.get(k) or self.joined(row) for k, row in enumerate(out)]
 
     @staticmethod
     def cut(text: bytes) -> list[bytes]:
+        """Chunks of a text; all but the first begin with a white space."""
         if len(text) < 256:
             return [text]
         data = np.frombuffer(text, np.uint8)
@@ -97,29 +106,44 @@ class ChunkEncoder:
         ends = spaces[(mix(np.ascontiguousarray(last).view(np.uint64)[:, 0]) & _MASK) == 0].tolist()
         return [text[a:b] for a, b in zip([0, *ends], [*ends, len(text)])]
 
+    @staticmethod
+    def seam(before: bytes, chunk: bytes) -> tuple[bytes, bytes]:
+        """The last word before a join, and the white space and first word after it."""
+        words = before.rsplit(None, 1)
+        return words[-1] if words else b"", _HEAD.match(chunk)[0]
+
+    def agreed(self, seams: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
+        """Those whose two sides, encoded together, give what they give one by one."""
+        known = {s: k for s in seams if (k := self.joins.get(b"\0".join(s))) is not None}
+        new = [s for s in seams if s not in known]
+        sides = list({x for s in new for x in s})
+        ids = dict(zip(sides, (e.ids for e in self.encoded(sides))))
+        for s, e in zip(new, self.encoded(a + b for a, b in new)):
+            known[s] = e.ids == ids[s[0]] + ids[s[1]]
+            self.joins.put(b"\0".join(s), known[s], sum(map(len, s)))
+        return {s for s, good in known.items() if good}
+
     def encode_all(self, texts: list[str]) -> list[Part]:
         """The part of each whole text."""
         cuts = [self.cut(t.encode("utf-8", "replace")) for t in texts]
-        keys = set().union(*cuts)
-        now = {k: p for k in keys if (p := self.chunks.get(k))}
-        fresh = {k: k.split() for k in keys if k not in now}
-        parts = self.learn(set().union(*fresh.values()))
-        for k, words in fresh.items():
-            now[k] = self.joined([parts[w] for w in words]) if k.isascii() else self.agreed(words, parts)
-        if len(self.chunks) + len(fresh) > _CHUNKS:
-            self.chunks.clear()
-        self.chunks.update((k, now[k]) for k in fresh if len(k) <= 2048)
-        return [self.whole(cut, now) for cut in cuts]
-
-    def whole(self, cut: list[bytes], now: dict[bytes, Part]) -> Part:
-        """A text from its chunks; each chunk begins with white space, so joins are checked by the word after."""
-        for before, chunk in zip(cut, cut[1:]):
-            head = chunk.lstrip()[:1]
-            if head and head[0] >= 0xCC:
-                left, right = before.split()[-2:], chunk.split()[:2]
-                if self.raw(b" ".join(left + right)) != self.joined([self.raw(b" ".join(left)), self.raw(b" ".join(right))]):
-                    return self.raw(b"".join(cut))  # no agreement: the whole text is one context
-        return self.joined([now[c] for c in cut])
+        seams = [[self.seam(a, b) for a, b in zip(cut, cut[1:])] for cut in cuts]
+        good = self.agreed({s for row in seams for s in row})
+        groups = []
+        for cut, row in zip(cuts, seams):
+            whole = [[cut[0]]]
+            for chunk, seam in zip(cut[1:], row):
+                if seam in good:
+                    whole.append([chunk])
+                else:
+                    whole[-1].append(chunk)
+            groups.append([b"".join(g) for g in whole])
+        keys = {k for g in groups for k in g}
+        parts = {k: p for k in keys if (p := self.chunks.get(k)) is not None}
+        new = [k for k in keys if k not in parts]
+        for k, p in zip(new, self.fresh(new)):
+            parts[k] = p
+            self.chunks.put(k, p, len(k) + len(p[1]) + len(p[2]))
+        return [self.joined([parts[k] for k in g]) for g in groups]
 
 
 @lru_cache(maxsize=2)
@@ -131,8 +155,9 @@ def encoder_of(path: str) -> ChunkEncoder:
 def bpe_encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids (array<int>) and decoded (text) of every document; a null text counts as empty.
 
-    Empty texts give no ids and an empty decoded text. Repeated rows give repeated results, an
-    empty table no rows; other columns are ignored. Texts are encoded whole.
+    Empty texts give no ids and an empty decoded text. Every row is encoded for itself: repeated rows, and rows
+    of one doc_id with different texts, give a row each, and a null doc_id stays null. An empty table gives no
+    rows; other columns are ignored. Texts are encoded whole.
     """
     return _mapped(docs, tokenizer_path, digest=False)
 
@@ -151,13 +176,15 @@ def _mapped(docs: DataFrame, path: str, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(path)
-        for batch in small_batches(batches, 2 << 20):
+        for batch in small_batches(batches, 1 << 20):
             parts = coder.encode_all([t or "" for t in texts_of(batch)])
+            counts = np.array([n for n, _, _ in parts], np.int64)
             if digest:
-                made = [pa.array([n for n, _, _ in parts], pa.int64()), pa.array([_sha(ids) for _, ids, _ in parts], pa.string()), pa.array([_sha(text) for _, _, text in parts], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                made = [pa.array([_sha(ids) for _, ids, _ in parts], pa.string()), pa.array([_sha(text) for _, _, text in parts], pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), *made], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                made = [pa.array([n for n, _, _ in parts], pa.int64()), pa.array([list(map(int, ids.split())) for _, ids, _ in parts], pa.list_(pa.int32())), pa.array([text for _, _, text in parts], pa.string())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "ids", "decoded"])
+                ids = np.fromstring(" ".join([ids for _, ids, _ in parts]), np.int32, sep=" ")
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), lists, pa.array([text for _, _, text in parts], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

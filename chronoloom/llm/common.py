@@ -6,8 +6,10 @@ characters and ``bytes.lower()`` folds exactly A-Z, so both run at C speed on UT
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,27 +69,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> None:
-    if len(Spans.up) <= n:
-        size = max(2 * n, 1 << 16)
-        Spans.up = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _BASE))])
-        Spans.down = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, _INVERSE))])
+#: Words and bytes up to which powers are kept in a worker; longer runs make their own and give them back.
+_KEPT = 1 << 18
+
+
+@lru_cache(maxsize=2)
+def _kept(base: np.uint64) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(_KEPT, base))])
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n - 1, at least."""
+    return _kept(base) if n <= _KEPT else np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(n, base))])
 
 
 class Spans:
     """Hashes of any span of a word-hash sequence in constant time (prefix polynomial, mod 2**64)."""
 
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
+    unit = _INVERSE
 
     def __init__(self, hashes: np.ndarray):
         n = len(hashes)
-        _powers(n)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * Spans.up[:n])])
+        self.down = _powers(_INVERSE, n + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * _powers(_BASE, n + 1)[:n])])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         length = (np.asarray(end) - np.asarray(start)).astype(np.uint64)
-        return mix((self.sums[end] - self.sums[start]) * Spans.down[start] + length)
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + length)
 
 
 _SPACE = np.zeros(256, bool)
@@ -95,18 +103,32 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 
+_GAP = re.compile(rb"[ \t-\r]")
+
+
 def hash_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes and start positions of the words of a text, from one prefix sum over its bytes."""
+    """64-bit hashes and start positions of the words of a text, from prefix sums over pieces of its bytes."""
+    hashes, starts, at = [], [], 0
+    while at < len(data) or not hashes:
+        gap = _GAP.search(data, at + _KEPT - 1)  # a piece ends at a white space
+        end = gap.start() if gap and len(data) - at > _KEPT else len(data)
+        h, start = _hash_piece(data[at:end])
+        hashes.append(h)
+        starts.append(start + at)
+        at = max(end, at + 1)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def _hash_piece(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
-    _powers(n)
     space = np.ones(n + 2, bool)
     space[1:-1] = _SPACE[raw]
     edges = np.flatnonzero(space[1:] != space[:-1])
     start, end = edges[0::2], edges[1::2]
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[raw] * Spans.up[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * Spans.down[start] + (end - start).astype(np.uint64)), start
+    np.cumsum(_BYTES[raw] * _powers(_BASE, n + 1)[:n], out=sums[1:])
+    return mix((sums[end] - sums[start]) * _powers(_INVERSE, n + 1)[start] + (end - start).astype(np.uint64)), start
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -83,7 +83,7 @@ def variant_keys(hashes: np.ndarray, shared: int) -> list[tuple[int, np.ndarray]
     """
     n = len(hashes)
     powers = Spans(hashes)
-    sums, unit = powers.sums, Spans.down[1]
+    sums, unit = powers.sums, Spans.unit
     j = np.arange(n)
     without = sums[j] + (sums[n] - sums[j + 1]) * unit
     out = []
