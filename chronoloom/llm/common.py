@@ -60,6 +60,11 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], parts: int
     return rest.join(values.where(F.col("times") * parts <= total), keys).unionByName(rows.join(F.broadcast(hot), keys))
 
 
+def row_hashes(text) -> list:
+    """th and tg: two 64-bit hashes of a text with different seeds, which tell texts apart as one of 128 bits does."""
+    return [F.xxhash64(text).alias("th"), F.xxhash64(F.lit(1), text).alias("tg")]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser, so that the low and high bits of sums are usable as keys."""
     x = x ^ (x >> np.uint64(30))

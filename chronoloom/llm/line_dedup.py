@@ -19,22 +19,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, hash_words, mix, signed, small_batches, texts_of, written
+from .common import Spans, hash_words, mix, row_hashes, signed, small_batches, texts_of, written
 
 NEAR = 8
 _SALT = np.uint64(0x5851F42D4C957F2D)
 LAST = 2**63 - 1
 
 
+#: What names a row: its doc_id, and 128 bits of its text, which tell rows of one doc_id, or without one, apart.
+ROW = ["doc_id", "th", "tg"]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text): a null doc_id counts as the last one; th, 64 bits, tells rows of one doc_id apart."""
+    """(doc_id, th, tg, text): a null doc_id counts as the last one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select(F.coalesce("id", F.lit(LAST)).alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    return rows.select(F.coalesce("id", F.lit(LAST)).alias("doc_id"), *row_hashes("text"), "text")
 
 
 def at():
-    """What names a line: rows of one doc_id, or without one, share doc_id and line_no."""
-    return F.struct("doc_id", "line_no", "th")
+    """What names a line."""
+    return F.struct("doc_id", "line_no", "th", "tg")
 
 
 def half_keys(spans: Spans, start: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
@@ -48,11 +52,11 @@ def half_keys(spans: Spans, start: np.ndarray, n: np.ndarray) -> list[np.ndarray
 
 
 def _lines(keyed: DataFrame) -> DataFrame:
-    names = ["doc_id", "th", "line_no", "n", "h", "g", "halves"]
+    names = [*ROW, "line_no", "n", "h", "g", "halves"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
-            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            row = [batch.column(k).to_numpy() for k in range(3)]
             texts = [t.encode("utf-8", "surrogatepass") + b"\n" for t in texts_of(batch)]
             data = b"".join(texts)
             ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
@@ -69,10 +73,10 @@ def _lines(keyed: DataFrame) -> DataFrame:
             keys = np.stack(half_keys(first, start, np.maximum(n, 1)), axis=1)
             valid = np.stack([n >= NEAR, n >= NEAR, n > NEAR, n > NEAR], axis=1)
             halves = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(valid.sum(axis=1))]).astype(np.int32)), pa.array(signed(keys[valid])))
-            columns = [ids[owner], ths[owner], number.astype(np.int32), n.astype(np.int32), signed(first.of(start, start + n)), signed(second.of(start, start + n))]
+            columns = [*(c[owner] for c in row), number.astype(np.int32), n.astype(np.int32), signed(first.of(start, start + n)), signed(second.of(start, start + n))]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), halves], names)
 
-    return keyed.mapInArrow(run, "doc_id long, th long, line_no int, n int, h long, g long, halves array<long>")
+    return keyed.mapInArrow(run, "doc_id long, th long, tg long, line_no int, n int, h long, g long, halves array<long>")
 
 
 def variant_keys(hashes: np.ndarray, shared: int) -> list[tuple[int, np.ndarray]]:
@@ -108,24 +112,24 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _variants(asked: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(doc_id, line_no, th, line, kinds, keys) of the asked lines."""
+    """(doc_id, line_no, th, tg, line, kinds, keys) of the asked lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
             rows = []
-            for doc, th, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch), batch.column(3).to_pylist()):
+            for doc, th, tg, text, wanted in zip(*[batch.column(k).to_pylist() for k in range(5)]):
                 lines = text.encode("utf-8", "surrogatepass").split(b"\n")
                 for w in wanted:
                     line = lines[w["line_no"]]
                     made = variant_keys(hash_words(line)[0], w["shared"])
                     kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k in made])
-                    rows.append((doc, w["line_no"], th, line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "line_no", "th", "line", "kinds", "keys"])
+                    rows.append((doc, w["line_no"], th, tg, line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "line_no", "th", "tg", "line", "kinds", "keys"])
 
-    lists = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "shared")).alias("wanted"))
-    rows = keyed.join(lists, ["doc_id", "th"]).select("doc_id", "th", "text", "wanted")
-    return rows.mapInArrow(run, "doc_id long, line_no int, th long, line string, kinds array<int>, keys array<long>")
+    lists = asked.groupBy(*ROW).agg(F.collect_list(F.struct("line_no", "shared")).alias("wanted"))
+    rows = keyed.join(lists, ROW).select(*ROW, "text", "wanted")
+    return rows.mapInArrow(run, "doc_id long, line_no int, th long, tg long, line string, kinds array<int>, keys array<long>")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -137,16 +141,16 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     left = pairs.join(lines.select(at().alias("at"), "line"), "at")
     both = left.join(lines.select(at().alias("first"), F.col("line").alias("other")), "first")
     flat = both.select("at.*", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), "line", "other")
-    return flat.mapInArrow(run, flat.schema).groupBy("doc_id", "line_no", "th").agg(F.min(F.struct("keep_doc_id", "keep_line_no")).alias("keep"))
+    return flat.mapInArrow(run, flat.schema).groupBy(*ROW, "line_no").agg(F.min(F.struct("keep_doc_id", "keep_line_no")).alias("keep"))
 
 
 def _decided(keyed: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, keep_doc_id, keep_line_no, edits) of every line that an earlier one repeats."""
+    """(doc_id, th, tg, line_no, keep_doc_id, keep_line_no, edits) of every line that an earlier one repeats."""
     seen = written(_lines(keyed))
     firsts = written(seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves")))
     distinct = firsts.where(f"n >= {NEAR}").select("first.*", F.posexplode("halves").alias("bit", "half"))
     twice = distinct.groupBy("half").agg(F.count("*").alias("times")).where("times > 1").select("half")
-    asked = distinct.join(twice, "half").groupBy("doc_id", "line_no", "th").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
+    asked = distinct.join(twice, "half").groupBy(*ROW, "line_no").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
     lines = written(_variants(asked, keyed))
     rows = lines.select(at().alias("at"), F.explode(F.arrays_zip("kinds", "keys")).alias("v")).select("at", "v.kinds", "v.keys")
     least = rows.groupBy("keys").agg(*[F.min(F.when(F.col("kinds") == k, F.col("at"))).alias(f"m{k}") for k in range(3)], F.count("*").alias("times")).where("times > 1")
@@ -156,8 +160,7 @@ def _decided(keyed: DataFrame) -> DataFrame:
     groups = firsts.select("h", "g", "n", "first").join(near, "first", "left")
     is_first = at() == F.col("first")
     return seen.join(groups, ["h", "g", "n"]).where(~is_first | F.col("keep").isNotNull()).select(
-        "doc_id",
-        "th",
+        *ROW,
         "line_no",
         F.when(is_first, F.col("keep.keep_doc_id")).otherwise(F.col("first.doc_id")).alias("keep_doc_id"),
         F.when(is_first, F.col("keep.keep_line_no")).otherwise(F.col("first.line_no")).alias("keep_line_no"),
@@ -182,10 +185,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each text without its repeated lines; rows left without words by that go."""
     keyed = _keyed(docs)
-    gone = _decided(keyed).groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    rows = rows.join(gone, ["doc_id", "th"], "left")
-    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
-    out = rows.select(F.col("row").withField("text", text).alias("row"), F.col("gone").isNull().alias("whole"))
+    gone = _decided(keyed).groupBy(*ROW).agg(F.collect_set("line_no").alias("gone"))
+    row = F.struct("*").alias("row")
+    rows = docs.select(row.withField("text", F.lit(None).cast("string")).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), *row_hashes(F.coalesce("text", F.lit(""))), F.split("text", "\n").alias("lines"))
+    rows = rows.join(gone, ROW, "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    text = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    out = rows.select(F.col("row").withField("text", F.when(F.col("lines").isNotNull(), text)).alias("row"), F.col("gone").isNull().alias("whole"))
     return out.where(F.col("whole") | F.col("row.text").rlike("\\S")).select("row.*")

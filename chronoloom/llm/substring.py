@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, hash_words, signed, small_batches, texts_of, written
+from .common import Spans, hash_words, row_hashes, signed, small_batches, texts_of, written
 from .fm_index import repeated_windows
 
 WINDOW, GRAM = 35, 10
+NONE = -(2**63)
+ROW = ["doc_id", "th", "tg"]
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -55,26 +57,26 @@ def regions(hashes: np.ndarray, window: int = WINDOW, gram: int = GRAM):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text): th tells rows of one doc_id apart; a null doc_id is a value like others."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).select(F.coalesce("id", F.lit(-(2**63))).alias("doc_id"), F.hash("text", F.col("id").isNull()).alias("th"), "text", F.col("id").isNull().alias("no_id"))
+    """(doc_id, th, tg, text): 128 bits of the text tell rows of one doc_id apart; a null doc_id is the least long."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select(F.coalesce("id", F.lit(NONE)).alias("doc_id"), *row_hashes("text"), "text")
 
 
 def _occurrences(keyed: DataFrame) -> DataFrame:
-    names = ["anchor", "doc_id", "th", "start", "n", "region"]
+    names = ["anchor", *ROW, "start", "n", "region"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
-            ids, ths, parts = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            row, parts = [batch.column(k).to_numpy() for k in range(3)], []
             for i, text in enumerate(texts_of(batch)):
                 if (found := regions(_hashed(text))) is not None:
                     parts.append((i, *found))
             if parts:
                 rows = np.repeat([p[0] for p in parts], [len(p[1]) for p in parts])
                 anchor, start, count, region = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), pa.array(ids[rows]), pa.array(ths[rows]), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(region))], names)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(anchor)), *(pa.array(c[rows]) for c in row), pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(signed(region))], names)
 
-    return keyed.select("doc_id", "th", "text").mapInArrow(run, "anchor long, doc_id long, th int, start int, n int, region long")
+    return keyed.mapInArrow(run, "anchor long, doc_id long, th long, tg long, start int, n int, region long")
 
 
 def _contents(asked: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -97,8 +99,8 @@ def _contents(asked: DataFrame, keyed: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], list(out))
 
-    lists = asked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", *fields)).alias("wanted"))
-    return keyed.join(lists, ["doc_id", "th"]).select("text", "wanted").mapInArrow(run, "anchor long, region long, n int, weight long, hot boolean, words binary, windows array<long>")
+    lists = asked.groupBy(*ROW).agg(F.collect_list(F.struct("start", *fields)).alias("wanted"))
+    return keyed.join(lists, ROW).select("text", "wanted").mapInArrow(run, "anchor long, region long, n int, weight long, hot boolean, words binary, windows array<long>")
 
 
 def _searched(pieces: DataFrame, shards: int) -> DataFrame:
@@ -129,11 +131,11 @@ def _searched(pieces: DataFrame, shards: int) -> DataFrame:
 
 
 def repeated_spans(keyed: DataFrame, hot: int = 100) -> DataFrame:
-    """(doc_id, th, spans): starts of regions and the bits of their windows that repeat, for rows that have any."""
+    """(doc_id, th, tg, spans): starts of regions and the bits of their windows that repeat, for rows that have any."""
     seen = written(_occurrences(keyed))
     twice = seen.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
     seen = written(seen.join(twice, "anchor"))
-    kinds = seen.groupBy("anchor", "region", "n").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "th", "start")).alias("at"))
+    kinds = seen.groupBy("anchor", "region", "n").agg(F.count("*").alias("weight"), F.min(F.struct(*ROW, "start")).alias("at"))
     kinds = written(kinds.select("anchor", "region", "n", "weight", "at.*"))
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 AND least = 1")
     asked = kinds.join(mixed, "anchor").withColumn("hot", F.col("kinds") > hot)
@@ -145,7 +147,7 @@ def repeated_spans(keyed: DataFrame, hot: int = 100) -> DataFrame:
     counted = windows.where("weight = 1").join(common, ["anchor", "window"]).groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("flags"))
     whole = kinds.where("weight > 1").select("anchor", "region", F.expr("shiftleft(1L, n) - 1").alias("flags"))
     flagged = whole.unionByName(found).unionByName(counted)
-    return seen.join(flagged, ["anchor", "region"]).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "flags")).alias("spans"))
+    return seen.join(flagged, ["anchor", "region"]).groupBy(*ROW).agg(F.collect_set(F.struct("start", "flags")).alias("spans"))
 
 
 def covered(n: int, spans: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:
@@ -184,6 +186,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_words", "n_removed"])
 
-    doc_id = F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id")
-    rows = keyed.join(spans, ["doc_id", "th"], "left").select(doc_id, "text", "spans")
+    doc_id = F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id")
+    rows = keyed.join(spans, ROW, "left").select(doc_id, "text", "spans")
     return rows.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
