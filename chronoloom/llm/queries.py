@@ -86,8 +86,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_decontamination": f"""
 WITH w AS (SELECT doc_id AS id, regexp_split_to_array(trim(lower(text), {_SPACE}), '[ \\t\\n\\x0B\\f\\r]+') AS words FROM documents),
 v AS (SELECT item_id AS id, regexp_split_to_array(trim(lower(text), {_SPACE}), '[ \\t\\n\\x0B\\f\\r]+') AS words FROM benchmark),
-d AS (SELECT DISTINCT id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM w WHERE len(words) >= 5)),
-b AS (SELECT DISTINCT id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT id, words, unnest(range(1, len(words) - 3)) AS i FROM v WHERE len(words) >= 5)),
+s AS (SELECT id, words, least(5, len(words)) AS k FROM v WHERE words[1] <> ''),
+d AS (SELECT DISTINCT id, array_to_string(words[i:i + k - 1], ' ') AS s FROM (SELECT id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w JOIN (SELECT DISTINCT k FROM s) ON len(words) >= k AND words[1] <> '')),
+b AS (SELECT DISTINCT id, array_to_string(words[i:i + k - 1], ' ') AS s FROM (SELECT id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM s)),
 n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_shared, count(*) / n.n_item AS containment
 FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id, n.n_item HAVING 100 * count(*) >= 80 * n.n_item""",

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, hash_words, row_hashes, signed, small_batches, texts_of, written
+from .common import Spans, hash_words, released, row_hashes, signed, small_batches, spread_join, texts_of, written
 from .fm_index import repeated_windows
 
 WINDOW, GRAM = 35, 10
@@ -133,21 +133,23 @@ def _searched(pieces: DataFrame, shards: int) -> DataFrame:
 def repeated_spans(keyed: DataFrame, hot: int = 100) -> DataFrame:
     """(doc_id, th, tg, spans): starts of regions and the bits of their windows that repeat, for rows that have any."""
     seen = written(_occurrences(keyed))
-    twice = seen.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1").select("anchor")
-    seen = written(seen.join(twice, "anchor"))
-    kinds = seen.groupBy("anchor", "region", "n").agg(F.count("*").alias("weight"), F.min(F.struct(*ROW, "start")).alias("at"))
+    twice = written(seen.groupBy("anchor").agg(F.count("*").alias("times")).where("times > 1"))
+    again = written(spread_join(seen, twice, ["anchor"]).drop("times"))
+    released(seen, twice)
+    kinds = again.groupBy("anchor", "region", "n").agg(F.count("*").alias("weight"), F.min(F.struct(*ROW, "start")).alias("at"))
     kinds = written(kinds.select("anchor", "region", "n", "weight", "at.*"))
-    mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("weight").alias("least")).where("kinds > 1 AND least = 1")
-    asked = kinds.join(mixed, "anchor").withColumn("hot", F.col("kinds") > hot)
+    mixed = written(kinds.groupBy("anchor").agg(F.count("*").alias("times"), F.min("weight").alias("least")).where("times > 1 AND least = 1"))
+    asked = spread_join(kinds, mixed, ["anchor"]).withColumn("hot", F.col("times") > hot)
     pieces = written(_contents(asked, keyed))
     shards = max(1, -(-pieces.where("NOT hot").count() // 4096))
     found = _searched(pieces.where("NOT hot"), shards)
     windows = pieces.where("hot").select("anchor", "region", "weight", F.posexplode("windows").alias("bit", "window"))
-    common = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("total")).where("total > 1").select("anchor", "window")
-    counted = windows.where("weight = 1").join(common, ["anchor", "window"]).groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("flags"))
-    whole = kinds.where("weight > 1").select("anchor", "region", F.expr("shiftleft(1L, n) - 1").alias("flags"))
-    flagged = whole.unionByName(found).unionByName(counted)
-    return seen.join(flagged, ["anchor", "region"]).groupBy(*ROW).agg(F.collect_set(F.struct("start", "flags")).alias("spans"))
+    common = written(windows.groupBy("anchor", "window").agg(F.sum("weight").alias("total"), F.count("*").alias("times")).where("total > 1"))
+    counted = spread_join(windows.where("weight = 1"), common, ["anchor", "window"]).groupBy("anchor", "region").agg(F.sum(F.expr("shiftleft(1L, bit)")).alias("flags"))
+    whole = kinds.where("weight > 1").select("anchor", "region", F.expr("shiftleft(1L, n) - 1").alias("flags"), F.col("weight").alias("times"))
+    flagged = written(whole.unionByName(found.unionByName(counted).withColumn("times", F.lit(1).cast("long"))))
+    released(kinds, mixed, pieces, common)
+    return spread_join(again, flagged, ["anchor", "region"]).groupBy(*ROW).agg(F.collect_set(F.struct("start", "flags")).alias("spans"))
 
 
 def covered(n: int, spans: list[tuple[int, int]], window: int = WINDOW) -> np.ndarray:

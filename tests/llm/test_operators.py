@@ -198,25 +198,34 @@ def test_fm_index():
 
 def test_decontamination(spark):
     rng = random.Random(4)
-    items = [prose(rng, n, 900, 50) for n in (5, 8, 20, 40, 70)] + ["too few words", None, ""]
+    items = [prose(rng, n, 900, 50) for n in (5, 8, 20, 40, 70)] + ["too few words", "w1 w2", None, "", " \n"]
     bench = spark.createDataFrame([(k, t, 1) for k, t in enumerate(items)], "item_id long, text string, h int")
-    texts = [prose(rng, 300, 900) for _ in range(30)] + [None, "", "a b"]
+    texts = [prose(rng, 300, 900) for _ in range(30)] + [None, "", "a b", "these are\ttoo FEW words", "too few", "w1 w2 w3", prose(rng, 40_000, 9000) + " " + items[2]]
     for k in range(5):
         texts[k] = f"{texts[k]} {items[k].upper()} {texts[k]}"
         words = items[k].split()
         words[len(words) // 2] = "other"
         texts[10 + k] = f"{texts[10 + k]}\n{' '.join(words)} {texts[10 + k]}"
 
-    def grams(text):
+    def grams(text, k=5):
         w = (text or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
 
-    want = {(i, k): len(grams(t) & grams(b)) for i, t in enumerate(texts) for k, b in enumerate(items) if grams(b) and 100 * len(grams(t) & grams(b)) >= 80 * len(grams(b))}
-    assert len(want) >= 5
+    want = {}
+    for k, b in enumerate(items):
+        size = min(5, len((b or "").split()))
+        for i, t in enumerate(texts):
+            if size and 100 * (shared := len(grams(t, size) & grams(b, size))) >= 80 * len(grams(b, size)):
+                want[i, k] = shared
+    assert len(want) >= 8 and (33, 5) in want and (35, 6) in want
     for rows in (500_000, 3):  # broadcast, then shuffled
         found = decontaminate.contained_items(frame(spark, texts), bench, broadcast_rows=rows).collect()
         assert {(r.doc_id, r.item_id): r.n_shared for r in found} == want
     assert decontaminate.contained_items(frame(spark, texts).limit(0), bench).count() == 0
+    assert decontaminate.contained_items(frame(spark, texts), bench.limit(0)).count() == 0
+    rows = [(None, texts[2]), (None, texts[2]), (None, texts[9]), (7, texts[0]), (7, texts[0]), (7, texts[1])]
+    found = decontaminate.contained_items(frame(spark, [t for _, t in rows], ids=[i for i, _ in rows]), bench).collect()
+    assert sorted((r.doc_id or 0, r.item_id) for r in found) == [(0, 2), *sorted((7, k) for i, k in want if i < 2)]
 
 
 def test_decontamination_sketch_searches(spark, monkeypatch):
