@@ -81,19 +81,27 @@ class ChunkEncoder:
         parts = [p for p in parts if p[0]]
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
+    def known(self, words: Iterable[bytes]) -> dict[bytes, Part]:
+        """The parts of words: those in the memo as they are, the others by the library in one batch."""
+        now, parts, new = self.words.now, {}, []
+        for w in words:
+            if (p := now.get(w) or self.words.get(w)) is None:
+                new.append(w)
+            else:
+                parts[w] = p
+        for w, p in zip(new, self.raw(new)):
+            parts[w] = p
+            self.words.put(w, p, len(w) + len(p[1]) + len(p[2]))
+        return parts
+
     def fresh(self, chunks: list[bytes]) -> list[Part]:
         """The parts of new chunks: from the parts of their words, or by the library as a whole."""
         split = [c.split() for c in chunks]
-        all_words = set().union(*split)
-        parts = {w: p for w in all_words if (p := self.words.get(w)) is not None}
-        new = [w for w in all_words if w not in parts]
-        for w, p in zip(new, self.raw(new)):
-            parts[w] = p if w[0] < 0xCC or not unicodedata.category(w.decode("utf-8", "replace")[0]).startswith("M") else ()
-            self.words.put(w, parts[w], len(w) + sum(map(len, p[1:])))
-        out = [[parts[w] for w in words] for words in split]
-        whole = [k for k, row in enumerate(out) if () in row]
+        parts = self.known(set().union(*split))
+        marks = {w for w in parts if w[0] >= 0xCC and unicodedata.category(w.decode("utf-8", "replace")[0]).startswith("M")}
+        whole = [k for k, words in enumerate(split) if marks and not marks.isdisjoint(words)]
         made = dict(zip(whole, self.raw([chunks[k] for k in whole])))
-        return [made.get(k) or self.joined(row) for k, row in enumerate(out)]
+        return [made.get(k) or self.joined([parts[w] for w in words]) for k, words in enumerate(split)]
 
     @staticmethod
     def cut(text: bytes) -> list[bytes]:
@@ -114,14 +122,14 @@ class ChunkEncoder:
 
     def agreed(self, seams: set[tuple[bytes, bytes]]) -> set[tuple[bytes, bytes]]:
         """Those whose two sides, encoded together, give what they give one by one."""
-        known = {s: k for s in seams if (k := self.joins.get(b"\0".join(s))) is not None}
-        new = [s for s in seams if s not in known]
-        sides = list({x for s in new for x in s})
-        ids = dict(zip(sides, (e.ids for e in self.encoded(sides))))
-        for s, e in zip(new, self.encoded(a + b for a, b in new)):
-            known[s] = e.ids == ids[s[0]] + ids[s[1]]
-            self.joins.put(b"\0".join(s), known[s], sum(map(len, s)))
-        return {s for s, good in known.items() if good}
+        good = {s: k for s in seams if (k := self.joins.get(b"\0".join(s))) is not None}
+        new = [s for s in seams if s not in good]
+        parts = self.known({x.strip() for s in new for x in s})
+        for (a, b), e in zip(new, self.encoded(a + b for a, b in new)):
+            apart = self.joined([parts[a], parts[b.strip()]])
+            good[a, b] = (len(e.ids), " ".join(map(str, e.ids))) == apart[:2]
+            self.joins.put(b"\0".join((a, b)), good[a, b], len(a) + len(b))
+        return {s for s, k in good.items() if k}
 
     def encode_all(self, texts: list[str]) -> list[Part]:
         """The part of each whole text."""
@@ -176,7 +184,7 @@ def _mapped(docs: DataFrame, path: str, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(path)
-        for batch in small_batches(batches, 1 << 20):
+        for batch in small_batches(batches, 2 << 20):
             parts = coder.encode_all([t or "" for t in texts_of(batch)])
             counts = np.array([n for n, _, _ in parts], np.int64)
             if digest:
