@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, small_batches, texts_of
 
-_MASK = np.uint64(63)  # a chunk has about 64 words
+_MASK = np.uint64(127)  # a chunk has about 128 words
+_WORDS, _SHORT = 160_000, 64  # words of one of two generations of their memo (about 300 bytes each), and their longest
 _MEMO, _LONG = 12 << 20, 4096  # bytes of one generation of a memo; longer keys aren't kept
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -68,7 +69,9 @@ class ChunkEncoder:
         if self.tokenizer.decoder is not None:
             raise ValueError("only tokenizers whose decode() joins the tokens by a space")
         self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.words, self.chunks, self.joins = Memo(3 * _MEMO), Memo(), Memo(_MEMO // 3)
+        self.words: dict[bytes, Part] = {}
+        self.older: dict[bytes, Part] = {}
+        self.chunks, self.joins = Memo(), Memo(_MEMO // 3)
 
     def encoded(self, parts: Iterable[bytes]) -> list:
         return self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
@@ -81,17 +84,15 @@ class ChunkEncoder:
         parts = [p for p in parts if p[0]]
         return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
-    def known(self, words: Iterable[bytes]) -> dict[bytes, Part]:
+    def known(self, words: set[bytes]) -> dict[bytes, Part]:
         """The parts of words: those in the memo as they are, the others by the library in one batch."""
-        now, parts, new = self.words.now, {}, []
-        for w in words:
-            if (p := now.get(w) or self.words.get(w)) is None:
-                new.append(w)
-            else:
-                parts[w] = p
-        for w, p in zip(new, self.raw(new)):
-            parts[w] = p
-            self.words.put(w, p, len(w) + len(p[1]) + len(p[2]))
+        now, old = self.words, self.older
+        parts = {w: p for w in words if (p := now.get(w) or old.get(w))}
+        new = [w for w in words if w not in parts]
+        parts.update(zip(new, self.raw(new)))
+        if len(now) + len(parts) > _WORDS:
+            self.older, self.words = now, {}
+        self.words.update((w, p) for w, p in parts.items() if len(w) <= _SHORT)
         return parts
 
     def fresh(self, chunks: list[bytes]) -> list[Part]:

@@ -7,6 +7,7 @@ characters and ``bytes.lower()`` folds exactly A-Z, so both run at C speed on UT
 from __future__ import annotations
 
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,13 +22,17 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or else by ``setCheckpointDir``; one of them must be set."""
+    """The folder named by ``spark.checkpoint.dir``, or else by ``setCheckpointDir``."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
-    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-checkpoint-")  # one machine, as in tests
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
 
 
 def written(df: DataFrame) -> DataFrame:
