@@ -65,9 +65,9 @@ def relevant_specs(changes: DataFrame, modules: DataFrame, keys: list[str], ext:
 
 
 def upsert_modules(base: DataFrame, updates: DataFrame, ext: str = ".md") -> DataFrame:
-    """The latest content of every module; '_master' names the master too."""
+    """The latest content of every module, of equal versions the greater; '_master' names the master too."""
     rows = base.unionByName(updates).withColumn("module_path", F.when(F.col("module_path") == "_master", F.lit(f"_master{ext}")).otherwise(F.col("module_path")))
-    return rows.groupBy("repo_id", "module_path").agg(F.max_by("content", "version").alias("content"), F.max("version").alias("version"))
+    return rows.groupBy("repo_id", "module_path").agg(F.max(F.struct("version", "content"))["content"].alias("content"), F.max("version").alias("version"))
 
 
 def spec_total_tokens(modules: DataFrame) -> DataFrame:

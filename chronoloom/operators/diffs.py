@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, group_key, is_binary_path, not_ignored
 from ..sources.tables import materialized
+from .folds import folded
 
 
 def parse_diff(diffs: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,8 +81,8 @@ def _packed(lengths: list[int], limit: int) -> list[tuple[int, int]]:
 def split_large_file(files: DataFrame, keys: list[str], max_file_tokens: int) -> DataFrame:
     """(keys, part_ord, path, content, tokens): parts of whole lines, named path:first-last; small files stay as they are.
 
-    The greedy packing resets at each part, which no window function does; it runs on arrays of line lengths in Arrow
-    batches, and the texts are cut on the JVM.
+    The greedy packing resets at each part, which no window function does; it runs on keys and arrays of line lengths in
+    Arrow batches. The texts join the parts by key and are cut on the JVM; ``keys`` name a file.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,33 +91,33 @@ def split_large_file(files: DataFrame, keys: list[str], max_file_tokens: int) ->
             yield f.drop(columns=["lengths"])
 
     lines = F.split("content", "\n")
-    schema = [*[f for f in files.schema if f.name in keys], *[f for f in files.schema if f.name in ("path", "content")]]
-    big = files.where(estimate_tokens("content") > max_file_tokens).select(*keys, "path", "content", F.transform(lines, lambda x: F.length(x).cast("long")).alias("lengths"))
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", runs array<struct<a:int,b:int>>"
-    runs = big.mapInPandas(run, ddl).select(*keys, "path", "content", F.posexplode("runs").alias("part_ord", "r"))
+    big = files.where(estimate_tokens("content") > max_file_tokens).select(*keys, "path", "content")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema) + ", runs array<struct<a:int,b:int>>"
+    found = big.select(*keys, F.transform(lines, lambda x: F.length(x).cast("long")).alias("lengths")).mapInPandas(run, ddl)
+    runs = big.join(found, keys).select(*keys, "path", "content", F.posexplode("runs").alias("part_ord", "r"))
     text = F.concat(F.array_join(F.slice(lines, F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "\n"), F.lit("\n"))
     parts = runs.select(*keys, "part_ord", F.concat("path", F.lit(":"), F.col("r.a") + 1, F.lit("-"), F.col("r.b")).alias("path"), text.alias("content"), estimate_tokens(text).alias("tokens"))
     small = files.where(estimate_tokens("content") <= max_file_tokens).select(*keys, F.lit(0).alias("part_ord"), "path", "content", estimate_tokens("content").alias("tokens"))
     return small.unionByName(parts)
 
 
+def budget_fits(tokens: list[int], budget: int, total: int = 0) -> tuple[list[bool], int]:
+    """The fold itself: what fits is added, what doesn't is passed over."""
+    out = []
+    for t in tokens:
+        out.append(total + t <= budget)
+        total += t if out[-1] else 0
+    return out, total
+
+
 def admit_within_budget(files: DataFrame, keys: list[str], budget: int) -> DataFrame:
     """Adds admitted: in listing order, a file enters unless it would exceed the budget; later, smaller ones still may.
 
-    The running total depends on what was skipped, so the files of a tree are folded in order, as pairs of
-    ordinal and tokens only. No budget (0) admits all.
+    The running total depends on what was skipped, so the files of a tree are folded in order. No budget (0) admits all.
     """
     if not budget:
         return files.withColumn("admitted", F.lit(True))
-    ordered = files.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("file_ord", "tokens"))).alias("l"))
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<int>").alias("ords"))
-
-    def fold(acc, x):
-        fits = acc["total"] + x["tokens"] <= budget
-        return F.struct(F.when(fits, acc["total"] + x["tokens"]).otherwise(acc["total"]).cast("long").alias("total"), F.when(fits, F.array_append(acc["ords"], x["file_ord"].cast("int"))).otherwise(acc["ords"]).alias("ords"))
-
-    taken = ordered.select(*keys, F.explode(F.aggregate("l", start, fold)["ords"]).alias("file_ord"), F.lit(True).alias("admitted"))
-    return files.join(taken, [*keys, "file_ord"], "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
+    return folded(files, keys, ["file_ord"], "tokens", "admitted", lambda tokens, total: budget_fits(tokens, budget, total))
 
 
 def read_tree_chunks(files: DataFrame, keys: list[str], patterns: list[str], budget: int, max_file_tokens: int, max_tokens: int) -> tuple[DataFrame, DataFrame]:
@@ -130,17 +131,26 @@ def read_tree_chunks(files: DataFrame, keys: list[str], patterns: list[str], bud
     return chunked, skipped
 
 
+def accepted_diffs(stats: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """Keys of the changes whose diffstat, times ten, stays within the budget; no budget (0) accepts all."""
+    return stats.where(F.lit(budget == 0) | (estimate_tokens("stat") * 10 <= budget)).select(*keys).distinct()
+
+
 def read_diff_chunks(files: DataFrame, stats: DataFrame, keys: list[str], patterns: list[str], budget: int, max_tokens: int) -> DataFrame:
-    """Chunked diff files of the changes whose diffstat, times ten, stays within the budget."""
-    fits = stats.where(F.lit(budget == 0) | (estimate_tokens("stat") * 10 <= budget)).select(*keys)
+    """Chunked diff files of the accepted changes."""
+    fits = accepted_diffs(stats, keys, budget)
     return split_oversized(files.where(~is_binary_path("path") & not_ignored("path", patterns)).join(fits, keys, "left_semi"), keys, max_tokens)
 
 
-def reconciliation_source(diff_chunks: DataFrame, tree_chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Diff chunks where there are any, else those of the tree."""
+def reconciliation_source(diff_chunks: DataFrame, accepted: DataFrame, tree_chunks: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks of the diff where it was ``accepted`` (none, if it has none), else those of the tree.
+
+    A change without a diff to read, such as a first reconciliation, is not among the accepted ones.
+    """
     names = [*keys, "path", "chunk_key", "tokens"]
-    rest = tree_chunks.join(diff_chunks.select(*keys).distinct(), keys, "left_anti")
-    return diff_chunks.select(*names, F.lit("diff").alias("mode")).unionByName(rest.select(*names, F.lit("tree").alias("mode")))
+    told = diff_chunks.join(accepted.select(*keys), keys, "left_semi")
+    rest = tree_chunks.join(accepted.select(*keys), keys, "left_anti")
+    return told.select(*names, F.lit("diff").alias("mode")).unionByName(rest.select(*names, F.lit("tree").alias("mode")))
 
 
 def render_source_chunk(files: DataFrame, keys: list[str]) -> DataFrame:

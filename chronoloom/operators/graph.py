@@ -39,10 +39,17 @@ def first_root(commits: DataFrame) -> DataFrame:
 
 
 def chase(starts: DataFrame, pointers: DataFrame) -> DataFrame:
-    """All (repo_id, start, node, hop) that following ``pointers`` (repo_id, node, next) from ``starts`` reaches."""
+    """All (repo_id, start, node, hop) that following ``pointers`` (repo_id, node, next) from ``starts`` reaches.
+
+    Raises ValueError if the pointers have a cycle: no chain is longer than there are pointers.
+    """
     reach = starts.select(R, F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("hop")).distinct()
-    jump, step = pointers.select(R, "node", "next"), 1
+    jump, step, longest = pointers.select(R, "node", "next"), 1, None
     while True:
+        if step >= 64:
+            longest = pointers.count() if longest is None else longest
+            if step > 2 * longest:
+                raise ValueError("the history has a cycle")
         found = reach.join(jump, [R, "node"]).select(R, "start", F.col("next").alias("node"), (F.col("hop") + step).alias("hop"))
         grown = materialized(reach.unionByName(found))
         ahead = jump.select(R, F.col("node").alias("next"), F.col("next").alias("far"))
@@ -130,10 +137,19 @@ def segment_deps(commits: DataFrame, segments: DataFrame, segment_commits: DataF
 
 
 def _relaxed(segments: DataFrame, deps: DataFrame, weight) -> DataFrame:
-    """(repo_id, segment_id, dist): weight plus the largest dist of the dependencies, to a fixed point."""
+    """(repo_id, segment_id, dist): weight plus the largest dist of the dependencies, to a fixed point.
+
+    Raises ValueError if dependencies have a cycle: no chain has more links than there are segments.
+    """
     base = segments.select(R, "segment_id", weight.cast("long").alias("w"))
     dist = materialized(base.select(R, "segment_id", F.col("w").alias("dist")))
+    rounds, longest = 0, None
     while True:
+        rounds += 1
+        if rounds >= 64:
+            longest = segments.count() if longest is None else longest
+            if rounds > longest + 1:
+                raise ValueError("the dependencies have a cycle")
         ahead = deps.join(dist.select(R, F.col("segment_id").alias("dep_id"), "dist"), [R, "dep_id"]).groupBy(R, "segment_id").agg(F.max("dist").alias("before"))
         now = base.join(ahead, [R, "segment_id"], "left").select(R, "segment_id", (F.col("w") + F.coalesce("before", F.lit(0))).alias("dist"))
         now = materialized(now)

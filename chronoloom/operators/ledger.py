@@ -26,7 +26,8 @@ def ledger_totals(ledger: DataFrame, reconciliations: DataFrame) -> DataFrame:
 
 
 def sha_map(ledger: DataFrame) -> DataFrame:
-    return ledger.groupBy(R, "original_sha").agg(F.max_by("derived_sha", "seq").alias("derived_sha"))
+    """(repo_id, original_sha, derived_sha): the last step wins, of equal numbers the greater sha."""
+    return ledger.groupBy(R, "original_sha").agg(F.max(F.struct("seq", "derived_sha"))["derived_sha"].alias("derived_sha"))
 
 
 def sha_map_from_log(tagged_log: DataFrame) -> DataFrame:

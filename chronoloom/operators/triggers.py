@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 R = "repo_id"
 
 
@@ -40,20 +41,8 @@ def token_fires(tokens: list[int], threshold: int, total: int = 0) -> tuple[list
 
 
 def trigger_token_count(steps: DataFrame, threshold: int) -> DataFrame:
-    """Fires where the diff tokens since the last firing reach the threshold.
-
-    The reset makes the sum no window function; each repository's (step_no, tokens) pairs alone are
-    folded, in order, and the flags joined back.
-    """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("step_no")
-        rows["fires"] = token_fires(rows["diff_tokens"].tolist(), threshold)[0]
-        return rows[[R, "step_no", "fires"]]
-
-    kinds = {f.name: f.dataType.simpleString() for f in steps.schema}
-    flags = steps.select(R, "step_no", "diff_tokens").groupBy(R).applyInPandas(fold, f"{R} {kinds[R]}, step_no {kinds['step_no']}, fires boolean")
-    return steps.join(flags, [R, "step_no"])
+    """Fires where the diff tokens since the last firing reach the threshold; equal step numbers go by their tokens."""
+    return folded(steps, [R], ["step_no", "diff_tokens"], "diff_tokens", "fires", lambda tokens, total: token_fires(tokens, threshold, total))
 
 
 def make_trigger(strategy: str = "n-trunk-commits", interval: int = 50) -> Callable[[DataFrame], DataFrame]:

@@ -46,13 +46,13 @@ dep AS (SELECT w.repo_id, w.segment_id, o.segment_id AS dep_id, min(w.o) AS o FR
 deps AS MATERIALIZED (SELECT repo_id, segment_id, row_number() OVER (PARTITION BY repo_id, segment_id ORDER BY o) - 1 AS dep_ord, dep_id FROM dep),
 chains AS (SELECT repo_id, segment_id, CAST(0 AS BIGINT) AS level, n_commits AS dist FROM segments s WHERE NOT EXISTS (SELECT 1 FROM deps d WHERE d.repo_id = s.repo_id AND d.segment_id = s.segment_id)
   UNION SELECT d.repo_id, d.segment_id, c.level + 1, c.dist + s.n_commits FROM chains c JOIN deps d ON d.repo_id = c.repo_id AND d.dep_id = c.segment_id JOIN segments s ON s.repo_id = d.repo_id AND s.segment_id = d.segment_id),
-merges AS (SELECT m.repo_id, m.segment_id, m.sha AS merge_sha, arg_min(d.dep_id, d.dep_ord) FILTER (k.type = 'trunk') AS trunk_dep, arg_min(d.dep_id, d.dep_ord) FILTER (k.type = 'branch') AS branch_dep
+merges AS MATERIALIZED (SELECT m.repo_id, m.segment_id, m.sha AS merge_sha, arg_min(d.dep_id, d.dep_ord) FILTER (k.type = 'trunk') AS trunk_dep, arg_min(d.dep_id, d.dep_ord) FILTER (k.type = 'branch') AS branch_dep
   FROM members m JOIN commits c USING (repo_id, sha) JOIN segments s ON s.repo_id = m.repo_id AND s.segment_id = m.segment_id AND s.type = 'trunk' JOIN deps d ON d.repo_id = m.repo_id AND d.segment_id = m.segment_id
   JOIN segments k ON k.repo_id = d.repo_id AND k.segment_id = d.dep_id WHERE m.ordinal = 0 AND c.parent1 IS NOT NULL GROUP BY ALL HAVING trunk_dep IS NOT NULL AND branch_dep IS NOT NULL),
 ledger AS MATERIALIZED (SELECT m.repo_id, m.segment_id, m.ordinal AS seq, m.sha AS original_sha, sha1('d' || m.segment_id || m.sha) AS derived_sha, 'spec ' || substr(m.sha, 1, 8) AS spec, 'log ' || substr(m.sha, 1, 8) AS changelog
   FROM members m JOIN segments s USING (repo_id, segment_id) WHERE m.ordinal * 2 < s.n_commits),
-tips AS (SELECT repo_id, segment_id, max(seq) AS seq, arg_max(original_sha, seq) AS original_sha, arg_max(derived_sha, seq) AS derived_sha, arg_max(spec, seq) AS spec, arg_max(changelog, seq) AS changelog FROM ledger GROUP BY ALL),
-mapping AS (SELECT repo_id, original_sha, arg_max(derived_sha, seq) AS derived_sha FROM ledger GROUP BY ALL),
+tips AS MATERIALIZED (SELECT repo_id, segment_id, max(seq) AS seq, arg_max(original_sha, seq) AS original_sha, arg_max(derived_sha, seq) AS derived_sha, arg_max(spec, seq) AS spec, arg_max(changelog, seq) AS changelog FROM ledger GROUP BY ALL),
+mapping AS MATERIALIZED (SELECT repo_id, original_sha, arg_max(derived_sha, seq) AS derived_sha FROM ledger GROUP BY ALL),
 progress AS (SELECT *, CASE WHEN creation_ord < 3 THEN 'complete' WHEN creation_ord = 3 THEN 'in-progress' ELSE 'pending' END AS status FROM segments),
 seeds AS (SELECT s.repo_id, s.segment_id, -(t.depth_from_tip - a.depth_from_tip) - 1 AS ordinal, t.sha FROM segments s JOIN trunk a ON a.repo_id = s.repo_id AND a.sha = s.fork_from
   JOIN trunk t ON t.repo_id = s.repo_id AND t.depth_from_tip BETWEEN a.depth_from_tip AND a.depth_from_tip + 3),
@@ -123,9 +123,10 @@ ORACLES = {
   SELECT x.repo_id, x.segment_id, x.ordinal, x.i, 'f' || CAST(c.seq % 7 AS VARCHAR) AS f, '### ' || substr(x.s, 1, 8) || ' — ' || c.message || chr(10) || chr(10) || '```diff' || chr(10) || 'diff --git a/f b/f' || CAST(c.seq % 7 AS VARCHAR) || chr(10) || '+' || c.message || chr(10) || '```' AS t
   FROM (SELECT repo_id, segment_id, ordinal, i, w[i] AS s FROM plain, unnest(range(greatest(1, len(w) - 1), len(w) + 1)) AS u(i)) x JOIN commits c ON c.repo_id = x.repo_id AND c.sha = x.s) GROUP BY ALL"""),
     "step_plan": _g("""SELECT m.repo_id, m.segment_id, m.ordinal, m.sha, CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 THEN 'merge' WHEN c.parent0 IS NULL AND c.parent1 IS NULL THEN 'initial-commit' ELSE 'evolve' END AS step_type,
-  CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 OR c.parent0 IS NULL AND c.parent1 IS NULL THEN 'opus' ELSE 'sonnet' END AS model, substr(f.sha, 1, 8) || '..' || substr(m.sha, 1, 8) AS label
-  FROM members m JOIN commits c ON c.repo_id = m.repo_id AND c.sha = m.sha LEFT JOIN merges q ON q.repo_id = m.repo_id AND q.segment_id = m.segment_id
-  JOIN members f ON f.repo_id = m.repo_id AND f.segment_id = m.segment_id AND f.ordinal = CASE WHEN m.ordinal = 0 THEN 0 ELSE greatest(m.ordinal - 4, CASE WHEN q.segment_id IS NOT NULL THEN 1 ELSE 0 END) END"""),
+  CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 OR c.parent0 IS NULL AND c.parent1 IS NULL THEN 'opus' ELSE 'sonnet' END AS model, CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 THEN substr(m.sha, 1, 8) ELSE substr(m.w[1], 1, 8) END || '..' || substr(m.sha, 1, 8) AS label
+  FROM (SELECT u.repo_id, u.segment_id, u.ordinal, u.sha, array_agg(u.sha) OVER (PARTITION BY u.repo_id, u.segment_id, v.segment_id IS NOT NULL AND u.ordinal = 0 ORDER BY u.ordinal ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS w
+    FROM (SELECT repo_id, segment_id, ordinal, sha FROM members UNION ALL SELECT repo_id, segment_id, ordinal, sha FROM seeds) u LEFT JOIN merges v ON v.repo_id = u.repo_id AND v.segment_id = u.segment_id) m
+  JOIN commits c ON c.repo_id = m.repo_id AND c.sha = m.sha LEFT JOIN merges q ON q.repo_id = m.repo_id AND q.segment_id = m.segment_id WHERE m.ordinal >= 0"""),
     "estimate_tokens": "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents",
     "parse_diff": "SELECT doc_id // 10 AS change_id, lang || '/doc' || doc_id || '.md' AS path, CAST(ceil(length('diff --git a/' || lang || '/doc' || doc_id || '.md b/' || lang || '/doc' || doc_id || '.md' || chr(10) || coalesce(text, '') || chr(10)) / 4.0) AS BIGINT) AS tokens FROM documents WHERE lang IS NOT NULL",
     "changed_paths": "SELECT doc_id // 10 AS change_id, string_agg(lang || '/doc' || doc_id || '.md', ',' ORDER BY doc_id) AS paths FROM documents GROUP BY ALL",
@@ -155,9 +156,12 @@ ORACLES = {
   FROM (SELECT m.repo_id, m.segment_id, count(u.sha) AS n_done, count(*) AS n_commits FROM members m LEFT JOIN up u USING (repo_id, sha) GROUP BY ALL) x JOIN members m ON m.repo_id = x.repo_id AND m.segment_id = x.segment_id AND m.ordinal < x.n_done
   LEFT JOIN mapping p ON p.repo_id = m.repo_id AND p.original_sha = m.sha GROUP BY ALL"""),
     "remaining_work": _g("SELECT m.repo_id, m.segment_id, count(*) AS remaining FROM members m LEFT JOIN ledger l ON l.repo_id = m.repo_id AND l.segment_id = m.segment_id AND l.original_sha = m.sha WHERE l.seq IS NULL GROUP BY ALL"),
+    "segment_topo_order": _g("SELECT repo_id, segment_id, row_number() OVER (PARTITION BY repo_id ORDER BY level, creation_ord) - 1 AS topo_pos FROM (SELECT repo_id, segment_id, max(level) AS level FROM chains GROUP BY ALL) JOIN segments USING (repo_id, segment_id)"),
+    "overall_head": _g("SELECT t.repo_id, arg_max(t.derived_sha, s.creation_ord) AS derived_sha FROM tips t JOIN segments s ON s.repo_id = t.repo_id AND s.segment_id = t.segment_id WHERE s.type = 'trunk' GROUP BY ALL"),
+    "reset_segments": _g("SELECT l.repo_id, l.segment_id, l.seq, l.original_sha FROM ledger l JOIN segments s ON s.repo_id = l.repo_id AND s.segment_id = l.segment_id WHERE s.creation_ord >= 2"),
     "segment_tips": _g("SELECT * FROM tips"),
-    "derived_parents": _g("""SELECT m.repo_id, m.segment_id, m.ordinal, CASE WHEN m.ordinal > 0 THEN coalesce(p.derived_sha, '') WHEN q.segment_id IS NOT NULL AND a.derived_sha IS NOT NULL AND b.derived_sha IS NOT NULL THEN a.derived_sha || ',' || b.derived_sha ELSE coalesce(t.derived_sha, '') END AS parents
-  FROM members m LEFT JOIN members l ON l.repo_id = m.repo_id AND l.segment_id = m.segment_id AND l.ordinal = m.ordinal - 1 LEFT JOIN mapping p ON p.repo_id = l.repo_id AND p.original_sha = l.sha
+    "derived_parents": _g("""SELECT m.repo_id, m.segment_id, m.ordinal, CASE WHEN m.ordinal > 0 THEN coalesce(m.before, '') WHEN q.segment_id IS NOT NULL AND a.derived_sha IS NOT NULL AND b.derived_sha IS NOT NULL THEN a.derived_sha || ',' || b.derived_sha ELSE coalesce(t.derived_sha, '') END AS parents
+  FROM (SELECT x.*, lag(y.derived_sha) OVER (PARTITION BY x.repo_id, x.segment_id ORDER BY x.ordinal) AS before FROM members x LEFT JOIN mapping y ON y.repo_id = x.repo_id AND y.original_sha = x.sha) m
   LEFT JOIN merges q ON q.repo_id = m.repo_id AND q.segment_id = m.segment_id LEFT JOIN tips a ON a.repo_id = q.repo_id AND a.segment_id = q.trunk_dep LEFT JOIN tips b ON b.repo_id = q.repo_id AND b.segment_id = q.branch_dep
   LEFT JOIN deps d ON d.repo_id = m.repo_id AND d.segment_id = m.segment_id AND d.dep_ord = 0 LEFT JOIN tips t ON t.repo_id = d.repo_id AND t.segment_id = d.dep_id"""),
     "record_merges": _g("SELECT q.repo_id, q.merge_sha, p.derived_sha, q.trunk_dep, q.branch_dep FROM merges q JOIN mapping p ON p.repo_id = q.repo_id AND p.original_sha = q.merge_sha"),

@@ -120,6 +120,12 @@ def segment_levels(spark, sf_dir):
     return g.segment_levels(r.segments, r.deps)
 
 
+@query
+def segment_topo_order(spark, sf_dir):
+    r = Repos(spark, sf_dir).full()
+    return g.segment_topo_order(r.segments, r.deps).select("repo_id", "segment_id", "topo_pos")
+
+
 @query
 def critical_path(spark, sf_dir):
     r = Repos(spark, sf_dir).full()
@@ -193,7 +199,7 @@ def render_full_diffs(spark, sf_dir):
 @query
 def step_plan(spark, sf_dir):
     r = Repos(spark, sf_dir).full()
-    plan = wd.step_plan(r.members, r.commits, g.merge_inputs(r.commits, r.segments, r.members, r.deps), WINDOW, DEPTH)
+    plan = wd.step_plan(r.members, r.commits, g.merge_inputs(r.commits, r.segments, r.members, r.deps), WINDOW, DEPTH, seed=g.fork_context(r.trunk, r.segments, WINDOW))
     return plan.select("repo_id", "segment_id", "ordinal", "sha", "step_type", "model", "label")
 
 
@@ -412,6 +418,19 @@ def segment_tips(spark, sf_dir):
     return lg.segment_tips(Repos(spark, sf_dir).graph().ledger())
 
 
+@query
+def overall_head(spark, sf_dir):
+    r = Repos(spark, sf_dir).graph()
+    return lg.overall_head(lg.segment_tips(r.ledger()), r.segments)
+
+
+@query
+def reset_segments(spark, sf_dir):
+    """The first two segments of every repository begin again."""
+    r = Repos(spark, sf_dir).graph()
+    return lg.reset_segments(r.ledger(), r.segments.where("creation_ord < 2")).select("repo_id", "segment_id", "seq", "original_sha")
+
+
 @query
 def derived_parents(spark, sf_dir):
     r = Repos(spark, sf_dir).full()

@@ -20,7 +20,7 @@ def _repo_of_file() -> Column:
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """(repo, log_pos, record): the non-blank records of each file (one file a repository), newest first."""
     files = spark.read.text(path, wholetext=True).select(_repo_of_file().alias("repo"), "value")
-    records = files.select("repo", F.posexplode(F.filter(F.split("value", REC), lambda r: F.trim(r) != "")).alias("log_pos", "record"))
+    records = files.select("repo", F.posexplode(F.filter(F.split("value", REC), lambda r: r.rlike(r"\S"))).alias("log_pos", "record"))
     return records.select("repo", F.col("log_pos").cast("long"), F.regexp_replace("record", r"\A\s+", "").alias("record"))
 
 
