@@ -97,6 +97,58 @@ def test_diffs(spark):
     assert [(r.path, r.content, r.tokens) for r in parts] == [("f:1-2", "aaaa\nbbbb\n", 3), ("f:3-3", "cccccccccccccccc\n", 5), ("f:4-4", "d\n", 1), ("g", "x", 1)]
 
 
+def test_reconciliation_source(spark):
+    """An accepted diff without chunks is no reason to read the tree; a rejected or absent one is."""
+    stats = spark.createDataFrame([(1, "x" * 40), (2, "x" * 4000), (3, "x")], "id int, stat string")
+    files = spark.createDataFrame([(1, 0, "src/a.ts", 5), (2, 0, "src/b.ts", 5), (3, 0, "logo.png", 5)], "id int, file_ord int, path string, tokens long")
+    tree = spark.createDataFrame([(k, "src/t.ts", "src", 9) for k in (1, 2, 3, 4)], "id int, path string, chunk_key string, tokens long")
+    accepted = diffs.accepted_diffs(stats, ["id"], 200)
+    found = diffs.reconciliation_source(diffs.read_diff_chunks(files, stats, ["id"], [], 200, 100), accepted, tree, ["id"])
+    assert sorted((r.id, r.mode, r.path) for r in found.collect()) == [(1, "diff", "src/a.ts"), (2, "tree", "src/t.ts"), (4, "tree", "src/t.ts")]
+    assert {r.id for r in diffs.accepted_diffs(stats, ["id"], 0).collect()} == {1, 2, 3}
+    chunk = spark.createDataFrame([(1, "src/a", 1, "b.ts", "two"), (1, "src/a", 0, "a.ts", "one")], "id int, chunk_key string, file_ord int, path string, content string")
+    row = diffs.render_source_chunk(chunk, ["id"]).first()
+    assert (row.file_name, row.text) == ("source/src--a.txt", "--- a.ts ---\none\n\n--- b.ts ---\ntwo")
+
+
+def test_tree_chunks(spark):
+    rows = [(1, 0, "src/a.ts", "x" * 40), (1, 1, "src/b.ts", "y" * 400), (1, 2, "src/c.ts", "z" * 20), (1, 3, "logo.png", "q"), (1, 4, "d.lock", "w"), (1, 5, "e.bin2", None)]
+    files = spark.createDataFrame(rows, "id int, file_ord int, path string, content string")
+    chunked, skipped = diffs.read_tree_chunks(files, ["id"], ["d.lock"], 20, 50, 1000)
+    assert sorted(r.path for r in chunked.collect()) == ["src/a.ts", "src/c.ts"] and sorted(r.path for r in skipped.collect()) == ["e.bin2", "src/b.ts"]
+
+
+def test_folds(spark):
+    """Repeated step numbers add no rows, state runs on across batches, and each key begins anew."""
+    rows = [(k % 3, k // 3, 1 if k % 2 else 3) for k in range(3000)] + [(0, 5, 1), (None, 1, None)]
+    table = spark.createDataFrame(rows, "repo_id long, step_no long, diff_tokens long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = triggers.trigger_token_count(table, 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(rows)
+    for repo in (0, 1, 2):
+        own = sorted((s, n) for r, s, n in rows if r == repo)
+        want = triggers.token_fires([n for _, n in own], 10)[0]
+        assert [r.fires for r in sorted((r for r in found if r.repo_id == repo), key=lambda r: (r.step_no, r.diff_tokens))] == want
+
+
+def test_cycles(spark):
+    ring = spark.createDataFrame([(1, k, (k + 1) % 3) for k in range(3)], "repo_id long, node long, next long")
+    with pytest.raises(ValueError, match="cycle"):
+        graph.chase(ring.where("node = 0").select("repo_id", "node"), ring)
+
+
+def test_step_plan_seed(history):
+    commits, parts = history
+    merges = commits.where("sha = 'M1'").selectExpr("repo_id", "'trunk-1' AS segment_id")
+    seed = graph.fork_context(parts["trunk"], parts["segments"], 4)
+    plan = {r.sha: r for r in windows.step_plan(parts["segment_commits"], commits, merges, 4, 1, seed=seed).collect()}
+    assert plan["X1"].context == ["A", "B", "C"] and plan["X1"].full == ["X1"] and plan["A"].step_type == "initial-commit"
+    assert plan["M1"].step_type == "merge" and plan["D"].window == ["D"] and plan["M1"].window == ["M1"]
+
+
 def test_changelogs(spark):
     side = lambda text: spark.createDataFrame([(1, text)], "id int, text string")
     trunk, branch = side("# log\n## aaaaaaa1 x\none"), side("intro\n## aaaaaaa1 x\none\n## bbbbbbb two\n## no sha")
