@@ -443,6 +443,31 @@ def test_accepted_without_languages(spark):
     assert {r.doc_id for r in langid.accepted(docs).collect()} == {0, 4}
 
 
+def test_bpe_repairs_joins():
+    """Joins that disagree are encoded as one: a tokenizer whose words reach across white space would be right too."""
+    coder = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(31)
+    text = prose(rng, 4000, 3000)
+    want = coder.raw([text.encode()])[0]
+    assert coder.encode_all([text])[0] == want and len(coder.cut(text.encode())) > 5
+    fresh = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    fresh.agreed = lambda seams: set()
+    asked, raw = [], fresh.fresh
+    fresh.fresh = lambda chunks: asked.extend(chunks) or raw(chunks)
+    assert fresh.encode_all([text])[0] == want and asked == [text.encode()]
+
+
+def test_spread_join(spark):
+    from chronoloom.llm.common import spread_join, written
+
+    rows = spark.createDataFrame([(1, k) for k in range(500)] + [(k, k) for k in range(2, 90)] + [(None, 7)], "key long, x long")
+    values = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("times")).where("key % 3 <> 0"))
+    for parts in (2, 1000):
+        found = sorted((r.key, r.x, r.times) for r in spread_join(rows, values, ["key"], parts).collect())
+        assert found == sorted([(1, k, 500) for k in range(500)] + [(k, k, 1) for k in range(2, 90) if k % 3])
+    assert spread_join(rows, values.limit(0), ["key"]).count() == 0
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
