@@ -107,9 +107,19 @@ def record_merges(ledger: DataFrame, merges: DataFrame) -> DataFrame:
     return merges.join(sha_map(ledger).withColumnRenamed("original_sha", "merge_sha"), [R, "merge_sha"]).select(R, "merge_sha", "derived_sha", "trunk_dep", "branch_dep")
 
 
-def resume_mode(repos: DataFrame, states: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(repo_id, mode, commits_beyond_anchor): a usable state file, else a derived branch, else fresh."""
-    s = states.select(R, F.lit(True).alias("s")).distinct()
-    a = anchors.where("anchor IS NOT NULL").select(R, "commits_beyond_anchor", F.lit(True).alias("a"))
-    rows = repos.select(R).join(s, R, "left").join(a, R, "left")
-    return rows.select(R, F.when(F.col("s"), "state-file").when(F.col("a"), "derived-branch").otherwise("fresh").alias("mode"), "commits_beyond_anchor")
+def resume_mode(repos: DataFrame, states: DataFrame, anchors: DataFrame, seeded: DataFrame) -> DataFrame:
+    """(repo_id, mode, total_commits, n_segments, completed, remaining, cost_so_far, commits_beyond_anchor).
+
+    A usable state file (``states``: total_steps, total_cost), else a derived branch (``seeded``: n_done of each segment
+    that ``seed_progress`` found; it has cost nothing yet), else fresh, with no figures of completed work. ``repos`` holds
+    total_commits, n_segments and total_steps.
+    """
+    s = states.groupBy(R).agg(F.max("total_steps").alias("s_steps"), F.max("total_cost").alias("s_cost"), F.lit(True).alias("s"))
+    a = anchors.where("anchor IS NOT NULL").select(R, F.col("commits_beyond_anchor").alias("beyond"), F.lit(True).alias("a"))
+    n = seeded.groupBy(R).agg(F.sum("n_done").alias("a_steps"))
+    rows = repos.join(s, R, "left").join(a, R, "left").join(n, R, "left")
+    rows = rows.withColumn("mode", F.when(F.col("s"), "state-file").when(F.col("a"), "derived-branch").otherwise("fresh"))
+    state, branch = F.col("mode") == "state-file", F.col("mode") == "derived-branch"
+    rows = rows.withColumn("completed", F.when(state, F.coalesce("s_steps", F.lit(0))).when(branch, F.coalesce("a_steps", F.lit(0))))
+    cost = F.when(state, F.coalesce("s_cost", F.lit(0))).when(branch, F.lit(0)).cast(states.schema["total_cost"].dataType)
+    return rows.select(R, "mode", "total_commits", "n_segments", "completed", (F.col("total_steps") - F.col("completed")).alias("remaining"), cost.alias("cost_so_far"), F.when(branch, F.col("beyond")).alias("commits_beyond_anchor"))

@@ -92,6 +92,11 @@ _STEPS = f"WITH steps AS ({_sql(fx.STEPS)})"
 _SOURCES = f"WITH src AS ({_sql(fx.SOURCES)})"
 
 
+def _chars(c: str) -> str:
+    """The length of a commit's rendered diff."""
+    return f"length('### ' || substr({c}.sha, 1, 8) || ' — ' || {c}.message || chr(10) || chr(10) || '```diff' || chr(10) || 'diff --git a/f b/f' || CAST({c}.seq % 7 AS VARCHAR) || chr(10) || '+' || {c}.message || chr(10) || '```')"
+
+
 def _g(select: str) -> str:
     return _GRAPH + select
 
@@ -123,10 +128,11 @@ ORACLES = {
   SELECT x.repo_id, x.segment_id, x.ordinal, x.i, 'f' || CAST(c.seq % 7 AS VARCHAR) AS f, '### ' || substr(x.s, 1, 8) || ' — ' || c.message || chr(10) || chr(10) || '```diff' || chr(10) || 'diff --git a/f b/f' || CAST(c.seq % 7 AS VARCHAR) || chr(10) || '+' || c.message || chr(10) || '```' AS t
   FROM (SELECT repo_id, segment_id, ordinal, i, w[i] AS s FROM plain, unnest(range(greatest(1, len(w) - 1), len(w) + 1)) AS u(i)) x JOIN commits c ON c.repo_id = x.repo_id AND c.sha = x.s) GROUP BY ALL"""),
     "step_plan": _g("""SELECT m.repo_id, m.segment_id, m.ordinal, m.sha, CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 THEN 'merge' WHEN c.parent0 IS NULL AND c.parent1 IS NULL THEN 'initial-commit' ELSE 'evolve' END AS step_type,
-  CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 OR c.parent0 IS NULL AND c.parent1 IS NULL THEN 'opus' ELSE 'sonnet' END AS model, CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 THEN substr(m.sha, 1, 8) ELSE substr(m.w[1], 1, 8) END || '..' || substr(m.sha, 1, 8) AS label
+  CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 OR c.parent0 IS NULL AND c.parent1 IS NULL THEN 'opus' ELSE 'sonnet' END AS model, CASE WHEN q.segment_id IS NOT NULL AND m.ordinal = 0 THEN substr(m.sha, 1, 8) ELSE substr(m.w[1], 1, 8) END || '..' || substr(m.sha, 1, 8) AS label,
+  CAST(ceil((chars(c) + coalesce(2 + chars(b), 0)) / 4.0) AS BIGINT) AS diff_tokens
   FROM (SELECT u.repo_id, u.segment_id, u.ordinal, u.sha, array_agg(u.sha) OVER (PARTITION BY u.repo_id, u.segment_id, v.segment_id IS NOT NULL AND u.ordinal = 0 ORDER BY u.ordinal ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS w
     FROM (SELECT repo_id, segment_id, ordinal, sha FROM members UNION ALL SELECT repo_id, segment_id, ordinal, sha FROM seeds) u LEFT JOIN merges v ON v.repo_id = u.repo_id AND v.segment_id = u.segment_id) m
-  JOIN commits c ON c.repo_id = m.repo_id AND c.sha = m.sha LEFT JOIN merges q ON q.repo_id = m.repo_id AND q.segment_id = m.segment_id WHERE m.ordinal >= 0"""),
+  JOIN commits c ON c.repo_id = m.repo_id AND c.sha = m.sha LEFT JOIN merges q ON q.repo_id = m.repo_id AND q.segment_id = m.segment_id LEFT JOIN commits b ON b.repo_id = m.repo_id AND b.sha = m.w[-2] WHERE m.ordinal >= 0""").replace("chars(c)", _chars("c")).replace("chars(b)", _chars("b")),
     "estimate_tokens": "SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM documents",
     "parse_diff": "SELECT doc_id // 10 AS change_id, lang || '/doc' || doc_id || '.md' AS path, CAST(ceil(length('diff --git a/' || lang || '/doc' || doc_id || '.md b/' || lang || '/doc' || doc_id || '.md' || chr(10) || coalesce(text, '') || chr(10)) / 4.0) AS BIGINT) AS tokens FROM documents WHERE lang IS NOT NULL",
     "changed_paths": "SELECT doc_id // 10 AS change_id, string_agg(lang || '/doc' || doc_id || '.md', ',' ORDER BY doc_id) AS paths FROM documents GROUP BY ALL",
@@ -165,13 +171,22 @@ ORACLES = {
   LEFT JOIN merges q ON q.repo_id = m.repo_id AND q.segment_id = m.segment_id LEFT JOIN tips a ON a.repo_id = q.repo_id AND a.segment_id = q.trunk_dep LEFT JOIN tips b ON b.repo_id = q.repo_id AND b.segment_id = q.branch_dep
   LEFT JOIN deps d ON d.repo_id = m.repo_id AND d.segment_id = m.segment_id AND d.dep_ord = 0 LEFT JOIN tips t ON t.repo_id = d.repo_id AND t.segment_id = d.dep_id"""),
     "record_merges": _g("SELECT q.repo_id, q.merge_sha, p.derived_sha, q.trunk_dep, q.branch_dep FROM merges q JOIN mapping p ON p.repo_id = q.repo_id AND p.original_sha = q.merge_sha"),
-    "resume_mode": _g("SELECT c.repo_id, CASE WHEN c.repo_id % 3 = 0 THEN 'state-file' WHEN c.repo_id % 3 = 1 AND min(t.log_pos) IS NOT NULL THEN 'derived-branch' ELSE 'fresh' END AS mode, CASE WHEN c.repo_id % 3 <> 2 THEN min(t.log_pos) END AS commits_beyond_anchor FROM (SELECT DISTINCT repo_id FROM commits) c LEFT JOIN tagged t ON t.repo_id = c.repo_id AND t.original_sha IS NOT NULL AND t.log_pos < 100 GROUP BY c.repo_id"),
+    "resume_mode": _g("""SELECT repo_id, mode, total_commits, n_segments, completed, total_steps - completed AS remaining, CAST(CASE mode WHEN 'state-file' THEN cost WHEN 'derived-branch' THEN 0 END AS DECIMAL(28,6)) AS cost_so_far, CASE WHEN mode = 'derived-branch' THEN beyond END AS commits_beyond_anchor
+  FROM (SELECT *, CASE mode WHEN 'state-file' THEN steps WHEN 'derived-branch' THEN coalesce(n_done, 0) END AS completed FROM (
+    SELECT c.repo_id, c.total_commits, s.n_segments, s.total_steps, l.steps, l.cost, a.beyond, d.n_done, CASE WHEN c.repo_id % 3 = 0 AND l.steps IS NOT NULL THEN 'state-file' WHEN c.repo_id % 3 <> 2 AND a.beyond IS NOT NULL THEN 'derived-branch' ELSE 'fresh' END AS mode
+    FROM (SELECT repo_id, count(*) AS total_commits FROM commits GROUP BY repo_id) c JOIN (SELECT repo_id, count(*) AS n_segments, CAST(sum(n_commits) AS BIGINT) AS total_steps FROM segments GROUP BY repo_id) s ON s.repo_id = c.repo_id
+    LEFT JOIN (SELECT repo_id, count(*) AS steps, (count(*) + count(*) FILTER (seq % 5 = 0)) * 0.01 AS cost FROM ledger GROUP BY repo_id) l ON l.repo_id = c.repo_id
+    LEFT JOIN (SELECT repo_id, min(log_pos) AS beyond FROM tagged WHERE original_sha IS NOT NULL AND log_pos < 100 GROUP BY repo_id) a ON a.repo_id = c.repo_id
+    LEFT JOIN (SELECT m.repo_id, count(*) AS n_done FROM members m JOIN up u ON u.repo_id = m.repo_id AND u.sha = m.sha GROUP BY m.repo_id) d ON d.repo_id = c.repo_id))"""),
     "segment_type_stats": _g("SELECT repo_id, type, count(*) AS n_segments, CAST(sum(n_commits) AS BIGINT) AS n_commits FROM segments GROUP BY GROUPING SETS ((repo_id, type), (repo_id))"),
     "model_distribution": _g("SELECT * FROM models"),
     "cost_estimate": _g("SELECT * FROM costs"),
     "setup_stats": _g("""SELECT *, fmt(wall_low) || ' - ' || fmt(wall_high) AS wall_text FROM (SELECT *, CAST(45 * rounds AS BIGINT) AS wall_low, CAST(90 * rounds AS BIGINT) AS wall_high FROM (
-  SELECT x.repo_id, n_segments, total_steps, coalesce(done, 0) AS done, greatest(0, total_steps - coalesce(done, 0)) AS remaining, critical_path, low, high, greatest(critical_path, ceil(greatest(0, total_steps - coalesce(done, 0)) / 4.0)) AS rounds
-  FROM (SELECT repo_id, count(*) AS n_segments, CAST(sum(n_commits) AS BIGINT) AS total_steps FROM segments GROUP BY repo_id) x LEFT JOIN done USING (repo_id) JOIN (SELECT repo_id, max(dist) AS critical_path FROM chains GROUP BY repo_id) k USING (repo_id) JOIN costs USING (repo_id)))""").replace("SELECT *, fmt(wall_low)", "SELECT * EXCLUDE (rounds), fmt(wall_low)"),
+  SELECT x.repo_id, n_segments, total_steps, by_type, by_model, merge_points, coalesce(done, 0) AS done, coalesce(done, 0) > 0 AS is_resume, CAST(coalesce(done, 0) * 0.01 AS DECIMAL(28,6)) AS cost_so_far, greatest(0, total_steps - coalesce(done, 0)) AS remaining, critical_path, low, high, greatest(critical_path, ceil(greatest(0, total_steps - coalesce(done, 0)) / 4.0)) AS rounds
+  FROM (SELECT repo_id, count(*) AS n_segments, CAST(sum(n_commits) AS BIGINT) AS total_steps FROM segments GROUP BY repo_id) x LEFT JOIN done USING (repo_id) JOIN (SELECT repo_id, max(dist) AS critical_path FROM chains GROUP BY repo_id) k USING (repo_id) JOIN costs USING (repo_id)
+  JOIN (SELECT repo_id, string_agg(type || ':' || n || ':' || c, ',' ORDER BY type) AS by_type FROM (SELECT repo_id, type, count(*) AS n, CAST(sum(n_commits) AS BIGINT) AS c FROM segments GROUP BY ALL) GROUP BY repo_id) USING (repo_id)
+  JOIN (SELECT repo_id, string_agg(model || ':' || steps, ',' ORDER BY model) AS by_model FROM models GROUP BY repo_id) USING (repo_id)
+  JOIN (SELECT m.repo_id, count(*) FILTER (c.parent1 IS NOT NULL AND c.parent0 IS NOT NULL AND s.type = 'trunk') AS merge_points FROM members m JOIN segments s ON s.repo_id = m.repo_id AND s.segment_id = m.segment_id JOIN commits c ON c.repo_id = m.repo_id AND c.sha = m.sha GROUP BY m.repo_id) USING (repo_id)))""").replace("SELECT *, fmt(wall_low)", "SELECT * EXCLUDE (rounds), fmt(wall_low)"),
     "trigger_every_n": f"{_STEPS} SELECT repo_id, step_no, step_no % 3 = 0 AS fires FROM steps",
     "trigger_every_n_trunk": f"{_STEPS} SELECT repo_id, step_no, segment_type = 'trunk' AND (count(*) FILTER (segment_type = 'trunk') OVER (PARTITION BY repo_id ORDER BY step_no)) % 3 = 0 AS fires FROM steps",
     "trigger_token_count": f"""{_STEPS.replace('WITH', 'WITH RECURSIVE', 1)}, f AS (SELECT repo_id, step_no, diff_tokens >= 800000 AS fires, CASE WHEN diff_tokens >= 800000 THEN 0 ELSE diff_tokens END AS total FROM steps WHERE step_no = 1

@@ -188,19 +188,22 @@ def render_context(spark, sf_dir):
     return wd.render_context_commits(split, r.commits)
 
 
+def _message_diffs(commits):
+    return commits.select("repo_id", F.col("sha").alias("to_sha"), F.concat(F.lit("diff --git a/f b/f"), (F.col("seq") % 7).cast("string"), F.lit("\n+"), "message").alias("diff"))
+
+
 @query
 def render_full_diffs(spark, sf_dir):
     r = Repos(spark, sf_dir).graph()
-    diffs = r.commits.select("repo_id", F.col("sha").alias("to_sha"), F.concat(F.lit("diff --git a/f b/f"), (F.col("seq") % 7).cast("string"), F.lit("\n+"), "message").alias("diff"))
     split = wd.context_split(wd.commit_windows(r.members, WINDOW), DEPTH)
-    return wd.render_full_diffs(split, r.commits, diffs).select("repo_id", "segment_id", "ordinal", "diff_tokens", F.array_join("paths", ",").alias("paths"))
+    return wd.render_full_diffs(split, r.commits, _message_diffs(r.commits)).select("repo_id", "segment_id", "ordinal", "diff_tokens", F.array_join("paths", ",").alias("paths"))
 
 
 @query
 def step_plan(spark, sf_dir):
     r = Repos(spark, sf_dir).full()
-    plan = wd.step_plan(r.members, r.commits, g.merge_inputs(r.commits, r.segments, r.members, r.deps), WINDOW, DEPTH, seed=g.fork_context(r.trunk, r.segments, WINDOW))
-    return plan.select("repo_id", "segment_id", "ordinal", "sha", "step_type", "model", "label")
+    plan = wd.step_plan(r.members, r.commits, g.merge_inputs(r.commits, r.segments, r.members, r.deps), WINDOW, DEPTH, seed=g.fork_context(r.trunk, r.segments, WINDOW), diffs=_message_diffs(r.commits))
+    return plan.select("repo_id", "segment_id", "ordinal", "sha", "step_type", "model", "label", "diff_tokens")
 
 
 @query
@@ -447,9 +450,14 @@ def record_merges(spark, sf_dir):
 
 @query
 def resume_mode(spark, sf_dir):
-    r = Repos(spark, sf_dir)
-    repos = r.commits.select("repo_id").distinct()
-    return lg.resume_mode(repos, repos.where("repo_id % 3 = 0"), lg.find_anchor(r.tagged_log().where("repo_id % 3 <> 2")))
+    """State files of every third repository, derived branches of another third that reach the middle commit."""
+    r = Repos(spark, sf_dir).graph()
+    repos = r.commits.groupBy("repo_id").agg(F.count("*").alias("total_commits")).join(r.segments.groupBy("repo_id").agg(F.count("*").alias("n_segments"), F.sum("n_commits").alias("total_steps")), "repo_id")
+    ledger = r.ledger()
+    states = lg.ledger_totals(ledger, ledger.where("seq % 5 = 0")).where("repo_id % 3 = 0")
+    middle = r.commits.groupBy("repo_id").agg(F.expr("cast(max(seq) div 2 as bigint)").alias("seq"))
+    ancestry = g.ancestors(r.commits, r.commits.join(middle, ["repo_id", "seq"]).select("repo_id", "sha"))
+    return lg.resume_mode(repos, states, lg.find_anchor(r.tagged_log().where("repo_id % 3 <> 2")), lg.seed_progress(r.members, ancestry, lg.sha_map(ledger)))
 
 
 @query
@@ -473,8 +481,11 @@ def cost_estimate(spark, sf_dir):
 @query
 def setup_stats(spark, sf_dir):
     r = Repos(spark, sf_dir).full()
-    done = r.ledger().groupBy("repo_id").agg(F.count("*").alias("done"))
-    return pl.setup_stats(r.segments, pl.model_distribution(r.members, r.segments, r.commits), g.critical_path(r.segments, r.deps), done)
+    done = r.ledger().groupBy("repo_id").agg(F.count("*").alias("done"), F.sum("cost").alias("cost"))
+    rows = pl.setup_stats(r.segments, pl.model_distribution(r.members, r.segments, r.commits), g.critical_path(r.segments, r.deps), done, pl.merge_points(r.members, r.segments, r.commits))
+    types = F.array_join(F.transform("by_type", lambda x: F.concat_ws(":", x["type"], x["n_segments"].cast("string"), x["n_commits"].cast("string"))), ",")
+    models = F.array_join(F.transform("by_model", lambda x: F.concat_ws(":", x["model"], x["steps"].cast("string"))), ",")
+    return rows.withColumns({"by_type": types, "by_model": models})
 
 
 def _steps(spark, sf_dir):

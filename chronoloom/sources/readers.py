@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEP, REC = "<<SEP>>", "<<REC>>"
+_STEP = "originalSha:string,`{derived}`:string,model:string,costUsd:double,timestamp:string"
 STATE = (
-    "version int, branchHead string, totalSteps long, totalCostUsd double, shaMap map<string,string>, "
-    "segmentProgress map<string,struct<status:string,completedSteps:array<struct<originalSha:string,derivedSha:string,model:string,costUsd:double,timestamp:string>>,currentSpec:string,currentChangelog:string>>, "
+    "version int, repoPath string, targetRef string, rootCommit string, config map<string,string>, "
+    "segments array<struct<id:string,type:string,commits:array<string>,dependsOn:array<string>,forkPoint:string,mergesInto:string>>, "
+    "segmentProgress map<string,struct<status:string,completedSteps:array<struct<" + _STEP + ">>,currentSpec:string,currentChangelog:string>>, "
+    "shaMap map<string,string>, "
+    "completedMerges array<struct<mergeSha:string,`{derived}`:string,trunkSegmentId:string,branchSegmentId:string,timestamp:string>>, "
+    "`{head}` string, totalCostUsd double, totalSteps long, "
+    "reconciliations array<struct<atStep:long,atSha:string,model:string,costUsd:double,findingsCount:long,skipped:boolean,timestamp:string>>, "
+    "lastReconciliationStep long, lastReconciliationSha string, cumulativeDiffTokensSinceLastReconciliation long, "
     "_corrupt_record string"
 )
 
@@ -46,16 +55,56 @@ def diffs_of_commits(commits: DataFrame, diffs: DataFrame) -> DataFrame:
 
 
 def read_source_tree(spark: SparkSession, path: str) -> DataFrame:
-    """Files below ``path`` as (path, content); content is null where the bytes are not UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    text = F.try_validate_utf8(F.col("content").cast("string"))
-    return files.select(F.col("path"), text.alias("content"))
+    """(repo_id, file_ord, path, content) of the files below ``path``, one folder a repository (no pattern).
+
+    file_ord numbers a repository's paths by their bytes, as a recursive listing gives them; only names are
+    sorted. content is null where the bytes are not UTF-8: such a file is skipped later on.
+    """
+    root = re.sub(r"^file:/+", "/", path.rstrip("/"))
+    below = F.expr(f"substring(path, instr(path, {_literal(root + '/')}) + {len(root) + 1})")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).withColumn("below", below)
+    named = files.where(F.instr("below", "/") > 0).withColumns({"repo_id": F.split_part("below", F.lit("/"), F.lit(1)), "name": F.expr("substring(below, instr(below, '/') + 1)")})
+    order = named.select("repo_id", "name", (F.row_number().over(Window.partitionBy("repo_id").orderBy("name")) - 1).alias("file_ord"))
+    return named.join(order, ["repo_id", "name"]).select("repo_id", "file_ord", F.col("name").alias("path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"))
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def read_state(spark: SparkSession, path: str, derived: str = "derivedSha", head: str = "branchHead") -> DataFrame:
+    """State documents, one a file, with the file's name as repo; unparseable ones count as absent.
+
+    ``derived`` and ``head`` are the names that the files give to a step's derived sha and to the branch head.
+    """
+    schema = STATE.replace("{derived}", derived).replace("{head}", head)
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("repo", _repo_of_file())
+    rows = rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+    return rows if head == "branchHead" else rows.withColumnRenamed(head, "branchHead")
+
+
+def steps_of_state(state: DataFrame, derived: str = "derivedSha") -> DataFrame:
+    """(repo, segment_id, seq, original_sha, derived_sha, model, cost, ts): the ledger that state documents hold."""
+    kept = state.select("repo", F.explode("segmentProgress").alias("segment_id", "p"))
+    rows = kept.select("repo", "segment_id", F.posexplode("p.completedSteps").alias("seq", "s"))
+    return rows.select("repo", "segment_id", F.col("seq").cast("long"), F.col("s.originalSha").alias("original_sha"), F.col("s")[derived].alias("derived_sha"), "s.model", F.col("s.costUsd").alias("cost"), F.to_timestamp("s.timestamp").alias("ts"))
+
+
+def segments_of_state(state: DataFrame) -> DataFrame:
+    """(repo, segment_id, type, creation_ord, n_commits, status) of state documents; no progress: pending."""
+    rows = state.select("repo", "segmentProgress", F.posexplode("segments").alias("creation_ord", "s"))
+    status = F.coalesce(F.try_element_at("segmentProgress", F.col("s.id"))["status"], F.lit("pending"))
+    return rows.select("repo", F.col("s.id").alias("segment_id"), "s.type", "creation_ord", F.size("s.commits").alias("n_commits"), status.alias("status"))
+
+
+def merges_of_state(state: DataFrame, derived: str = "derivedSha") -> DataFrame:
+    rows = state.select("repo", F.explode("completedMerges").alias("m"))
+    return rows.select("repo", F.col("m.mergeSha").alias("merge_sha"), F.col("m")[derived].alias("derived_sha"), F.col("m.trunkSegmentId").alias("trunk_dep"), F.col("m.branchSegmentId").alias("branch_dep"))
 
 
-def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """State documents, one a file; unparseable ones count as absent."""
-    rows = spark.read.schema(STATE).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    return rows.where("_corrupt_record IS NULL").drop("_corrupt_record")
+def reconciliations_of_state(state: DataFrame) -> DataFrame:
+    rows = state.select("repo", F.explode("reconciliations").alias("r"))
+    return rows.select("repo", F.col("r.atStep").alias("at_step"), F.col("r.atSha").alias("at_sha"), "r.model", F.col("r.costUsd").alias("cost"), F.col("r.findingsCount").alias("n_findings"), "r.skipped")
 
 
 def sha_map_of_state(state: DataFrame) -> DataFrame:

@@ -9,23 +9,53 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.triggers import token_fires
 
 
-def stream_ledger(stream: DataFrame, path: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
-    """Appends new events below ``path``, a folder a batch, so that a batch done again replaces itself."""
+def stream_ledger(stream: DataFrame, path: str, checkpoint: str, watermark: str = "1 day", views: str | None = None) -> StreamingQuery:
+    """Appends new events below ``path``, a folder a batch, so that a batch done again replaces itself.
+
+    Below ``views``, each batch also leaves its share of the totals, sha map and progress, for ``ledger_views``; its
+    events then have segment_id, seq, original_sha, derived_sha, cost, spec and changelog.
+    """
     unique = stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["event_id"])
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if views:
+            new = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/batch={number}")
+            _progress(new).write.mode("overwrite").parquet(f"{views}/progress/batch={number}")
+            _lineage(new.select("repo_id", "original_sha", F.struct("ts", "seq", "derived_sha").alias("last"))).write.mode("overwrite").parquet(f"{views}/lineage/batch={number}")
 
     return unique.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _progress(events: DataFrame) -> DataFrame:
+    last = F.max(F.struct("seq", "ts", "spec", "changelog")).alias("last")
+    return events.groupBy("repo_id", "segment_id").agg(F.count("*").alias("steps"), F.sum(F.col("cost").cast("decimal(18,6)")).alias("cost"), last)
+
+
+def _lineage(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("repo_id", "original_sha").agg(F.max("last").alias("last"))
+
+
+def ledger_views(spark: SparkSession, views: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, sha map, progress) as of the last batch, from the batches' shares; the later step of a sha wins.
+
+    progress is (repo_id, segment_id, steps, spec, changelog, status); a segment with steps is in progress until told otherwise.
+    """
+    shares = spark.read.parquet(f"{views}/progress")
+    totals = shares.groupBy("repo_id").agg(F.sum("steps").alias("total_steps"), F.sum("cost").alias("total_cost"))
+    lineage = _lineage(spark.read.parquet(f"{views}/lineage")).select("repo_id", "original_sha", "last.derived_sha")
+    progress = shares.groupBy("repo_id", "segment_id").agg(F.sum("steps").alias("steps"), F.max("last").alias("last"))
+    return totals, lineage, progress.select("repo_id", "segment_id", "steps", "last.spec", "last.changelog", F.lit("in-progress").alias("status"))
+
+
 def stream_commit_windows(stream: DataFrame, size: int) -> DataFrame:
     """(repo_id, segment_id, ordinal, sha, window): the last ``size`` shas; the state holds size - 1 of them."""
 

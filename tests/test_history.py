@@ -1,5 +1,7 @@
 """Golden values of a small history of known shape, literal texts, and streams against batch."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,8 +37,11 @@ def test_plan(history, spark):
     deps = graph.segment_deps(commits, parts["segments"], parts["segment_commits"])
     models = planning.model_distribution(parts["segment_commits"], parts["segments"], commits)
     assert {r.model: r.steps for r in models.collect()} == {"opus": 3, "sonnet": 25}
-    none = spark.createDataFrame([], "repo_id long, done long")
-    row = planning.setup_stats(parts["segments"], models, graph.critical_path(parts["segments"], deps), none).first()
+    none = spark.createDataFrame([], "repo_id long, done long, cost decimal(28,6)")
+    points = planning.merge_points(parts["segment_commits"], parts["segments"], commits)
+    row = planning.setup_stats(parts["segments"], models, graph.critical_path(parts["segments"], deps), none, points).first()
+    assert (row.merge_points, row.is_resume, row.cost_so_far) == (2, False, 0)
+    assert [tuple(x) for x in row.by_type] == [("branch", 2, 5), ("trunk", 3, 23)] and [tuple(x) for x in row.by_model] == [("opus", 3), ("sonnet", 25)]
     assert (row.total_steps, row.critical_path, float(row.low), float(row.high), row.wall_low, row.wall_high, row.wall_text) == (28, 25, 0.4, 2.0, 1125, 2250, "18m - 37m")
     order = [r.segment_id for r in graph.segment_topo_order(parts["segments"], deps).orderBy("topo_pos").collect()]
     assert all(order.index(r.dep_id) < order.index(r.segment_id) for r in deps.collect())
@@ -165,6 +170,28 @@ def test_sources(spark, tmp_path):
     assert [(r.sha, r.body) for r in readers.read_tagged_log(spark, str(tmp_path / "tags.log")).collect()] == [("d1", "body\nOriginal: x<<SEP>>rest")]
     (tmp_path / "state.json").write_text('{"version": 1, "shaMap": {"a": "b"}}')
     (tmp_path / "broken.json").write_text("{nope")
+    step = {"originalSha": "a", "stepSha": "b", "model": "opus", "costUsd": 0.5, "timestamp": "2024-01-01T00:00:00.000Z"}
+    whole = {"version": 1, "rootCommit": "a", "config": {"windowSize": 5, "reconciliation": {"strategy": "none"}}, "segments": [{"id": "trunk-0", "type": "trunk", "commits": ["a", "c"], "dependsOn": []}, {"id": "trunk-1", "type": "trunk", "commits": ["d"], "dependsOn": ["trunk-0"]}]}
+    whole |= {"segmentProgress": {"trunk-0": {"status": "in-progress", "completedSteps": [step], "currentSpec": "s", "currentChangelog": "l"}}, "shaMap": {"a": "b"}, "headSha": "b", "totalSteps": 1, "totalCostUsd": 0.75}
+    whole |= {"completedMerges": [{"mergeSha": "d", "stepSha": "e", "trunkSegmentId": "trunk-0", "branchSegmentId": "branch-0"}], "reconciliations": [{"atStep": 1, "atSha": "a", "model": "opus", "costUsd": 0.25, "findingsCount": 3, "skipped": False}]}
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "whole" / "one.json").write_text(json.dumps(whole))
+    state = readers.read_state(spark, str(tmp_path / "whole"), "stepSha", "headSha")
+    assert [(r.repo, r.branchHead, r.totalSteps, r.config["windowSize"]) for r in state.collect()] == [("one", "b", 1, "5")]
+    assert [tuple(r)[:7] for r in readers.steps_of_state(state, "stepSha").collect()] == [("one", "trunk-0", 0, "a", "b", "opus", 0.5)]
+    assert [(r.segment_id, r.n_commits, r.status) for r in readers.segments_of_state(state).orderBy("creation_ord").collect()] == [("trunk-0", 2, "in-progress"), ("trunk-1", 1, "pending")]
+    assert [tuple(r) for r in readers.merges_of_state(state, "stepSha").collect()] == [("one", "d", "e", "trunk-0", "branch-0")]
+    assert [tuple(r) for r in readers.reconciliations_of_state(state).collect()] == [("one", 1, "a", "opus", 0.25, 3, False)]
+    for name, text in {"r1/a/b.txt": b"x", "r1/a-b.txt": b"y", "r1/B.txt": b"\xff", "r2/it's \\.md": b"z"}.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_bytes(text)
+    tree = readers.read_source_tree(spark, str(tmp_path / "tree")).orderBy("repo_id", "file_ord").collect()
+    assert [tuple(r) for r in tree][:3] == [("r1", 0, "B.txt", None), ("r1", 1, "a-b.txt", "y"), ("r1", 2, "a/b.txt", "x")] and tree[3].content == "z"
+    edges = spark.createDataFrame([(1, "c2", ["c1", "c0"]), (1, "c0", [])], "repo_id long, sha string, parents array<string>")
+    pairs = spark.createDataFrame([(1, "c1", "c2", "first"), (1, "c0", "c2", "second"), (1, None, "c0", "root")], "repo_id long, from_sha string, to_sha string, diff string")
+    assert sorted((r.to_sha, r.diff) for r in readers.diffs_of_commits(edges, pairs).collect()) == [("c0", "root"), ("c2", "first")]
+    modules = spark.createDataFrame([("packages/a.md",)], "module_path string")
+    assert readers.spec_file_map(modules).first().output_path == "spec/packages/a.md"
     assert [tuple(r) for r in readers.sha_map_of_state(readers.read_state(spark, str(tmp_path / "*.json"))).collect()] == [("a", "b")]
     files = spark.createDataFrame([(1, "s", "spec/_master.md", " text "), (1, "s", "changelog.md", "log"), (2, "s", "spec/_master.md", "x"), (2, "s", "spec/m.md", "y"), (3, "s", "other", "z")], "repo_id long, sha string, path string, content string")
     assert {r.repo_id: (r.spec, r.changelog, r.error) for r in readers.read_spec_versions(files).collect()} == {1: ("text", "log", None), 2: (None, "", "modules"), 3: (None, "", "missing")}
@@ -195,12 +222,17 @@ def test_triggers_and_streams(spark, tmp_path):
 
 
 def test_stream_ledger(spark, tmp_path):
-    events = spark.createDataFrame([(1, k % 4, "2024-01-01") for k in range(8)], "repo_id long, event_id long, day string").withColumn("ts", F.to_timestamp("day"))
+    rows = [(1, k % 4, "2024-01-01", "s", k % 4, f"o{k % 2}", f"d{k % 4}", 0.5, f"spec {k % 4}", "log") for k in range(8)]
+    events = spark.createDataFrame(rows, "repo_id long, event_id long, day string, segment_id string, seq long, original_sha string, derived_sha string, cost double, spec string, changelog string").withColumn("ts", F.to_timestamp("day"))
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     for _ in range(2):  # a restart resumes and adds nothing
-        streams.stream_ledger(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+        streams.stream_ledger(stream, str(tmp_path / "out"), str(tmp_path / "c"), views=str(tmp_path / "views")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).select("event_id").distinct().count() == spark.read.parquet(str(tmp_path / "out")).count() == 4
+    totals, lineage, progress = streams.ledger_views(spark, str(tmp_path / "views"))
+    assert [(r.repo_id, r.total_steps, float(r.total_cost)) for r in totals.collect()] == [(1, 4, 2.0)]
+    assert sorted((r.original_sha, r.derived_sha) for r in lineage.collect()) == [("o0", "d2"), ("o1", "d3")]
+    assert [tuple(r) for r in progress.collect()] == [(1, "s", 4, "spec 3", "log", "in-progress")]
 
 
 def test_ledger(spark):
@@ -212,3 +244,12 @@ def test_ledger(spark):
     members = spark.createDataFrame([(1, "s", 0, "a"), (1, "s", 1, "b")], "repo_id long, segment_id string, ordinal long, sha string")
     assert [r.valid for r in ledger.valid_prefix(steps, members).collect()] == [False]
     assert ledger.reset_segments(steps, members.select("repo_id", "segment_id").distinct()).count() == 0
+
+
+def test_resume(spark):
+    repos = spark.createDataFrame([(k, 10, 2, 8) for k in (1, 2, 3)], "repo_id long, total_commits long, n_segments long, total_steps long")
+    states = spark.createDataFrame([(1, 5, 0.5)], "repo_id long, total_steps long, total_cost double")
+    anchors = spark.createDataFrame([(1, "d", 4), (2, "d", 3), (3, None, None)], "repo_id long, anchor string, commits_beyond_anchor long")
+    seeded = spark.createDataFrame([(2, "trunk-0", 2), (2, "trunk-1", 1)], "repo_id long, segment_id string, n_done long")
+    found = ledger.resume_mode(repos, states, anchors, seeded).orderBy("repo_id").collect()
+    assert [tuple(r)[1:] for r in found] == [("state-file", 10, 2, 5, 3, 0.5, None), ("derived-branch", 10, 2, 3, 5, 0.0, 3), ("fresh", 10, 2, None, None, None, None)]
