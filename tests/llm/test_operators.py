@@ -160,6 +160,44 @@ def test_quality(spark):
     assert quality.quality_scores(docs.limit(0), labels).count() == 0
 
 
+def test_quality_brute_force(spark):
+    """Word vectors, pooling, the network's answer and the calibration, each against plain Python."""
+    rng = random.Random(8)
+    plain = [prose(rng, 60, 300) for _ in range(50)]
+    texts = [*plain, *(" ".join(f"W{rng.randrange(9)} " * 4 for _ in range(9)) for _ in range(30)), "LOUD loud loud, loud", None, "", "one", plain[0], "x y " * 30_000]
+    docs = frame(spark, texts)
+    places, signs = quality.index_vectors()
+    lists = [quality.tokens(t).tolist() for t in texts]
+    assert lists[80].count(quality.CAPS) == 1 and lists[80].count(quality.AGAIN) == 2
+    sums = collections.defaultdict(lambda: [0.0] * quality.WIDTH)
+    for ids in lists:
+        for i, own in enumerate(ids):
+            for other in ids[max(0, i - 2) : i] + ids[i + 1 : i + 3]:
+                for place, sign in zip(places[other], signs[other]):
+                    sums[own][place] += sign
+    unit = {w: [x / max(math.sqrt(sum(y * y for y in v)), 1e-9) for x in v] for w, v in sums.items()}
+    vectors = quality.word_vectors(docs)
+    assert all(np.allclose(vectors[w], v, atol=1e-5) for w, v in unit.items()) and not vectors[[w for w in range(quality.BUCKETS) if w not in unit]].any()
+    zero = [0.0] * quality.WIDTH
+    mean = [[sum(col) / len(ids) for col in zip(*(unit.get(w, zero) for w in ids))] if ids else zero for ids in lists]
+    assert np.allclose(quality.pooled(texts, vectors), mean, atol=1e-5)
+
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(80)], "doc_id long, quality int")
+    rows = sorted((quality.pooled([texts[i]], vectors)[0].tobytes(), int(i < 50)) for i in range(80) if zlib.crc32(str(i).encode()) % 5)
+    x, y = np.stack([np.frombuffer(r, np.float32) for r, _ in rows]).astype(float), np.array([float(q) for _, q in rows])
+    net = quality.Network(x, y)
+    w1, b1, w2, b2 = net.p
+
+    def score(row):
+        z = [(v - m) / s for v, m, s in zip(row, net.mean, net.scale)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(z, w1[:, k])) + b1[k]) for k in range(len(b1))]
+        return 1 / (1 + math.exp(-max(-30, min(30, (sum(h * w for h, w in zip(hidden, w2)) + float(b2)) / net.temperature))))
+
+    found = {r.doc_id: r.score for r in quality.quality_scores(docs, labels).collect()}
+    assert all(abs(found[i] - score(mean[i])) < 1e-3 for i in range(len(texts))) and found[84] == found[0]
+    assert all((found[i] >= 0.3) == (i < 50) for i in range(80)) and 0.25 <= net.temperature <= 8
+
+
 @pytest.mark.parametrize("hot", [0, 100])
 def test_substring(spark, corpus, hot, monkeypatch):
     monkeypatch.setattr(substring.repeated_spans, "__defaults__", (hot,))
@@ -437,6 +475,62 @@ def test_language(spark):
     assert kept.columns == docs.columns and kept.count() == 301
 
 
+def test_language_brute_force(spark):
+    """Four-gram counts, EM and the penalised choice of the language set against plain Python."""
+    rng = random.Random(12)
+    letters = {"aa": "abcdefg", "bb": "efghijk", "cc": "ijklmno"}
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 7)))
+    langs = [rng.choice(list(letters)) for _ in range(120)]
+    texts = [" ".join(word(k) for _ in range(rng.randrange(3, 50))) for k in langs]
+    for parts in (("aa", "bb"), ("bb", "cc"), ("aa", "bb", "cc"), ("cc",)):
+        texts.append(" ".join(word(k) for k in parts for _ in range(60)))
+    texts += [texts[0], "Abc Éfg", "7 7", " ".join(word("aa") for _ in range(20_000)), None]
+    langs += [None] * (len(texts) - len(langs))
+
+    def grams(text):
+        data = b" " + text.lower().encode() + b"  "
+        return collections.Counter((int.from_bytes(data[i : i + 4], "little") * 0x9E3779B1 % 2**32) >> 16 for i in range(len(data) - 3))
+
+    counts = {k: collections.Counter() for k in letters}
+    for i, (text, lang) in enumerate(zip(texts, langs)):
+        if lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(grams(text))
+    size = {k: sum(c.values()) + 0.05 * langid.BUCKETS for k, c in counts.items()}
+    chance = lambda k, g: (counts[k][g] + 0.05) / size[k]
+
+    def em(found, p, theta, steps=8):
+        for _ in range(steps):
+            new = dict.fromkeys(theta, 0.0)
+            for g, n in found.items():
+                whole = sum(theta[k] * p[k][g] for k in theta)
+                for k in theta:
+                    new[k] += n * theta[k] * p[k][g] / whole
+            theta = {k: v / sum(new.values()) for k, v in new.items()}
+        return theta, sum(n * math.log(sum(theta[k] * p[k][g] for k in theta)) for g, n in found.items())
+
+    def best(text):
+        found = grams(text)
+        p = {k: {g: chance(k, g) for g in found} for k in letters}
+        alone = {k: sum(n * math.log(p[k][g]) for g, n in found.items()) for k in letters}
+        top = max(alone, key=alone.get)
+        choice = (alone[top], {top: 1.0})
+        theta = em(found, p, dict.fromkeys(letters, 1 / 3))[0]
+        order = sorted(letters, key=lambda k: -theta[k])
+        for size in (2, 3):
+            fitted, likelihood = em(found, p, {k: (theta[k] + 1e-6) / sum(theta[o] + 1e-6 for o in order[:size]) for k in order[:size]})
+            choice = max(choice, (likelihood - 2.0 * math.log(sum(found.values()) + 1) * (size - 1), fitted), key=lambda c: c[0])
+        return max(choice[1].items(), key=lambda kv: kv[1])
+
+    found = {r.doc_id: r for r in langid.identify(frame(spark, texts, langs=langs)).collect()}
+    for i, text in enumerate(texts):
+        if text is None or text == "7 7":
+            assert (found[i].lang_pred, found[i].score) == ("und", 0)
+        else:
+            lang, share = best(text)
+            assert found[i].lang_pred == lang and abs(found[i].score - share) < 5e-3, i
+    assert found[120].n_langs == 2 and found[122].n_langs == 3 and found[123].n_langs == 1
+
+
 def test_accepted_without_languages(spark):
     texts = ["some words", "123 ... 4", None, "", "été"]
     docs = frame(spark, texts).withColumn("lang", F.lit(None).cast("string"))
@@ -526,3 +620,31 @@ def test_pipeline_shared_ids(spark, tmp_path):
     docs = frame(spark, [t for _, t in rows], ids=[i for i, _ in rows])
     left = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
     assert left.columns == docs.columns and {(r.doc_id, r.text) for r in left.collect()} == {(None, two), (3, four)}
+
+
+def test_repeated_rows_and_long_texts(spark):
+    """Every row of a table that holds each twice gets the answer it gets alone; one text is very long."""
+    rng = random.Random(21)
+    long = prose(rng, 40_000, 9000)
+    texts = [long, long + " end", prose(rng, 90, 3000), prose(rng, 90, 3000), None, "", "short one"]
+    docs = frame(spark, texts, langs=["en", "de", "en", "de", None, "en", "en"])
+    twice = docs.unionByName(docs)
+    bpe_path, piece_path = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(7)], "doc_id long, quality int")
+    items = spark.createDataFrame([(0, " ".join(long.split()[30_000:30_040])), (1, "never seen in any of these texts")], "item_id long, text string")
+    for run in (
+        lambda d: bpe.bpe_digests(d, bpe_path),
+        lambda d: token_counts.token_counts(d, piece_path),
+        lambda d: langid.identify(d).select("doc_id", "held_out"),
+        lambda d: jaccard.jaccard_components(d),
+    ):
+        assert sorted(map(tuple, run(twice).collect())) == sorted(2 * [tuple(r) for r in run(docs).collect()])
+    found = decontaminate.contained_items(twice, items).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(0, 0), (1, 0)}
+    assert sorted(r.doc_id for r in quality.quality_scores(twice, labels).collect()) == sorted(2 * list(range(7)))
+    assert len({(r.shard, r.slot) for r in sharding.stratified_shards(twice).collect()}) == 14
+    kept = line_dedup.drop_repeated_lines(twice.where("doc_id = 2"))
+    assert [r.text for r in kept.collect()] == 2 * [texts[2]]  # equal rows are one document
+    empty = docs.limit(0)
+    assert token_counts.token_counts(empty, piece_path).count() == 0 and decontaminate.contained_items(docs, items.limit(0)).count() == 0
+    assert jaccard.jaccard_components(empty).count() == 0 and line_dedup.drop_repeated_lines(empty).count() == 0
