@@ -147,7 +147,8 @@ ORACLES = {
     "running_changelog": _g("SELECT repo_id, segment_id, '# ' || segment_id || string_agg(chr(10) || substr(sha, 1, 8) || chr(10), '' ORDER BY ordinal) AS text FROM members GROUP BY repo_id, segment_id"),
     "resolve_module": f"{_MODULES} SELECT * FROM found",
     "relevant_specs": f"{_MODULES} SELECT * FROM relevant",
-    "assemble_module_spec": f"{_MODULES} SELECT change_id, 25 + 17 + CASE WHEN count(*) FILTER (module_path <> '_master.md') > 0 THEN 37 + sum(CASE WHEN module_path <> '_master.md' THEN 12 + length(module_path) + 2 + length(content) + 1 ELSE 0 END) + count(*) FILTER (module_path <> '_master.md') - 1 ELSE 0 END AS n_chars FROM relevant GROUP BY change_id",
+    "assemble_module_spec": f"""{_MODULES}, texts AS (SELECT change_id, '## Master Specification' || chr(10) || chr(10) || 'module _master.md' || coalesce(chr(10) || chr(10) || '## Relevant Module Specifications' || chr(10) || chr(10)
+  || string_agg('### Module: ' || module_path || chr(10) || chr(10) || content || chr(10), chr(10) ORDER BY module_path) FILTER (module_path <> '_master.md'), '') AS text FROM relevant GROUP BY change_id) SELECT change_id, length(text) AS n_chars, sha1(text) AS digest FROM texts""",
     "spec_total_tokens": f"{_SOURCES} SELECT repo_id, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM src GROUP BY repo_id",
     "upsert_modules": f"{_SOURCES} SELECT repo_id, split_part(path, '/', 1) AS module_path, sha1(arg_max(content, file_ord)) AS content, CAST(max(file_ord) AS BIGINT) AS version FROM src GROUP BY ALL",
     "parse_responses": f"{_RESPONSES} SELECT conv_id, attempt, CASE k WHEN 1 THEN 's' || conv_id WHEN 2 THEN 't' WHEN 4 THEN '' END AS spec, CASE k WHEN 1 THEN 0.25 WHEN 2 THEN 0.5 WHEN 4 THEN 0.0 END::DOUBLE AS cost, CASE k WHEN 1 THEN 'x' END AS session_id, CASE k WHEN 0 THEN 'bad-json' WHEN 3 THEN 'is-error' END AS error FROM t",

@@ -340,7 +340,7 @@ def relevant_specs(spark, sf_dir):
 @query
 def assemble_module_spec(spark, sf_dir):
     rows = cl.assemble_module_spec(relevant_specs(spark, sf_dir), ["change_id"])
-    return rows.select("change_id", F.length("text").alias("n_chars"))
+    return rows.select("change_id", F.length("text").alias("n_chars"), F.sha1("text").alias("digest"))
 
 
 @query
