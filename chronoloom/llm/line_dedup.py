@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, hash_words, mix, row_hashes, signed, small_batches, texts_of, written
+from .common import Spans, hash_words, mix, released, row_hashes, signed, small_batches, texts_of, written
 
 NEAR = 8
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -144,8 +144,11 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     return flat.mapInArrow(run, flat.schema).groupBy(*ROW, "line_no").agg(F.min(F.struct("keep_doc_id", "keep_line_no")).alias("keep"))
 
 
-def _decided(keyed: DataFrame) -> DataFrame:
-    """(doc_id, th, tg, line_no, keep_doc_id, keep_line_no, edits) of every line that an earlier one repeats."""
+def _decided(keyed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, th, tg, line_no, keep_doc_id, keep_line_no, edits) of every line that an earlier one repeats.
+
+    Also the written tables it is read from, for release.
+    """
     seen = written(_lines(keyed))
     firsts = written(seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves")))
     distinct = firsts.where(f"n >= {NEAR}").select("first.*", F.posexplode("halves").alias("bit", "half"))
@@ -159,13 +162,14 @@ def _decided(keyed: DataFrame) -> DataFrame:
     near = _verified(pairs, lines).select(at().alias("first"), "keep")
     groups = firsts.select("h", "g", "n", "first").join(near, "first", "left")
     is_first = at() == F.col("first")
-    return seen.join(groups, ["h", "g", "n"]).where(~is_first | F.col("keep").isNotNull()).select(
+    found = seen.join(groups, ["h", "g", "n"]).where(~is_first | F.col("keep").isNotNull()).select(
         *ROW,
         "line_no",
         F.when(is_first, F.col("keep.keep_doc_id")).otherwise(F.col("first.doc_id")).alias("keep_doc_id"),
         F.when(is_first, F.col("keep.keep_line_no")).otherwise(F.col("first.line_no")).alias("keep_line_no"),
         F.when(is_first, 1).otherwise(0).alias("edits"),
     )
+    return found, [seen, firsts, lines]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -178,14 +182,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     with different texts are different documents (by line, then by the text's hash). An empty table
     gives no rows; other columns are ignored.
     """
-    found = _decided(_keyed(docs))
+    found, _ = _decided(_keyed(docs))
     return found.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "line_no", F.when(F.col("keep_doc_id") != LAST, F.col("keep_doc_id")).alias("keep_doc_id"), "keep_line_no", "edits")
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each text without its repeated lines; rows left without words by that go."""
     keyed = _keyed(docs)
-    gone = _decided(keyed).groupBy(*ROW).agg(F.collect_set("line_no").alias("gone"))
+    found, tables = _decided(keyed)
+    gone = written(found.groupBy(*ROW).agg(F.collect_set("line_no").alias("gone")))
+    released(*tables)
     row = F.struct("*").alias("row")
     rows = docs.select(row.withField("text", F.lit(None).cast("string")).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), *row_hashes(F.coalesce("text", F.lit(""))), F.split("text", "\n").alias("lines"))
     rows = rows.join(gone, ROW, "left")
