@@ -300,11 +300,12 @@ def jaccard_links(docs: DataFrame, small: int = 280, weight: int = 600_000, freq
     found = _sets(docs)
     often = found.where("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "a").limit(frequent).collect()
     hot = np.array([r.a for r in reversed(often)], np.int64).view(np.uint64)
-    sets = found.where("kind = 0").select("row", "doc_id", "n", "a", "b")
+    sets = written(found.where("kind = 0").select("row", "doc_id", "n", "a", "b"))  # the texts go once they are copied
     reps = written(sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("times")))
     rows = _candidates(found.where("kind = 0"), reps, hot)
     members = _members(rows)
     texts = written(found.where("kind = 0").select(F.col("row").alias("rep"), "text").join(members.select("rep").distinct(), "rep"))
+    released(found)
     inside = f"times <= {small} AND weight <= {weight}"
     links = _joined(members.where(inside).join(texts, "rep").select(F.col("p").alias("part"), F.lit(0).alias("side"), F.lit(-1).alias("label"), "rep", "text"))
     large = members.where(f"NOT ({inside})")
