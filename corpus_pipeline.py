@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import bpe, decontaminate, jaccard, langid, line_dedup
-from chronoloom.llm.common import written
+from chronoloom.llm.common import row_hashes, written
 from chronoloom.llm.queries import table, vocabulary
 
 
@@ -35,10 +35,13 @@ def _numbered(docs: DataFrame) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of the smallest doc_id of each component stays, null last; rows of equal doc_id and text become one."""
     rows = _numbered(docs)
-    found = jaccard.jaccard_components(rows.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "component_id")
+    found = jaccard.jaccard_components(rows.select(F.col("key").alias("doc_id"), "row.text")).select(F.col("doc_id").alias("key"), "n_shingles", "component_id")
+    named = found.join(rows.select("key", "row.doc_id", *row_hashes("row.text")), "key")
+    empty = F.col("n_shingles") == 0  # linked with nothing: such rows are one by doc_id and text
+    group = [F.when(~empty, F.col("component_id")).alias("component"), *(F.when(empty, F.col(c)).alias(f"empty_{c}") for c in ("doc_id", "th", "tg"))]
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    first = found.join(rows.select("key", "row.doc_id"), "key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.key")
-    return rows.join(first, "key", "left_semi").select("row.*").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    first = named.groupBy(*group).agg(F.min(order).alias("first")).select("first.key")
+    return rows.join(first, "key", "left_semi").select("row.*").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
