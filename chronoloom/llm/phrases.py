@@ -118,7 +118,7 @@ def _frequent(relation: DataFrame, k: int, least: int) -> DataFrame:
     # the filter drops nothing; with it, and the same columns in both uses, one exchange serves both
     counts = relation.mapInArrow(run, "block long, g long, n long").where("block IS NOT NULL AND g IS NOT NULL AND n IS NOT NULL").repartition("g")
     often = counts.groupBy("g").agg(F.sum("n").alias("f"), F.max("block").alias("b")).where(f"f >= {least} AND b IS NOT NULL").select("g")
-    kept = counts.join(often.hint("shuffle_hash"), "g", "left_semi")
+    kept = counts.join(often.hint("shuffle_hash"), "g")  # groups are unique there; a semi-join would not share the exchange
     return kept.groupBy("block").agg(F.collect_list("g").alias("groups"), F.max("n").alias("most")).where("most IS NOT NULL").select("block", "groups")
 
 
