@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,21 +28,24 @@ BLOCK = 1 << 19
 _LOWER = bytes(range(256)).lower()
 _BREAK, _GAP = 10, 32
 _TABLE = bytes(_BREAK if b in b".,;:!?\n\v\f\r" else _GAP if b == 9 else _LOWER[b] for b in range(256))
-RELATION = "block long, lang string, at binary, phrase binary, phrases string"
+#: A row is a block; n is the number of its places, the rest is compressed.
+RELATION = "block long, lang string, n long, at binary, phrase binary, phrases binary"
 
 
 def _packed(block: int, lang: str, at: np.ndarray, phrase: np.ndarray, phrases: list[bytes]) -> tuple:
     """A row of a relation: places as steps, which compress well; phrases one a line."""
-    return block, lang, np.diff(at, prepend=0).astype("<i4").tobytes(), phrase.astype("<i4").tobytes(), b"\n".join(phrases).decode("utf-8", "surrogatepass")
+    press = zstandard.ZstdCompressor(level=1).compress
+    return block, lang, len(at), press(np.diff(at, prepend=0).astype("<i4").tobytes()), press(phrase.astype("<i4").tobytes()), press(b"\n".join(phrases))
 
 
-def _unpacked(at: bytes, phrase: bytes, phrases: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    return np.cumsum(np.frombuffer(at, "<i4"), dtype=np.int64), np.frombuffer(phrase, "<i4"), phrases.encode("utf-8", "surrogatepass").split(b"\n")
+def _unpacked(at: bytes, phrase: bytes, phrases: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    spread = zstandard.ZstdDecompressor().decompress
+    return np.cumsum(np.frombuffer(spread(at), "<i4"), dtype=np.int64), np.frombuffer(spread(phrase), "<i4"), spread(phrases).split(b"\n")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["block", "lang", "at", "phrase", "phrases"])
+    types = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["block", "lang", "n", "at", "phrase", "phrases"])
 
 
 def words_of(text: bytes) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -109,7 +113,7 @@ def _frequent(relation: DataFrame, k: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            for block, lang, *packed in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+            for block, lang, *packed in zip(*[batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5)]):
                 at, phrase, phrases = _unpacked(*packed)
                 _, left, right = _joined(at, phrase, k)
                 groups, n = np.unique(_group(_hashed(phrases, lang), left, right, k), return_counts=True)
@@ -129,7 +133,7 @@ def _extended(relation: DataFrame, k: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             for r in range(batch.num_rows):
-                block, lang, *packed, groups = (batch.column(c)[r].as_py() if c < 5 else batch.column(c)[r].values.to_numpy() for c in range(6))
+                block, lang, *packed, groups = (batch.column(c)[r].as_py() if c < 6 else batch.column(c)[r].values.to_numpy() for c in (0, 1, 3, 4, 5, 6))
                 at, phrase, phrases = _unpacked(*packed)
                 at, left, right = _joined(at, phrase, k)
                 group = _group(_hashed(phrases, lang), left, right, k)
@@ -141,7 +145,7 @@ def _extended(relation: DataFrame, k: int, least: int) -> DataFrame:
                 made = [phrases[i] if k == 1 else phrases[i] + b" " + phrases[j].rpartition(b" ")[2] for i, j in zip(*ends)]
                 yield _rows([_packed(block, lang, at, number, made)])
 
-    return relation.join(frequent, "block").select("block", "lang", "at", "phrase", "phrases", "groups").mapInArrow(run, RELATION)
+    return relation.join(frequent, "block").select("block", "lang", "n", "at", "phrase", "phrases", "groups").mapInArrow(run, RELATION)
 
 
 def _counted(relation: DataFrame, least: int) -> DataFrame:
@@ -149,10 +153,10 @@ def _counted(relation: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            for lang, phrase, phrases in zip(*[batch.column(c).to_pylist() for c in (1, 3, 4)]):
-                made = phrases.split("\n")
-                n = np.bincount(np.frombuffer(phrase, "<i4"), minlength=len(made))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(made), pa.string()), pa.array(made, pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
+            for lang, *packed in zip(*[batch.column(c).to_pylist() for c in (1, 3, 4, 5)]):
+                _, phrase, made = _unpacked(*packed)
+                n = np.bincount(phrase, minlength=len(made))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(made), pa.string()), pa.array([x.decode("utf-8", "surrogatepass") for x in made], pa.string()), pa.array(n.astype(np.int64))], ["lang", "phrase", "f"])
 
     return relation.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(f"f >= {least}")
 
@@ -160,7 +164,7 @@ def _counted(relation: DataFrame, least: int) -> DataFrame:
 def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30) -> tuple[DataFrame, DataFrame]:
     """(counts, totals): (lang, k, phrase, f) of the phrases of up to ``longest`` words with f >= ``least``, and (lang, n) of all words."""
     relation = written(occurrences(docs))
-    totals = written(relation.groupBy("lang").agg(F.sum(F.expr("octet_length(at) div 4")).alias("n")))
+    totals = written(relation.groupBy("lang").agg(F.sum("n").alias("n")))
     counts = []
     for k in range(1, longest + 1):
         longer = written(_extended(relation, k, least))
