@@ -41,12 +41,15 @@ def running_changelog(steps: DataFrame, inherited: DataFrame) -> DataFrame:
 
 
 def resolve_module(paths: DataFrame, modules: DataFrame, ext: str = ".md", by: str = "repo_id") -> DataFrame:
-    """(by, path, module_path): the nearest known module on the way up from a path's directory, else the master."""
-    folders = paths.select(by, "path").distinct().withColumn("parts", F.split("path", "/"))
-    up = folders.where(F.size("parts") > 1).select(by, "path", "parts", F.explode(F.expr("sequence(1, size(parts) - 1)")).alias("depth"))
-    up = up.select(by, "path", "depth", F.concat(F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/"), F.lit(ext)).alias("module_path"))
-    found = up.join(modules.select(by, "module_path").distinct(), [by, "module_path"]).groupBy(by, "path").agg(F.max_by("module_path", "depth").alias("module_path"))
-    return paths.select(by, "path").distinct().join(found, [by, "path"], "left").select(by, "path", F.coalesce("module_path", F.lit(f"_master{ext}")).alias("module_path"))
+    """(by, path, module_path): the nearest known module on the way up from a path's directory, else the master.
+
+    Only different directories climb; their paths join the outcome.
+    """
+    placed = paths.select(by, "path").distinct().withColumn("folder", F.regexp_replace("path", r"(?s)(\A|/)[^/]*\z", ""))
+    folders = placed.where("folder <> ''").select(by, "folder").distinct().withColumn("parts", F.split("folder", "/"))
+    up = folders.select(by, "folder", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda n: F.concat(F.array_join(F.slice("parts", F.lit(1), n), "/"), F.lit(ext)))).alias("depth", "module_path"))
+    found = up.join(modules.select(by, "module_path").distinct(), [by, "module_path"]).groupBy(by, "folder").agg(F.max_by("module_path", "depth").alias("module_path"))
+    return placed.join(found, [by, "folder"], "left").select(by, "path", F.coalesce("module_path", F.lit(f"_master{ext}")).alias("module_path"))
 
 
 def resolve_first(paths: DataFrame, modules: DataFrame, ext: str = ".md") -> DataFrame:

@@ -5,10 +5,7 @@ Grouping and splitting move paths and token counts only; texts join last.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimate_tokens, group_key, is_binary_path, not_ignored
@@ -36,24 +33,27 @@ def group_by_directory(files: DataFrame, keys: list[str]) -> DataFrame:
 def split_oversized(files: DataFrame, keys: list[str], max_tokens: int) -> DataFrame:
     """Files with the chunk_key they end in: too large a chunk is regrouped by the next path component.
 
-    A chunk that would give one subgroup only stays whole, even if deeper levels could split it. Each
-    round touches only files of chunks still too large.
+    A chunk that would give one subgroup only stays whole, even if deeper levels could split it. Every file names the
+    chunks that it would go through, from its group down to its own path, and one aggregation over (keys, group, chunk) tells which of
+    them divide, whatever the depth. A file ends in the first of its chunks that doesn't, or as a chunk of its own. Paths and counts move; the
+    files themselves are joined once, at the end.
     """
-    active = files.withColumn("chunk_key", group_key("path"))
-    done = None
-    while True:
-        component = F.when(F.col("chunk_key") == ".", F.split_part("path", F.lit("/"), F.lit(1))).otherwise(
-            F.when(F.col("path").startswith(F.concat("chunk_key", F.lit("/"))), F.concat(F.col("chunk_key"), F.lit("/"), F.split_part(F.expr("substring(path, length(chunk_key) + 2)"), F.lit("/"), F.lit(1)))).otherwise(F.col("path"))
-        )
-        active = materialized(active.withColumn("sub_key", component))
-        sizes = active.groupBy(*keys, "chunk_key").agg(F.sum("tokens").alias("t"), F.min("sub_key").alias("a"), F.max("sub_key").alias("b"))
-        marked = active.join(sizes, [*keys, "chunk_key"]).withColumn("again", (F.col("t") > max_tokens) & (F.col("a") != F.col("b")))
-        marked = materialized(marked.drop("t", "a", "b"))
-        stays = marked.where("NOT again").drop("sub_key", "again")
-        done = stays if done is None else done.unionByName(stays)
-        active = marked.where("again").drop("chunk_key", "again").withColumnRenamed("sub_key", "chunk_key")
-        if active.isEmpty():
-            return done
+    group = group_key("path")
+    below = F.when(F.col("group_key") == ".", F.lit("")).otherwise(F.concat("group_key", F.lit("/")))
+    names = F.split(F.expr("substring(path, length(below) + 1)"), "/")
+    deeper = F.transform(F.sequence(F.lit(1), F.size(names)), lambda n: F.concat("below", F.array_join(F.slice(names, F.lit(1), n), "/")))
+    trail = F.when(F.col("path") == F.col("group_key"), F.array("path")).otherwise(F.concat(F.array("group_key"), deeper))
+    rows = files.withColumn("group_key", group).withColumn("below", below).withColumn("trail", trail).drop("below")
+    steps = rows.select(*keys, "group_key", "tokens", F.posexplode("trail").alias("level", "chunk_key"), F.col("trail").alias("t"))
+    steps = steps.withColumn("sub", F.coalesce(F.get("t", F.col("level") + 1), F.get("t", F.col("level")))).drop("t")
+    sizes = steps.groupBy(*keys, "group_key", "level", "chunk_key").agg(F.sum("tokens").alias("total"), F.min("sub").alias("a"), F.max("sub").alias("b"))
+    divides = sizes.where((F.col("total") > max_tokens) & (F.col("a") != F.col("b"))).select(*keys, "group_key", "level", "chunk_key", F.lit(True).alias("divides"))
+    # chunks that divide are few: only their files look further
+    numbered = materialized(rows.withColumn("_row", F.monotonically_increasing_id()))
+    looked = numbered.select(*keys, "group_key", "_row", F.posexplode("trail").alias("level", "chunk_key")).join(divides, [*keys, "group_key", "level", "chunk_key"], "left")
+    ends = looked.groupBy("_row").agg(F.min(F.when(F.col("divides").isNull(), F.struct("level", "chunk_key")))["chunk_key"].alias("chunk_key"))
+    ended = numbered.join(ends, "_row", "left").withColumn("chunk_key", F.coalesce("chunk_key", "path"))
+    return ended.drop("_row", "group_key", "trail")
 
 
 def chunks_of(files: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,38 +67,32 @@ def chunk_diff(files: DataFrame, keys: list[str], max_tokens: int, patterns: lis
     return chunks_of(split_oversized(kept.join(large, keys, "left_semi"), keys, max_tokens), keys)
 
 
-def _packed(lengths: list[int], limit: int) -> list[tuple[int, int]]:
-    """Greedy (start, end) runs of lines: lines are added while a quarter of the length fits, at least one each."""
-    out, start, size = [], 0, 0
-    for k, n in enumerate(lengths):
-        if k > start and -(-(size + n + 1) // 4) > limit:
-            out.append((start, k))
-            start, size = k, 0
-        size += n + 1
-    return [*out, (start, len(lengths))] if lengths else out
+def _runs(lengths: Column, limit: int) -> Column:
+    """Greedy starts of runs of lines: lines are added while a quarter of the length fits, at least one each; a fold over lengths."""
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("k"))
+
+    def add(state: Column, n: Column) -> Column:
+        full = (state["k"] == 0) | (F.ceil((state["size"] + n + 1) / 4) > limit)
+        starts = F.when(full, F.array_append(state["starts"], state["k"])).otherwise(state["starts"])
+        return F.struct(starts.alias("starts"), F.when(full, n + 1).otherwise(state["size"] + n + 1).alias("size"), (state["k"] + 1).alias("k"))
+
+    return F.aggregate(lengths, zero, add, lambda state: state["starts"])
 
 
 def split_large_file(files: DataFrame, keys: list[str], max_file_tokens: int) -> DataFrame:
     """(keys, part_ord, path, content, tokens): parts of whole lines, named path:first-last; small files stay as they are.
 
-    The greedy packing resets at each part, which no window function does; it runs on keys and arrays of line lengths in
-    Arrow batches. The texts join the parts by key and are cut on the JVM; ``keys`` name a file.
+    The greedy packing resets at each part; it is a fold over a file's line lengths where the file stands, so nothing is
+    shuffled. ``keys`` name a file; a null content has no rows.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            f["runs"] = [[{"a": a, "b": b} for a, b in _packed(list(x), max_file_tokens)] for x in f["lengths"]]
-            yield f.drop(columns=["lengths"])
-
+    rows = files.select(*keys, "path", "content", estimate_tokens("content").alias("tokens"))
     lines = F.split("content", "\n")
-    big = files.where(estimate_tokens("content") > max_file_tokens).select(*keys, "path", "content")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.select(*keys).schema) + ", runs array<struct<a:int,b:int>>"
-    found = big.select(*keys, F.transform(lines, lambda x: F.length(x).cast("long")).alias("lengths")).mapInPandas(run, ddl)
-    runs = big.join(found, keys).select(*keys, "path", "content", F.posexplode("runs").alias("part_ord", "r"))
+    big = rows.where(F.col("tokens") > max_file_tokens).withColumn("starts", _runs(F.transform(lines, lambda x: F.length(x).cast("long")), max_file_tokens))
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size(lines)))
+    runs = big.select(*keys, "path", "content", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("part_ord", "r"))
     text = F.concat(F.array_join(F.slice(lines, F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "\n"), F.lit("\n"))
     parts = runs.select(*keys, "part_ord", F.concat("path", F.lit(":"), F.col("r.a") + 1, F.lit("-"), F.col("r.b")).alias("path"), text.alias("content"), estimate_tokens(text).alias("tokens"))
-    small = files.where(estimate_tokens("content") <= max_file_tokens).select(*keys, F.lit(0).alias("part_ord"), "path", "content", estimate_tokens("content").alias("tokens"))
-    return small.unionByName(parts)
+    return rows.where(F.col("tokens") <= max_file_tokens).select(*keys, F.lit(0).alias("part_ord"), "path", "content", "tokens").unionByName(parts)
 
 
 def budget_fits(tokens: list[int], budget: int, total: int = 0) -> tuple[list[bool], int]:
@@ -136,10 +130,13 @@ def accepted_diffs(stats: DataFrame, keys: list[str], budget: int) -> DataFrame:
     return stats.where(F.lit(budget == 0) | (estimate_tokens("stat") * 10 <= budget)).select(*keys).distinct()
 
 
-def read_diff_chunks(files: DataFrame, stats: DataFrame, keys: list[str], patterns: list[str], budget: int, max_tokens: int) -> DataFrame:
-    """Chunked diff files of the accepted changes."""
+def read_diff_chunks(files: DataFrame, stats: DataFrame, keys: list[str], patterns: list[str], budget: int, max_tokens: int, max_file_tokens: int = 0) -> DataFrame:
+    """Chunked diff files of the accepted changes; with ``max_file_tokens``, larger diffs of a file (``diff``) are split into runs of lines first."""
     fits = accepted_diffs(stats, keys, budget)
-    return split_oversized(files.where(~is_binary_path("path") & not_ignored("path", patterns)).join(fits, keys, "left_semi"), keys, max_tokens)
+    kept = files.where(~is_binary_path("path") & not_ignored("path", patterns)).join(fits, keys, "left_semi")
+    if max_file_tokens:
+        kept = split_large_file(kept.withColumnRenamed("diff", "content"), [*keys, "file_ord"], max_file_tokens)
+    return split_oversized(kept, keys, max_tokens)
 
 
 def reconciliation_source(diff_chunks: DataFrame, accepted: DataFrame, tree_chunks: DataFrame, keys: list[str]) -> DataFrame:

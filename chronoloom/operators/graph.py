@@ -6,10 +6,16 @@ Walks along a chain use pointer doubling, so a history of n commits takes log2(n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+import pandas as pd
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import materialized
+from ..sources.tables import materialized, released
+from .longest import longest_paths
+from .ranges import running
 
 R = "repo_id"
 
@@ -41,22 +47,25 @@ def first_root(commits: DataFrame) -> DataFrame:
 def chase(starts: DataFrame, pointers: DataFrame) -> DataFrame:
     """All (repo_id, start, node, hop) that following ``pointers`` (repo_id, node, next) from ``starts`` reaches.
 
-    Raises ValueError if the pointers have a cycle: no chain is longer than there are pointers.
+    A round writes only what it finds. Raises ValueError if the pointers have a cycle: no chain is longer than there are pointers.
     """
-    reach = starts.select(R, F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("hop")).distinct()
+    first = starts.select(R, F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("hop")).distinct()
+    parts = [materialized(first)]
     jump, step, longest = pointers.select(R, "node", "next"), 1, None
     while True:
         if step >= 64:
             longest = pointers.count() if longest is None else longest
             if step > 2 * longest:
                 raise ValueError("the history has a cycle")
+        reach = reduce(DataFrame.unionByName, parts)
         found = reach.join(jump, [R, "node"]).select(R, "start", F.col("next").alias("node"), (F.col("hop") + step).alias("hop"))
-        grown = materialized(reach.unionByName(found))
         ahead = jump.select(R, F.col("node").alias("next"), F.col("next").alias("far"))
-        jump = materialized(jump.join(ahead, [R, "next"]).select(R, "node", F.col("far").alias("next")))
-        reach, step = grown, step * 2
+        farther = jump.join(ahead, [R, "next"]).select(R, F.lit(None).cast(found.schema["start"].dataType).alias("start"), "node", F.lit(None).cast("long").alias("hop"), F.col("far").alias("next"))
+        both = materialized(found.withColumn("next", F.lit(None).cast(jump.schema["next"].dataType)).unionByName(farther))  # a round is one job
+        parts.append(both.where("hop IS NOT NULL").drop("next"))
+        jump, step = both.where("next IS NOT NULL").select(R, "node", "next"), step * 2
         if jump.isEmpty():
-            return reach
+            return reduce(DataFrame.unionByName, parts)
 
 
 def mark_trunk(commits: DataFrame, refs: DataFrame) -> DataFrame:
@@ -81,12 +90,15 @@ def trunk_path(commits: DataFrame, trunk: DataFrame) -> DataFrame:
 
 
 def trunk_segments(path: DataFrame, commits: DataFrame) -> DataFrame:
-    """(repo_id, segment_id, ordinal, sha, trunk_pos): the trunk, cut before every merge but at the first row."""
-    w = Window.partitionBy(R).orderBy("trunk_pos")
+    """(repo_id, segment_id, ordinal, sha, trunk_pos): the trunk, cut before every merge but at the first row.
+
+    Numbers come from ranges of trunk_pos, so that one long trunk spreads over all tasks.
+    """
     rows = path.join(commits.select(R, "sha", (F.size("parents") > 1).alias("merge")), [R, "sha"])
-    rows = rows.withColumn("k", F.sum(F.when(F.col("merge") & (F.col("trunk_pos") > 0), 1).otherwise(0)).over(w))
-    first = Window.partitionBy(R, "k").orderBy("trunk_pos")
-    return rows.select(R, F.concat(F.lit("trunk-"), "k").alias("segment_id"), (F.row_number().over(first) - 1).alias("ordinal"), "sha", "trunk_pos")
+    cut = F.col("merge") & (F.col("trunk_pos") > 0)
+    rows = running(rows, [R], "trunk_pos", {"k": F.when(cut, 1).otherwise(0)}, {"last": F.when(cut, F.col("trunk_pos"))})
+    begins = F.when(cut, F.col("trunk_pos")).otherwise(F.coalesce("last", F.lit(0)))
+    return rows.select(R, F.concat(F.lit("trunk-"), "k").alias("segment_id"), (F.col("trunk_pos") - begins).alias("ordinal"), "sha", "trunk_pos")
 
 
 def branch_segments(commits: DataFrame, trunk: DataFrame, path: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,31 +148,35 @@ def segment_deps(commits: DataFrame, segments: DataFrame, segment_commits: DataF
     return found.select(R, "segment_id", (F.row_number().over(Window.partitionBy(R, "segment_id").orderBy("o")) - 1).alias("dep_ord"), "dep_id")
 
 
-def _relaxed(segments: DataFrame, deps: DataFrame, weight) -> DataFrame:
-    """(repo_id, segment_id, dist): weight plus the largest dist of the dependencies, to a fixed point.
+def _distances(segments: DataFrame, deps: DataFrame, weight: Column) -> DataFrame:
+    """(repo_id, segment_id, dist): weight plus the largest dist of the dependencies.
 
-    Raises ValueError if dependencies have a cycle: no chain has more links than there are segments.
+    Segments off the trunk that need one trunk segment at most are edges between trunk segments first, so that what is
+    solved is the trunk, in its order. Raises ValueError if dependencies have a cycle.
     """
-    base = segments.select(R, "segment_id", weight.cast("long").alias("w"))
-    dist = materialized(base.select(R, "segment_id", F.col("w").alias("dist")))
-    rounds, longest = 0, None
-    while True:
-        rounds += 1
-        if rounds >= 64:
-            longest = segments.count() if longest is None else longest
-            if rounds > longest + 1:
-                raise ValueError("the dependencies have a cycle")
-        ahead = deps.join(dist.select(R, F.col("segment_id").alias("dep_id"), "dist"), [R, "dep_id"]).groupBy(R, "segment_id").agg(F.max("dist").alias("before"))
-        now = base.join(ahead, [R, "segment_id"], "left").select(R, "segment_id", (F.col("w") + F.coalesce("before", F.lit(0))).alias("dist"))
-        now = materialized(now)
-        if now.join(dist.withColumnRenamed("dist", "old"), [R, "segment_id"]).where("dist <> old").isEmpty():
-            return now
-        dist = now
+    rows = segments.select(R, "segment_id", "type", F.col("creation_ord").alias("pos"), weight.cast("long").alias("w"))
+    known = deps.select(R, "segment_id", "dep_id").distinct().join(rows.select(R, F.col("segment_id").alias("dep_id"), (F.col("type") == "trunk").alias("on")), [R, "dep_id"])
+    needs = known.groupBy(R, "segment_id").agg(F.count("*").alias("n"), F.bool_and("on").alias("on"), F.min("dep_id").alias("dep_id"))
+    rows = rows.join(needs, [R, "segment_id"], "left")
+    rows = materialized(rows.withColumn("edge", (F.col("type") != "trunk") & ((F.coalesce("n", F.lit(0)) == 0) | ((F.col("n") == 1) & F.col("on")))))
+    side = rows.where("edge").select(R, F.col("segment_id").alias("dep_id"), F.col("dep_id").alias("src"), F.col("w").alias("side"))
+    links = known.join(rows.where("NOT edge").select(R, "segment_id"), [R, "segment_id"], "left_semi").join(side, [R, "dep_id"], "left")
+    links = materialized(links.select(R, F.when(F.col("side").isNull(), F.col("dep_id")).otherwise(F.col("src")).alias("src"), F.col("segment_id").alias("dst"), F.coalesce("side", F.lit(0)).alias("gain")))
+    base = links.where("src IS NULL").groupBy(R, F.col("dst").alias("segment_id")).agg(F.max("gain").alias("base"))
+    nodes = rows.where("NOT edge").join(base, [R, "segment_id"], "left").select(R, F.col("segment_id").alias("node"), "pos", "w", F.coalesce("base", F.lit(0)).alias("base"))
+    try:
+        found = longest_paths(nodes, links.where("src IS NOT NULL")).withColumnRenamed("node", "segment_id")
+    except PythonException as e:
+        if "have a cycle" in str(e):
+            raise ValueError("the dependencies have a cycle") from e
+        raise
+    below = found.select(R, F.col("segment_id").alias("dep_id"), F.col("dist").alias("before"))
+    return found.unionByName(rows.where("edge").join(below, [R, "dep_id"], "left").select(R, "segment_id", (F.col("w") + F.coalesce("before", F.lit(0))).alias("dist")))
 
 
 def segment_levels(segments: DataFrame, deps: DataFrame) -> DataFrame:
     """(repo_id, segment_id, level): the longest chain of dependencies below a segment."""
-    return _relaxed(segments, deps, F.lit(1)).select(R, "segment_id", (F.col("dist") - 1).alias("level"))
+    return _distances(segments, deps, F.lit(1)).select(R, "segment_id", (F.col("dist") - 1).alias("level"))
 
 
 def segment_topo_order(segments: DataFrame, deps: DataFrame) -> DataFrame:
@@ -169,21 +185,93 @@ def segment_topo_order(segments: DataFrame, deps: DataFrame) -> DataFrame:
     return rows.withColumn("topo_pos", F.row_number().over(Window.partitionBy(R).orderBy("level", "creation_ord")) - 1)
 
 
+def segment_post_order(segments: DataFrame, deps: DataFrame) -> DataFrame:
+    """(repo_id, segment_id, post_pos): depth-first post-order, roots in creation order and dependencies in theirs (dep_ord).
+
+    The order of a search is sequential; a task holds the segments (not commits) of one repository. Unknown dependencies
+    are passed over; one that is still being visited, in a cycle, isn't entered again.
+    """
+
+    def search(key, rows: pd.DataFrame) -> pd.DataFrame:
+        needs = {r.segment_id: [d["dep_id"] for d in r.needs] for r in rows.sort_values("creation_ord").itertuples()}
+        order, seen = [], set()
+        for root in needs:
+            if root in seen:
+                continue
+            seen.add(root)
+            path = [(root, iter(needs[root]))]
+            while path:
+                node, left = path[-1]
+                below = next((d for d in left if d in needs and d not in seen), None)
+                if below is None:
+                    order.append(node)
+                    path.pop()
+                else:
+                    seen.add(below)
+                    path.append((below, iter(needs[below])))
+        return pd.DataFrame({R: key[0], "segment_id": order, "post_pos": range(len(order))})
+
+    lists = deps.groupBy(R, "segment_id").agg(F.array_sort(F.collect_list(F.struct("dep_ord", "dep_id"))).alias("needs"))
+    none = F.array().cast(lists.schema["needs"].dataType)
+    rows = segments.select(R, "segment_id", "creation_ord").join(lists, [R, "segment_id"], "left").withColumn("needs", F.coalesce("needs", none))
+    return rows.groupBy(R).applyInPandas(search, f"{R} {segments.schema[R].dataType.simpleString()}, segment_id string, post_pos long")
+
+
 def critical_path(segments: DataFrame, deps: DataFrame) -> DataFrame:
     """(repo_id, critical_path): the heaviest dependency chain by commit count; unknown dependencies weigh nothing."""
-    return _relaxed(segments, deps, F.col("n_commits")).groupBy(R).agg(F.max("dist").alias("critical_path"))
+    return _distances(segments, deps, F.col("n_commits")).groupBy(R).agg(F.max("dist").alias("critical_path"))
 
 
-def ancestors(commits: DataFrame, starts: DataFrame) -> DataFrame:
-    """(repo_id, sha) of the starts, present or not, and of all parents that edges reach."""
-    edges = commits.select(R, "sha", F.explode("parents").alias("parent"))
-    seen = front = materialized(starts.select(R, "sha").distinct())
+def commit_chains(commits: DataFrame, trunk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chains, crossings): (repo_id, sha, chain, place) of every commit, and the edges between chains.
+
+    A chain runs along first parents, and of the children of a commit only one carries its chain on, the one on ``trunk``
+    (repo_id, sha) or else the newest; so every commit is in one chain and a trunk isn't cut. crossings are (repo_id, chain, place, to_chain, to_place): all other edges to commits of the table.
+    Commits on a cycle of first parents are in no chain; a history has none.
+    """
+    on = trunk.select(R, F.col("sha").alias("child"), F.lit(True).alias("on")).distinct()
+    edges = materialized(commit_edges(commits))
+    first = edges.where("parent_ord = 0").join(on, [R, "child"], "left")
+    carried = first.groupBy(R, "parent").agg(F.min_by("child", F.struct(F.col("on").isNull(), "child_log_pos")).alias("child"))
+    carried = materialized(carried.select(R, F.col("child").alias("node"), F.col("parent").alias("next")))
+    heads = commits.select(R, F.col("sha").alias("node")).join(carried.select(R, F.col("next").alias("node")), [R, "node"], "left_anti")
+    chains = materialized(chase(heads, carried).select(R, F.col("node").alias("sha"), F.col("start").alias("chain"), F.col("hop").alias("place")))
+    other = edges.join(carried.select(R, F.col("node").alias("child"), F.col("next").alias("parent"), F.lit(0).alias("parent_ord")), [R, "child", "parent", "parent_ord"], "left_anti")
+    one = chains.select(R, F.col("sha").alias("child"), "chain", "place")
+    two = chains.select(R, F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
+    crossings = materialized(other.join(one, [R, "child"]).join(two, [R, "parent"]).select(R, "chain", "place", "to_chain", "to_place"))
+    released(edges, carried)
+    return chains, crossings
+
+
+def ancestors(commits: DataFrame, starts: DataFrame, trunk: DataFrame | None = None) -> DataFrame:
+    """(repo_id, sha) of the starts, present or not, and of all parents that edges reach, present or not.
+
+    Reaching a place of a chain reaches all that follow it, so a round is a step between chains, not a generation, and what is
+    kept is a place a chain. ``trunk``: commits that are to stay one chain; else the first-parent walk of each repository's newest start.
+    Cyclic input ends like other input, or with a ValueError where first parents have a cycle.
+    """
+    if trunk is None:
+        newest = commits.join(starts.select(R, "sha").distinct(), [R, "sha"], "left_semi").groupBy(R).agg(F.min_by("sha", "log_pos").alias("sha"))
+        trunk = mark_trunk(commits, newest)
+    placed, crossings = commit_chains(commits, trunk)
+    front = placed.join(starts.select(R, "sha").distinct(), [R, "sha"], "left_semi").groupBy(R, "chain").agg(F.min("place").alias("place"))
+    front = materialized(front.withColumn("before", F.lit(None).cast("long")))
+    rounds = [front]
     while True:
-        front = edges.join(front, [R, "sha"], "left_semi").select(R, F.col("parent").alias("sha")).distinct().join(seen, [R, "sha"], "left_anti")
-        front = materialized(front)
+        from_here = front.select(R, "chain", F.col("place").alias("least"), "before")
+        into = crossings.join(from_here, [R, "chain"]).where("place >= least AND (before IS NULL OR place < before)").groupBy(R, F.col("to_chain").alias("chain")).agg(F.min("to_place").alias("place"))
+        known = reduce(DataFrame.unionByName, rounds).groupBy(R, "chain").agg(F.min("place").alias("before"))
+        front = materialized(into.join(known, [R, "chain"], "left").where("before IS NULL OR place < before").select(R, "chain", "place", "before"))
         if front.isEmpty():
-            return seen
-        seen = materialized(seen.unionByName(front))
+            break
+        rounds.append(front)
+    least = reduce(DataFrame.unionByName, rounds).groupBy(R, "chain").agg(F.min("place").alias("least"))
+    inside = materialized(placed.join(least, [R, "chain"]).where("place >= least").select(R, "sha"))
+    parents = commits.join(inside, [R, "sha"], "left_semi").select(R, F.explode("parents").alias("sha"))
+    outside = parents.unionByName(starts.select(R, "sha")).join(commits.select(R, "sha"), [R, "sha"], "left_anti").distinct()
+    released(*rounds, front)
+    return inside.unionByName(outside)
 
 
 def ready_segments(segments: DataFrame, deps: DataFrame, progress: DataFrame, max_concurrency: int) -> DataFrame:

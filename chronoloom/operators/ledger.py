@@ -26,8 +26,9 @@ def ledger_totals(ledger: DataFrame, reconciliations: DataFrame) -> DataFrame:
 
 
 def sha_map(ledger: DataFrame) -> DataFrame:
-    """(repo_id, original_sha, derived_sha): the last step wins, of equal numbers the greater sha."""
-    return ledger.groupBy(R, "original_sha").agg(F.max(F.struct("seq", "derived_sha"))["derived_sha"].alias("derived_sha"))
+    """(repo_id, original_sha, derived_sha): the step written last wins, by ts where the ledger has it, then by seq, then the greater sha."""
+    order = [c for c in ("ts", "seq", "derived_sha") if c in ledger.columns]
+    return ledger.groupBy(R, "original_sha").agg(F.max(F.struct(*order))["derived_sha"].alias("derived_sha"))
 
 
 def sha_map_from_log(tagged_log: DataFrame) -> DataFrame:

@@ -92,6 +92,24 @@ _STEPS = f"WITH steps AS ({_sql(fx.STEPS)})"
 _SOURCES = f"WITH src AS ({_sql(fx.SOURCES)})"
 
 
+_CHUNKS = """WITH d AS (SELECT doc_id, doc_id // 10 AS change_id, lang, text, lang || '/doc' || doc_id || '.md' AS path FROM documents WHERE lang IS NOT NULL),
+accepted AS (SELECT change_id FROM (SELECT doc_id // 10 AS change_id, sum(doc_id % 10) + doc_id // 10 % 9 AS n FROM documents GROUP BY doc_id // 10) WHERE ceil(n / 4.0) * 10 <= 120),
+parts AS (SELECT *, CAST(ceil(length('diff --git a/' || path || ' b/' || path || chr(10) || coalesce(text, '') || chr(10)) / 4.0) AS BIGINT) AS tokens FROM d),
+told AS (SELECT *, CASE WHEN sum(tokens) OVER w > 2000 AND count(*) OVER w > 1 THEN path ELSE lang END AS chunk_key FROM parts WINDOW w AS (PARTITION BY change_id, lang)),
+sized AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM d WHERE text IS NOT NULL),
+tree AS (SELECT *, CASE WHEN sum(tokens) OVER w > 2000 AND count(*) OVER w > 1 THEN path ELSE lang END AS chunk_key FROM sized WINDOW w AS (PARTITION BY change_id, lang))"""
+_ADMITTED = """adm AS (SELECT repo_id, file_ord, tokens <= 20000 AS yes, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS total FROM src WHERE file_ord = 1
+  UNION ALL SELECT s.repo_id, s.file_ord, adm.total + s.tokens <= 20000, CASE WHEN adm.total + s.tokens <= 20000 THEN adm.total + s.tokens ELSE adm.total END FROM adm JOIN src s ON s.repo_id = adm.repo_id AND s.file_ord = adm.file_ord + 1),
+admitted AS (SELECT src.* FROM src JOIN adm USING (repo_id, file_ord) WHERE adm.yes),"""
+_PARTS = f"""{_SOURCES.replace('WITH', 'WITH RECURSIVE', 1)}, /*more*/
+lines AS MATERIALIZED (SELECT repo_id, file_ord, path, CAST(i AS BIGINT) AS i, string_split(content, chr(10))[i] AS line, length(string_split(content, chr(10))[i]) AS n FROM (SELECT *, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM RUNS WHERE tokens > 200)),
+pack AS (SELECT repo_id, file_ord, i, CAST(0 AS BIGINT) AS part_ord, n + 1 AS size FROM lines WHERE i = 1
+  UNION ALL SELECT l.repo_id, l.file_ord, l.i, CASE WHEN ceil((p.size + l.n + 1) / 4.0) > 200 THEN p.part_ord + 1 ELSE p.part_ord END, CASE WHEN ceil((p.size + l.n + 1) / 4.0) > 200 THEN l.n + 1 ELSE p.size + l.n + 1 END
+  FROM pack p JOIN lines l ON l.repo_id = p.repo_id AND l.file_ord = p.file_ord AND l.i = p.i + 1),
+parts AS (SELECT repo_id, file_ord, CAST(part_ord AS INTEGER) AS part_ord, path || ':' || min(i) || '-' || max(i) AS path, string_agg(line, chr(10) ORDER BY i) || chr(10) AS content, CAST(ceil((sum(n) + count(*)) / 4.0) AS BIGINT) AS tokens FROM pack JOIN lines USING (repo_id, file_ord, i) GROUP BY repo_id, file_ord, lines.path, part_ord
+  UNION ALL SELECT repo_id, file_ord, 0, path, content, tokens FROM RUNS WHERE tokens <= 200)"""
+
+
 def _chars(c: str) -> str:
     """The length of a commit's rendered diff."""
     return f"length('### ' || substr({c}.sha, 1, 8) || ' — ' || {c}.message || chr(10) || chr(10) || '```diff' || chr(10) || 'diff --git a/f b/f' || CAST({c}.seq % 7 AS VARCHAR) || chr(10) || '+' || {c}.message || chr(10) || '```')"
@@ -195,6 +213,20 @@ ORACLES = {
     "reconciliation_epochs": f"{_STEPS} SELECT s.repo_id, s.step_no, (s.step_no - 1) // 3 AS epoch, p.original_sha AS since_sha FROM steps s LEFT JOIN steps p ON p.repo_id = s.repo_id AND p.step_no = ((s.step_no - 1) // 3) * 3",
     "admit_within_budget": f"""{_SOURCES.replace('WITH', 'WITH RECURSIVE', 1)}, f AS (SELECT repo_id, file_ord, tokens <= 20000 AS admitted, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS total FROM src WHERE file_ord = 1
   UNION ALL SELECT s.repo_id, s.file_ord, f.total + s.tokens <= 20000, CASE WHEN f.total + s.tokens <= 20000 THEN f.total + s.tokens ELSE f.total END FROM f JOIN src s ON s.repo_id = f.repo_id AND s.file_ord = f.file_ord + 1) SELECT repo_id, path, tokens, admitted FROM f JOIN src USING (repo_id, file_ord)""".replace("SELECT repo_id, path, tokens", "SELECT src.repo_id, src.path, src.tokens"),
+    "trigger_none": f"{_STEPS} SELECT repo_id, step_no, false AS fires FROM steps",
+    "trigger_every_n_trunk_mixed": f"""{_STEPS.replace('WITH', 'WITH RECURSIVE', 1)}, k AS (SELECT *, CAST(segment_type = 'trunk' AS BIGINT) AS one FROM steps),
+f AS (SELECT repo_id, step_no, one AS trunk, CAST(0 AS BIGINT) AS last, false AS fires FROM k WHERE step_no = 1
+  UNION ALL SELECT k.repo_id, k.step_no, f.trunk + k.one, CASE WHEN k.one = 1 AND f.trunk + k.one - f.last >= 3 THEN k.step_no ELSE f.last END, k.one = 1 AND f.trunk + k.one - f.last >= 3 FROM f JOIN k ON k.repo_id = f.repo_id AND k.step_no = f.step_no + 1) SELECT repo_id, step_no, fires FROM f""",
+    "resolve_first": f"{_MODULES} SELECT f.change_id, coalesce(arg_min(r.module_path, f.file_ord) FILTER (r.module_path <> '_master.md'), '_master.md') AS module_path FROM files f JOIN found r USING (path) GROUP BY f.change_id",
+    "commit_message": _g("SELECT p.repo_id, p.sha, 'spec: ' || lower(c.message) || chr(10) || chr(10) || 'Original: ' || p.sha || ' \"' || c.message || '\"' || chr(10) || 'Window: ' || substr(p.w[1], 1, 8) || '..' || substr(p.sha, 1, 8) || chr(10) || 'Model: sonnet' AS text FROM plain p JOIN commits c ON c.repo_id = p.repo_id AND c.sha = p.sha WHERE p.segment_id LIKE 'trunk-%'"),
+    "read_diff_chunks": f"{_CHUNKS} SELECT change_id, chunk_key, count(*) AS n_files, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM told SEMI JOIN accepted USING (change_id) GROUP BY ALL",
+    "reconciliation_source": f"""{_CHUNKS} SELECT change_id, mode, chunk_key, count(*) AS n_files, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM (SELECT change_id, 'diff' AS mode, chunk_key, tokens FROM told SEMI JOIN accepted USING (change_id)
+  UNION ALL SELECT change_id, 'tree', chunk_key, tokens FROM tree ANTI JOIN accepted USING (change_id)) GROUP BY ALL""",
+    "render_source_chunk": f"{_CHUNKS} SELECT change_id, chunk_key, 'source/' || replace(chunk_key, '/', '--') || '.txt' AS file_name, sha1(string_agg('--- ' || path || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM tree GROUP BY change_id, chunk_key",
+    "split_large_file": f"{_PARTS.replace('RUNS', 'src')} SELECT repo_id, file_ord, part_ord, path, sha1(content) AS digest, tokens FROM parts",
+    "read_tree_chunks": f"""{_PARTS.replace('RUNS', 'admitted').replace('/*more*/', _ADMITTED)},
+grouped AS (SELECT *, split_part(path, '/', 1) AS top, sum(tokens) OVER w AS total, min(path) OVER w AS a, max(path) OVER w AS b FROM parts WINDOW w AS (PARTITION BY repo_id, split_part(path, '/', 1)))
+SELECT repo_id, CASE WHEN total > 2000 AND a <> b THEN path ELSE top END AS chunk_key, count(*) AS n_files, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM grouped GROUP BY ALL""",
     "diffstat": "SELECT doc_id // 10 AS change_id, lang AS path, CAST(sum(1) AS BIGINT) AS added, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS removed FROM documents WHERE text IS NOT NULL GROUP BY ALL",
 }
 

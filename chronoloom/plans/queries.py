@@ -126,6 +126,12 @@ def segment_topo_order(spark, sf_dir):
     return g.segment_topo_order(r.segments, r.deps).select("repo_id", "segment_id", "topo_pos")
 
 
+@query
+def segment_post_order(spark, sf_dir):
+    r = Repos(spark, sf_dir).full()
+    return g.segment_post_order(r.segments, r.deps)
+
+
 @query
 def critical_path(spark, sf_dir):
     r = Repos(spark, sf_dir).full()
@@ -279,6 +285,41 @@ def read_tree_chunks(spark, sf_dir):
     return df.chunks_of(chunked, ["repo_id"])
 
 
+def _change_files(spark, sf_dir):
+    return df.parse_diff(_wrapped_diffs(spark, sf_dir), ["change_id"])
+
+
+def _change_stats(spark, sf_dir):
+    return fx.table(spark, sf_dir, "documents").groupBy(F.expr("doc_id div 10").alias("change_id")).agg(F.sum(F.expr("doc_id % 10")).alias("n")).select("change_id", F.repeat(F.lit("x"), F.expr("cast(n + change_id % 9 as int)")).alias("stat"))
+
+
+def _change_tree(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    return rows.select(F.expr("doc_id div 10").alias("change_id"), F.col("doc_id").alias("file_ord"), F.concat("lang", F.lit("/doc"), "doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"), t.estimate_tokens("text").alias("tokens"))
+
+
+@query
+def read_diff_chunks(spark, sf_dir):
+    rows = df.read_diff_chunks(_change_files(spark, sf_dir), _change_stats(spark, sf_dir), ["change_id"], IGNORED, 120, MAX_TOKENS)
+    return df.chunks_of(rows, ["change_id"])
+
+
+@query
+def reconciliation_source(spark, sf_dir):
+    """Chunks of the diff where its stat is small, of the tree elsewhere."""
+    keys, stats = ["change_id"], _change_stats(spark, sf_dir)
+    told = df.read_diff_chunks(_change_files(spark, sf_dir), stats, keys, IGNORED, 120, MAX_TOKENS)
+    tree = df.split_oversized(_change_tree(spark, sf_dir).drop("content"), keys, MAX_TOKENS)
+    rows = df.reconciliation_source(told, df.accepted_diffs(stats, keys, 120), tree, keys)
+    return rows.groupBy("change_id", "mode", "chunk_key").agg(F.count("*").alias("n_files"), F.sum("tokens").alias("total_tokens"))
+
+
+@query
+def render_source_chunk(spark, sf_dir):
+    rows = df.render_source_chunk(df.split_oversized(_change_tree(spark, sf_dir), ["change_id"], MAX_TOKENS), ["change_id"])
+    return rows.select("change_id", "chunk_key", "file_name", F.sha1("text").alias("digest"))
+
+
 @query
 def diffstat(spark, sf_dir):
     text = F.concat(F.lit("index\n--- a\n+++ b\n@@ -1 +1 @@\n+"), F.replace("text", F.lit("\n"), F.lit("\n-")))
@@ -331,6 +372,13 @@ def resolve_module(spark, sf_dir):
     return cl.resolve_module(paths, _modules(spark, sf_dir)).select("path", "module_path")
 
 
+@query
+def resolve_first(spark, sf_dir):
+    """The first path of every change that resolves to a module."""
+    paths = _files(spark, sf_dir).select(F.lit(0).cast("long").alias("repo_id"), F.col("change_id").alias("sha"), F.col("file_ord").alias("path_ord"), "path")
+    return cl.resolve_first(paths, _modules(spark, sf_dir)).select(F.col("sha").alias("change_id"), "module_path")
+
+
 @query
 def relevant_specs(spark, sf_dir):
     changes = _files(spark, sf_dir).select(F.lit(0).cast("long").alias("repo_id"), "change_id", "path")
@@ -365,6 +413,16 @@ def first_valid_attempt(spark, sf_dir):
     return rs.first_valid_attempt(rows, ["conv_id"], 3)
 
 
+@query
+def commit_message(spark, sf_dir):
+    """The message of each main-line step: its own subject, its commit, its window and its model."""
+    r = Repos(spark, sf_dir)
+    path = g.trunk_path(r.commits, materialized(g.mark_trunk(r.commits, r.refs)))
+    windows = wd.commit_windows(g.trunk_segments(path, r.commits), WINDOW).join(r.commits.select("repo_id", "sha", "message"), ["repo_id", "sha"])
+    text = t.commit_message("spec", F.lower("message"), F.col("sha"), F.col("message"), t.window_label("window"), F.lit("sonnet"))
+    return windows.select("repo_id", "sha", text.alias("text"))
+
+
 @query
 def segment_progress(spark, sf_dir):
     r = Repos(spark, sf_dir).graph()
@@ -492,6 +550,17 @@ def _steps(spark, sf_dir):
     return fx.derived(spark, sf_dir, fx.STEPS)
 
 
+@query
+def trigger_none(spark, sf_dir):
+    return tr.trigger_none(_steps(spark, sf_dir)).select("repo_id", "step_no", "fires")
+
+
+@query
+def trigger_every_n_trunk_mixed(spark, sf_dir):
+    """The last firing remembered as a number among all steps."""
+    return tr.trigger_every_n_trunk(_steps(spark, sf_dir), 3, compat=True).select("repo_id", "step_no", "fires")
+
+
 @query
 def trigger_every_n(spark, sf_dir):
     return tr.trigger_every_n(_steps(spark, sf_dir), 3).select("repo_id", "step_no", "fires")

@@ -23,14 +23,25 @@ STATE = (
 
 
 def _repo_of_file() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
+    """The file's name, or that of a folder ``repo=<name>`` that holds it."""
+    path = F.col("_metadata.file_path")
+    folder = F.regexp_extract(path, r"/repo=([^/]*)/[^/]*$", 1)
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    return F.when(folder != "", plain(plain(folder))).otherwise(F.regexp_extract(path, r"([^/]+?)(\.[^./]*)?$", 1))
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
-    """(repo, log_pos, record): the non-blank records of each file (one file a repository), newest first."""
-    files = spark.read.text(path, wholetext=True).select(_repo_of_file().alias("repo"), "value")
-    records = files.select("repo", F.posexplode(F.filter(F.split("value", REC), lambda r: r.rlike(r"\S"))).alias("log_pos", "record"))
-    return records.select("repo", F.col("log_pos").cast("long"), F.regexp_replace("record", r"\A\s+", "").alias("record"))
+    """(repo, log_pos, record): the non-blank records of each file (one file a repository), newest first.
+
+    Spark cuts large files into splits, each read by a task. Records are numbered inside their split, and what the
+    splits before hold is added, so that a large log needs no task of its own.
+    """
+    lines = spark.read.option("lineSep", REC).text(path).select(_repo_of_file().alias("repo"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = lines.where(F.col("value").rlike(r"\S"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("file", "split").agg(F.count("*").alias("n")).select("file", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    inside = F.row_number().over(Window.partitionBy("file", "split").orderBy("at")) - 1
+    return rows.join(offsets, ["file", "split"]).select("repo", (F.col("off") + inside).alias("log_pos"), F.regexp_replace("value", r"\A\s+", "").alias("record"))
 
 
 def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
@@ -98,17 +109,61 @@ def segments_of_state(state: DataFrame) -> DataFrame:
 
 
 def merges_of_state(state: DataFrame, derived: str = "derivedSha") -> DataFrame:
-    rows = state.select("repo", F.explode("completedMerges").alias("m"))
-    return rows.select("repo", F.col("m.mergeSha").alias("merge_sha"), F.col("m")[derived].alias("derived_sha"), F.col("m.trunkSegmentId").alias("trunk_dep"), F.col("m.branchSegmentId").alias("branch_dep"))
+    rows = state.select("repo", F.posexplode("completedMerges").alias("ord", "m"))
+    return rows.select("repo", F.col("m.mergeSha").alias("merge_sha"), F.col("m")[derived].alias("derived_sha"), F.col("m.trunkSegmentId").alias("trunk_dep"), F.col("m.branchSegmentId").alias("branch_dep"), "ord", F.to_timestamp("m.timestamp").alias("ts"))
 
 
 def reconciliations_of_state(state: DataFrame) -> DataFrame:
-    rows = state.select("repo", F.explode("reconciliations").alias("r"))
-    return rows.select("repo", F.col("r.atStep").alias("at_step"), F.col("r.atSha").alias("at_sha"), "r.model", F.col("r.costUsd").alias("cost"), F.col("r.findingsCount").alias("n_findings"), "r.skipped")
+    rows = state.select("repo", F.posexplode("reconciliations").alias("ord", "r"))
+    return rows.select("repo", F.col("r.atStep").alias("at_step"), F.col("r.atSha").alias("at_sha"), "r.model", F.col("r.costUsd").alias("cost"), F.col("r.findingsCount").alias("n_findings"), "r.skipped", "ord", F.to_timestamp("r.timestamp").alias("ts"))
 
 
 def sha_map_of_state(state: DataFrame) -> DataFrame:
-    return state.select(F.explode("shaMap").alias("original_sha", "derived_sha"))
+    return state.select("repo", F.explode("shaMap").alias("original_sha", "derived_sha"))
+
+
+def state_documents(repos: DataFrame, segments: DataFrame, segment_commits: DataFrame, deps: DataFrame, progress: DataFrame, ledger: DataFrame, mapping: DataFrame, merges: DataFrame, reconciliations: DataFrame, derived: str = "derivedSha", head: str = "branchHead") -> DataFrame:
+    """One state document a repository, nested as the files hold it, from flat tables keyed by repo (the inverse of ``read_state``).
+
+    ``repos``: the scalar fields of ``STATE`` and config; ``ledger``: steps in order of seq; ``progress``: status, spec and
+    changelog of each segment; ``mapping``, ``merges`` and ``reconciliations`` as the ``_of_state`` functions give them, the
+    last two with ord for their order. Arrays are in order, maps in the order of their keys; a document holds one repository, as its file does.
+    """
+    none = lambda rows, c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+    def ordered(rows: DataFrame, keys: list[str], by: str, value, name: str) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(by).alias("o"), value.alias("v")))).alias("l")).select(*keys, F.col("l.v").alias(name))
+
+    key = ["repo", "segment_id"]
+    parts = segments.join(ordered(segment_commits, key, "ordinal", F.col("sha"), "commits"), key, "left").join(ordered(deps, key, "dep_ord", F.col("dep_id"), "needs"), key, "left")
+    parts = parts.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("commits", "needs")})
+    one = F.struct(F.col("segment_id").alias("id"), "type", "commits", F.col("needs").alias("dependsOn"), F.col("fork_from").alias("forkPoint"), F.col("merges_into").alias("mergesInto"))
+    listed = ordered(parts, ["repo"], "creation_ord", one, "segments")
+    step = F.struct(F.col("original_sha").alias("originalSha"), F.col("derived_sha").alias(derived), "model", F.col("cost").cast("double").alias("costUsd"), stamp.alias("timestamp"))
+    steps = ordered(ledger, key, "seq", step, "completedSteps")
+    told = progress.select(*key, "status", "spec", "changelog").join(steps, key, "left").withColumn("completedSteps", none(steps, "completedSteps"))
+    held = F.struct("segment_id", F.struct("status", "completedSteps", F.col("spec").alias("currentSpec"), F.col("changelog").alias("currentChangelog")))
+    told = told.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(held))).alias("segmentProgress"))
+    shas = mapping.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("original_sha", "derived_sha")))).alias("shaMap"))
+    merge = F.struct(F.col("merge_sha").alias("mergeSha"), F.col("derived_sha").alias(derived), F.col("trunk_dep").alias("trunkSegmentId"), F.col("branch_dep").alias("branchSegmentId"), stamp.alias("timestamp"))
+    done = ordered(merges, ["repo"], "ord", merge, "completedMerges")
+    check = F.struct(F.col("at_step").alias("atStep"), F.col("at_sha").alias("atSha"), "model", F.col("cost").cast("double").alias("costUsd"), F.col("n_findings").alias("findingsCount"), "skipped", stamp.alias("timestamp"))
+    checks = ordered(reconciliations, ["repo"], "ord", check, "reconciliations")
+    out = repos
+    for more in (listed, told, shas, done, checks):
+        out = out.join(more, "repo", "left")
+    arrays = {c: none(out, c) for c in ("segments", "completedMerges", "reconciliations")}
+    maps = {c: F.coalesce(F.col(c), F.create_map().cast(out.schema[c].dataType)) for c in ("segmentProgress", "shaMap")}
+    names = ["version", "repoPath", "targetRef", "rootCommit", "config", "segments", "segmentProgress", "shaMap", "completedMerges", head, "totalCostUsd", "totalSteps", "reconciliations"]
+    names += ["lastReconciliationStep", "lastReconciliationSha", "cumulativeDiffTokensSinceLastReconciliation"]
+    return out.withColumns(arrays | maps).withColumnRenamed("branchHead", head).select("repo", *names)
+
+
+def write_state(documents: DataFrame, path: str) -> None:
+    """Each document of ``state_documents`` as JSON in a file of its own, in the folder ``repo=<repo>`` below ``path``."""
+    held = documents.select("repo", F.to_json(F.struct(*[c for c in documents.columns if c != "repo"]), {"ignoreNullFields": "false"}).alias("value"))
+    held.repartition("repo").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("repo").text(path)
 
 
 def write_outputs(df: DataFrame, path: str, buckets: int = 64, kind: str = "parquet") -> None:
@@ -122,16 +177,16 @@ def spec_file_map(modules: DataFrame) -> DataFrame:
     return modules.withColumn("output_path", F.concat(F.lit("spec/"), "module_path"))
 
 
-def read_spec_versions(files: DataFrame, ext: str = ".md") -> DataFrame:
-    """spec, changelog and error of each version: one file, or the master if no module stands beside it."""
+def read_spec_versions(files: DataFrame, ext: str = ".md", changelog: str = "changelog.md") -> DataFrame:
+    """spec, changelog and error of each version: one file, or the master if no module stands beside it.
+
+    White space around the spec goes, the changelog stays as it is. Modules are files with ``ext`` in the spec folder itself.
+    """
     def at(path):
         return F.max(F.when(F.col("path") == path, F.col("content")))
 
-    grouped = files.groupBy("repo_id", "sha").agg(
-        at(f"spec{ext}").alias("single"),
-        at(f"spec/_master{ext}").alias("master"),
-        at("changelog.md").alias("changelog"),
-        F.count(F.when(F.col("path").startswith("spec/") & (F.col("path") != f"spec/_master{ext}"), 1)).alias("others"),
-    )
+    module = F.col("path").rlike(rf"\Aspec/[^/]+{re.escape(ext)}\z") & (F.col("path") != f"spec/_master{ext}")
+    grouped = files.groupBy("repo_id", "sha").agg(at(f"spec{ext}").alias("single"), at(f"spec/_master{ext}").alias("master"), at(changelog).alias("changelog"), F.count_if(module).alias("others"))
     error = F.when(F.col("single").isNotNull(), None).when(F.col("master").isNull(), "missing").when(F.col("others") > 0, "modules")
-    return grouped.select("repo_id", "sha", F.when(error.isNull(), F.trim(F.coalesce("single", "master"))).alias("spec"), F.coalesce(F.trim("changelog"), F.lit("")).alias("changelog"), error.alias("error"))
+    bare = F.regexp_replace(F.coalesce("single", "master"), r"(?U)\A[\s\x{FEFF}]+|[\s\x{FEFF}]+\z", "")
+    return grouped.select("repo_id", "sha", F.when(error.isNull(), bare).alias("spec"), F.coalesce("changelog", F.lit("")).alias("changelog"), error.alias("error"))
