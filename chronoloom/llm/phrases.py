@@ -4,10 +4,10 @@ An occurrence relation R_k holds, sorted by place, where each frequent phrase of
 a block of one language, and a piece's end skips one, so that neighbouring positions lie in one piece. A row of the relation is
 a block: its places, a number for the phrase at each place, and the phrases of these numbers. R_k is made from R_(k-1) by a
 merge join with itself: phrases at neighbouring places, which share all but their outer words, make one of k words. Its groups are
-counted by Spark, over rows (block, group, count) that the blocks have summed before, so that a group has at most a row
-for each block; the semi-join with the frequent groups comes before the next length and uses the same exchange.
+counted over (block, group, count) that the blocks have summed before, so that a group has at most one count for each block; the
+semi-join with the frequent groups comes before the next length and uses the same exchange.
 
-Groups are counted by 64-bit hashes, which can only count too much: they drop no frequent phrase. What is left is counted again
+Groups are counted by hashes of 44 bits, which can only count too much: they drop no frequent phrase. What is left is counted again
 by its words, so all figures are exact. Texts move once, as R_1; longer relations hold frequent phrases only.
 """
 
@@ -21,10 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, released, signed, small_batches, written
+from .common import hash_words, mix, released, small_batches, written
 
 #: Words of a block, about: bounds a task's memory, not the result.
 BLOCK = 1 << 19
+#: Words for each range of hashes: bounds what a task counts at once.
+RANGE = 1 << 20
 _LOWER = bytes(range(256)).lower()
 _BREAK, _GAP = 10, 32
 _TABLE = bytes(_BREAK if b in b".,;:!?\n\v\f\r" else _GAP if b == 9 else _LOWER[b] for b in range(256))
@@ -108,8 +110,25 @@ def _group(hashes: np.ndarray, left: np.ndarray, right: np.ndarray, k: int) -> n
     return hashes[left] if k == 1 else mix(hashes[left] * np.uint64(0x9E3779B97F4A7C15) + (hashes[right] ^ np.uint64(k)))
 
 
-def _frequent(relation: DataFrame, k: int, least: int) -> DataFrame:
-    """(block, groups): the groups of each block that are frequent in all, by hash; one exchange serves count and semi-join."""
+def _deltas(numbers: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.diff(numbers, prepend=numbers[:1]).tobytes()) if len(numbers) else b""
+
+
+def _numbers(packed: bytes, first: int, kind: str = "<u8") -> np.ndarray:
+    steps = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind).copy()
+    steps[0] = first
+    return np.cumsum(steps, dtype=steps.dtype)
+
+
+def _frequent(relation: DataFrame, k: int, least: int, words: int) -> DataFrame:
+    """(block, groups): the groups of each block that are frequent in all, by hash.
+
+    Blocks send their sorted groups and counts in packed pieces, by ranges of the hash; a range is about ``RANGE`` different groups, of which
+    each block sends one count, so a frequent group is no larger there than another. A task sums the pieces of a range and
+    tells each block which of its groups are frequent.
+    """
+    bits = max(1, (words // RANGE).bit_length())
+    shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -117,27 +136,53 @@ def _frequent(relation: DataFrame, k: int, least: int) -> DataFrame:
                 at, phrase, phrases = _unpacked(*packed)
                 _, left, right = _joined(at, phrase, k)
                 groups, n = np.unique(_group(_hashed(phrases, lang), left, right, k), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(groups), block)), pa.array(signed(groups)), pa.array(n.astype(np.int64))], ["block", "g", "n"])
+                groups &= ~np.uint64((1 << 20) - 1)  # 44 bits are plenty to part groups, and pack better
+                cuts = np.flatnonzero(np.diff(groups >> shift)) + 1
+                pieces = [(g, c) for g, c in zip(np.split(groups, cuts), np.split(n, cuts)) if len(g)]
+                press = zstandard.ZstdCompressor(level=1).compress
+                columns = [[int(g[0] >> shift) for g, _ in pieces], [block] * len(pieces), [int(g[:1].view(np.int64)[0]) for g, _ in pieces], [_deltas(g >> np.uint64(20)) for g, _ in pieces], [press(c.astype("<u4").tobytes()) for _, c in pieces]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["range", "block", "least", "groups", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            parts = [_numbers(groups, (first % (1 << 64)) >> 20) for _, first, groups, _ in held]
+            counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(c), "<u4") for *_, c in held]
+            flat, n = np.concatenate(parts), np.concatenate(counts).astype(np.int64)
+            order = np.argsort(flat, kind="stable")
+            groups, first = np.unique(flat[order], return_index=True)
+            often = groups[np.add.reduceat(n[order], first) >= least]
+            told = [(block, part[np.isin(part, often)]) for (block, *_), part in zip(held, parts)]
+            told = [(block, part) for block, part in told if len(part)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in told], pa.int64()), pa.array([part.tobytes() for _, part in told], pa.binary())], ["block", "groups"])
+
+        for batch in small_batches(batches):
+            for where, *row in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+                if where != now:
+                    if held:
+                        yield close()
+                    now, held = where, []
+                held.append(row)
+        if held:
+            yield close()
 
-    # the filter drops nothing; with it, and the same columns in both uses, one exchange serves both
-    counts = relation.mapInArrow(run, "block long, g long, n long").where("block IS NOT NULL AND g IS NOT NULL AND n IS NOT NULL").repartition("g")
-    often = counts.groupBy("g").agg(F.sum("n").alias("f"), F.max("block").alias("b")).where(f"f >= {least} AND b IS NOT NULL").select("g")
-    kept = counts.join(often.hint("shuffle_hash"), "g")  # groups are unique there; a semi-join would not share the exchange
-    return kept.groupBy("block").agg(F.collect_list("g").alias("groups"), F.max("n").alias("most")).where("most IS NOT NULL").select("block", "groups")
+    pieces = relation.mapInArrow(run, "range long, block long, least long, groups binary, counts binary").repartition("range").sortWithinPartitions("range")
+    return pieces.mapInArrow(count, "block long, groups binary").groupBy("block").agg(F.collect_list("groups").alias("groups"))
 
 
-def _extended(relation: DataFrame, k: int, least: int) -> DataFrame:
+def _extended(relation: DataFrame, k: int, least: int, words: int) -> DataFrame:
     """R_k of frequent groups from R_(k-1)."""
-    frequent = _frequent(relation, k, least)
+    frequent = _frequent(relation, k, least, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             for r in range(batch.num_rows):
-                block, lang, *packed, groups = (batch.column(c)[r].as_py() if c < 6 else batch.column(c)[r].values.to_numpy() for c in (0, 1, 3, 4, 5, 6))
+                block, lang, *packed, groups = (batch.column(c)[r].as_py() for c in (0, 1, 3, 4, 5, 6))
                 at, phrase, phrases = _unpacked(*packed)
                 at, left, right = _joined(at, phrase, k)
-                group = _group(_hashed(phrases, lang), left, right, k)
-                order = np.sort(groups.view(np.uint64))
+                group = _group(_hashed(phrases, lang), left, right, k) >> np.uint64(20)
+                order = np.sort(np.frombuffer(b"".join(groups), "<u8"))
                 stays = order[np.minimum(np.searchsorted(order, group), len(order) - 1)] == group
                 at, pair = at[stays], left[stays].astype(np.int64) << 32 | right[stays]
                 pairs, number = np.unique(pair, return_inverse=True)
@@ -165,9 +210,10 @@ def phrase_counts(docs: DataFrame, longest: int = 4, least: int = 30) -> tuple[D
     """(counts, totals): (lang, k, phrase, f) of the phrases of up to ``longest`` words with f >= ``least``, and (lang, n) of all words."""
     relation = written(occurrences(docs))
     totals = written(relation.groupBy("lang").agg(F.sum("n").alias("n")))
+    words = totals.agg(F.sum("n")).first()[0] or 0
     counts = []
     for k in range(1, longest + 1):
-        longer = written(_extended(relation, k, least))
+        longer = written(_extended(relation, k, least, words))
         released(relation)
         relation = longer
         counts.append(written(_counted(relation, least).withColumn("k", F.lit(k))))

@@ -51,6 +51,7 @@ def sample():
 @pytest.mark.parametrize("top,least", [(2000, 30), (7, 3)])
 def test_collocations(spark, monkeypatch, block, top, least):
     monkeypatch.setattr(ph, "BLOCK", block)
+    monkeypatch.setattr(ph, "RANGE", 1 << 21 if block > 50 else 100)
     rows = sample()
     df = spark.createDataFrame([(k % 7, t, lang, "x", 1, "y") for k, (lang, t) in enumerate(rows)], SCHEMA).repartition(5)
     found = ph.collocations(df, top, least=least).collect()
@@ -65,7 +66,7 @@ def test_empty(spark):
 
 def test_counts_survive_collisions(spark, monkeypatch):
     """Groups are only found by hashes; with hashes of two bits all groups are thought frequent, and the counts stay exact."""
-    monkeypatch.setattr(ph, "_group", lambda hashes, left, right, k: hashes[left] & np.uint64(3))
+    monkeypatch.setattr(ph, "_group", lambda hashes, left, right, k: (hashes[left] & np.uint64(3)) << np.uint64(61))
     rows = sample()[:60]
     df = spark.createDataFrame([(0, t, lang, "x", 1, "y") for lang, t in rows], SCHEMA)
     got = {(r.lang, r["rank"]): (r.phrase, r.a, r.l, r.r, r.n, r.score) for r in ph.collocations(df, 50, least=10).collect()}
