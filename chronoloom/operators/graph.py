@@ -1,17 +1,20 @@
 """Commit graph: edges, trunk, segments, dependencies, closures and orders.
 
-Walks along a chain use pointer doubling, so a history of n commits takes log2(n) equi-joins on
-(repo_id, sha), never a row at a time, and one large repository spreads over all tasks.
+Walks along a chain of a large repository use pointer doubling: n commits take log2(n) equi-joins on (repo_id, sha), and the
+repository spreads over all tasks. Small repositories, however many, are walked inside tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialized, released
 from .longest import longest_paths
@@ -44,11 +47,61 @@ def first_root(commits: DataFrame) -> DataFrame:
     return commits.where(F.size("parents") == 0).groupBy(R).agg(F.min_by("sha", "log_pos").alias("sha"))
 
 
-def chase(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+#: Pointers of a repository that are followed inside a task; more go by doubling over all tasks.
+TASK_POINTERS = 200_000
+
+
+def chase(starts: DataFrame, pointers: DataFrame, task_pointers: int | None = None) -> DataFrame:
     """All (repo_id, start, node, hop) that following ``pointers`` (repo_id, node, next) from ``starts`` reaches.
 
-    A round writes only what it finds. Raises ValueError if the pointers have a cycle: no chain is longer than there are pointers.
+    Repositories of at most ``task_pointers`` are followed side by side, each in a task that sorted rows stream through; larger ones by
+    doubling, each over all tasks, to the same rows. Raises ValueError if the pointers have a cycle: no chain is longer than there
+    are pointers.
     """
+    most = TASK_POINTERS if task_pointers is None else task_pointers
+    large = materialized(pointers.groupBy(R).count().where(F.col("count") > most).select(R))
+    some, none = not large.isEmpty(), {"how": "left_anti", "on": R}
+    try:
+        near = materialized(_followed(starts.join(large, **none) if some else starts, pointers.join(large, **none) if some else pointers))
+    except PythonException as e:
+        if "has a cycle" in str(e):
+            raise ValueError("the history has a cycle") from e
+        raise
+    return near.unionByName(_doubled(starts.join(large, R, "left_semi"), pointers.join(large, R, "left_semi"))) if some else near
+
+
+def _followed(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``chase`` inside tasks: a repository's pointers are held by one task at a time."""
+    kind = pointers.schema["node"].dataType
+    none = F.lit(None).cast(kind)
+    rows = pointers.select(R, F.lit(0).alias("kind"), "node", "next").unionByName(starts.select(R, F.lit(1).alias("kind"), F.col("node").cast(kind), none.alias("next")).distinct())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ahead = None, {}
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for repo, what, node, after in zip(*[c.to_pylist() for c in batch.columns]):
+                if repo != now:
+                    now, ahead = repo, {}
+                if what == 0:
+                    ahead[node] = after
+                    continue
+                at, hop = node, 0
+                while at is not None:
+                    if hop > len(ahead):
+                        raise ValueError("the history has a cycle")
+                    for column, value in zip(out, (repo, node, at, hop)):
+                        column.append(value)
+                    at, hop = ahead.get(at), hop + 1
+            types = (batch.schema.field(0).type, batch.schema.field(2).type, batch.schema.field(2).type, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], [R, "start", "node", "hop"])
+
+    schema = T.StructType([pointers.schema[R], *[T.StructField(c, kind) for c in ("start", "node")], T.StructField("hop", T.LongType())])
+    return rows.repartition(R).sortWithinPartitions(R, "kind").mapInArrow(run, schema)
+
+
+def _doubled(starts: DataFrame, pointers: DataFrame) -> DataFrame:
+    """``chase`` by pointer doubling; a round is one job and writes only what it finds."""
     first = starts.select(R, F.col("node").alias("start"), "node", F.lit(0).cast("long").alias("hop")).distinct()
     parts = [materialized(first)]
     jump, step, longest = pointers.select(R, "node", "next"), 1, None

@@ -9,10 +9,12 @@ dependencies are near each other leaves few edges between blocks. Where a graph
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.tables import materialized, released
 
@@ -46,50 +48,67 @@ def _spread(order: list[str], leaving: dict, weight: dict[str, int], dist: dict[
     return dist
 
 
-def _parsed(nodes: pd.DataFrame, edges: pd.DataFrame) -> tuple:
-    inner = edges[edges["inner"]]
-    order, leaving = _topological(nodes["node"].tolist(), list(zip(inner["src"], inner["dst"], inner["gain"])))
-    weight = dict(zip(nodes["node"], nodes["w"]))
-    return order, leaving, weight, _spread(order, leaving, weight, {n: w + b for n, w, b in zip(nodes["node"], nodes["w"], nodes["base"])})
+def _block(nodes: list[tuple], links: list[tuple]) -> tuple:
+    """Order, edges, weights and distances inside a block; nodes are (node, w, base, out), links (src, dst, gain, inner)."""
+    order, leaving = _topological([n for n, *_ in nodes], [(s, t, g) for s, t, g, inner in links if inner])
+    weight = {n: w for n, w, _, _ in nodes}
+    return order, leaving, weight, _spread(order, leaving, weight, {n: w + base for n, w, base, _ in nodes})
 
 
-def _closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repo_id, node, dist) of every block by itself."""
+def _by_block(nodes: DataFrame, edges: DataFrame, made, columns: str) -> DataFrame:
+    """``made`` (of repo, block, nodes, links) for every block; sorted rows stream through the tasks, which hold one block at a time."""
+    none = lambda kind: F.lit(None).cast(kind)
+    left = nodes.select(R, "b", F.lit(0).alias("kind"), F.col("node").alias("one"), none("string").alias("two"), F.col("w").alias("x"), F.col("base").alias("y"), F.col("out").alias("flag"))
+    right = edges.select(R, "b", F.lit(1).alias("kind"), F.col("src").alias("one"), F.col("dst").alias("two"), F.col("gain").alias("x"), none("long").alias("y"), F.col("inner").alias("flag"))
+    schema = T.StructType([nodes.schema[R], *T.StructType.fromDDL(columns).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, types = None, ([], []), None
 
-    def close(key, some: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        dist = _parsed(some, links)[3]
-        return pd.DataFrame({R: key[0], "node": list(dist), "dist": list(dist.values())}, columns=[R, "node", "dist"])
+        def close() -> pa.RecordBatch:
+            columns = list(zip(*made(*now, *held))) or [()] * len(types)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], schema.names)
 
-    return materialized(_cogrouped(nodes, edges.where("inner"), close, "node string, dist long"))
+        for batch in batches:
+            types = types or [batch.schema.field(0).type, *[pa.int64() if f.dataType == T.LongType() else pa.string() for f in schema.fields[1:]]]
+            for repo, b, kind, one, two, x, y, flag in zip(*[c.to_pylist() for c in batch.columns]):
+                if now != (repo, b):
+                    if now is not None:
+                        yield close()
+                    now, held = (repo, b), ([], [])
+                held[kind].append((one, x, y, flag) if kind == 0 else (one, two, x, flag))
+        if now is not None:
+            yield close()
 
+    return materialized(left.unionByName(right).repartition(R, "b").sortWithinPartitions(R, "b", "kind").mapInArrow(run, schema))
 
-def _cogrouped(nodes: DataFrame, edges: DataFrame, f, columns: str) -> DataFrame:
-    schema = f"{R} {nodes.schema[R].dataType.simpleString()}, {columns}"
-    left = nodes.select(R, "b", "node", "w", "base", "out")
-    return left.groupBy(R, "b").cogroup(edges.select(R, "b", "src", "dst", "gain", "inner").groupBy(R, "b")).applyInPandas(f, schema)
+
+def _closed(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(repo_id, node, dist) of every block by itself."""
+    return _by_block(nodes, edges.where("inner"), lambda repo, b, some, links: [(repo, n, d) for n, d in _block(some, links)[3].items()], "node string, dist long")
 
 
 def _contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Rows with dst null: (node, b, base), the longest path inside its block to a node that an edge leaves to another; others: (src, dst, gain)."""
+    """Rows with dst null: (src, b, gain), the longest path inside its block to a node that an edge leaves to another; others: (src, dst, gain)."""
 
-    def contract(key, some: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        order, leaving, weight, dist = _parsed(some, links)
-        ports = some.loc[some["out"], "node"].tolist()
-        rows = [(key[0], key[1], p, None, dist[p]) for p in ports]
+    def contract(repo, b: int, some: list[tuple], links: list[tuple]) -> list[tuple]:
+        order, leaving, weight, dist = _block(some, links)
+        ports = [n for n, _, _, out in some if out]
+        rows = [(repo, b, p, None, dist[p]) for p in ports]
         best: dict[tuple[str, str], int] = {}
         coming = defaultdict(list)
-        for source, target, gain in links.loc[~links["inner"], ["src", "dst", "gain"]].itertuples(index=False):
-            coming[target].append((source, gain))
+        for source, target, gain, inner in links:
+            if not inner:
+                coming[target].append((source, gain))
         for target, sources in coming.items():
             found = _spread(order, leaving, weight, {target: weight[target]})
             for p in ports:
                 if p in found:
                     for source, gain in sources:
                         best[source, p] = max(best.get((source, p), -1), gain + found[p])
-        rows += [(key[0], key[1], s, t, g) for (s, t), g in best.items()]
-        return pd.DataFrame(rows, columns=[R, "b", "src", "dst", "gain"])
+        return rows + [(repo, b, s, t, g) for (s, t), g in best.items()]
 
-    return materialized(_cogrouped(nodes, edges, contract, "b long, src string, dst string, gain long"))
+    return _by_block(nodes, edges, contract, "b long, src string, dst string, gain long")
 
 
 def _relaxed(nodes: DataFrame, edges: DataFrame) -> DataFrame:

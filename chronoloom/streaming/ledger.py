@@ -56,6 +56,64 @@ def ledger_views(spark: SparkSession, views: str) -> tuple[DataFrame, DataFrame,
     return totals, lineage, progress.select("repo_id", "segment_id", "steps", "last.spec", "last.changelog", F.lit("in-progress").alias("status"))
 
 
+EVENTS = "kind string, repo_id long, segment_id string, epoch long, no long, steps long, micros long, status string, spec string, changelog string, original_sha string, derived_sha string"
+
+
+def segment_events(stream: DataFrame) -> DataFrame:
+    """Rows of ``EVENTS`` from events (repo_id, segment_id, no, kind, status, original_sha, derived_sha, cost, spec, changelog).
+
+    ``no`` numbers the events of a segment; kind is step, status or reset. A first step makes a pending segment in-progress, an
+    explicit status stands until another or a reset, and a reset takes back all steps and their costs. The state of a segment
+    is its figures and an epoch, the number of its resets, so steps taken back need no list: what a step leaves (``step``) holds
+    its epoch, and counts while that is the segment's own. Each batch leaves one ``state`` row for a segment it touches.
+    """
+
+    def fold(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, epoch, steps, micros, status, spec, changelog = state.get if state.exists else (-1, 0, 0, 0, "pending", None, None)
+        rows = pd.concat(list(frames)).sort_values("no", kind="stable").drop_duplicates("no")
+        out = []
+        for r in rows[rows["no"] > last].itertuples(index=False):
+            last = int(r.no)
+            if r.kind == "reset":
+                epoch, steps, micros, status, spec, changelog = epoch + 1, 0, 0, "pending", None, None
+            elif r.kind == "status":
+                status = r.status
+            else:
+                steps, micros, status = steps + 1, micros + round((r.cost or 0) * 1_000_000), "in-progress" if status == "pending" else status
+                spec, changelog = r.spec, r.changelog
+                out.append(("step", *key, epoch, last, None, None, None, None, None, r.original_sha, r.derived_sha))
+        state.update((last, epoch, steps, micros, status, spec, changelog))
+        out.append(("state", *key, epoch, last, steps, micros, status, spec, changelog, None, None))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+        yield frame.astype({"steps": "Int64", "micros": "Int64"})
+
+    state = "last long, epoch long, steps long, micros long, status string, spec string, changelog string"
+    return stream.groupBy("repo_id", "segment_id").applyInPandasWithState(fold, EVENTS, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_segments(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """``segment_events`` of a stream below ``path``, a folder a batch, so that a batch done again replaces itself; for ``segment_views``."""
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return segment_events(stream).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def segment_views(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(totals, sha map, progress) as of the last batch: what the batch operators give for the events left after resets.
+
+    The step of the greatest ``no`` wins a commit, of equal ones in two segments the greater sha.
+    """
+    rows = spark.read.schema(EVENTS).parquet(path)
+    latest = rows.where("kind = 'state'").groupBy("repo_id", "segment_id").agg(F.max(F.struct("no", "epoch", "steps", "micros", "status", "spec", "changelog")).alias("s")).select("repo_id", "segment_id", "s.*")
+    totals = latest.groupBy("repo_id").agg(F.sum("steps").alias("total_steps"), (F.sum("micros").cast("decimal(28,0)") / 1_000_000).cast("decimal(28,6)").alias("total_cost"))
+    steps = rows.where("kind = 'step'").select("repo_id", "segment_id", "epoch", "no", "original_sha", "derived_sha")
+    held = steps.join(latest.select("repo_id", "segment_id", "epoch"), ["repo_id", "segment_id", "epoch"], "left_semi")
+    mapping = held.groupBy("repo_id", "original_sha").agg(F.max(F.struct("no", "derived_sha"))["derived_sha"].alias("derived_sha"))
+    return totals, mapping, latest.select("repo_id", "segment_id", "status", "steps", "spec", "changelog")
+
+
 def stream_commit_windows(stream: DataFrame, size: int) -> DataFrame:
     """(repo_id, segment_id, ordinal, sha, window): the last ``size`` shas; the state holds size - 1 of them."""
 

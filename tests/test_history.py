@@ -143,6 +143,8 @@ def test_cycles(spark):
     ring = spark.createDataFrame([(1, k, (k + 1) % 3) for k in range(3)], "repo_id long, node long, next long")
     with pytest.raises(ValueError, match="cycle"):
         graph.chase(ring.where("node = 0").select("repo_id", "node"), ring)
+    with pytest.raises(ValueError, match="cycle"):
+        graph.chase(ring.where("node = 0").select("repo_id", "node"), ring, 0)
 
 
 def test_step_plan_seed(history):

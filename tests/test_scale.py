@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.operators import diffs, graph, longest, ranges, triggers, windows
+from chronoloom.operators import diffs, graph, ledger, longest, ranges, triggers, windows
 from chronoloom.sources import readers
+from chronoloom.streaming import ledger as streams
 
 
 def dag(rng, n, width):
@@ -44,10 +45,28 @@ def test_ancestors_long(spark, monkeypatch):
     rows = spark.range(2_000).select(F.lit(1).cast("long").alias("repo_id"), F.concat(F.lit("t"), "id").alias("sha"), F.when(F.col("id") == 0, F.array().cast("array<string>")).when(F.col("id") % 10 == 0, F.array(F.concat(F.lit("t"), F.col("id") - 1), F.concat(F.lit("b"), "id"))).otherwise(F.array(F.concat(F.lit("t"), F.col("id") - 1))).alias("parents"), (4_000 - 2 * F.col("id")).alias("log_pos"))
     sides = spark.range(1, 200).select(F.lit(1).cast("long").alias("repo_id"), F.concat(F.lit("b"), F.col("id") * 10).alias("sha"), F.array(F.concat(F.lit("t"), F.col("id") * 10 - 5)).alias("parents"), (4_001 - 20 * F.col("id")).alias("log_pos"))
     rounds = []
+    monkeypatch.setattr(graph, "TASK_POINTERS", 100)
     real = graph.materialized
     monkeypatch.setattr(graph, "materialized", lambda df: rounds.append(1) or real(df))
     found = graph.ancestors(rows.unionByName(sides), spark.createDataFrame([(1, "t1999")], "repo_id long, sha string"))
-    assert found.count() == 2_000 + 199 and len(rounds) < 35
+    assert found.count() == 2_000 + 199 and len(rounds) < 45
+
+
+@pytest.mark.parametrize("most", [0, 5, 1000])
+def test_chase(spark, most):
+    """Doubling over all tasks and walks inside tasks give the same rows."""
+    rng = random.Random(most)
+    after = {(repo, k): (k + rng.randrange(1, 4) if k < 35 else None) for repo in (1, 2) for k in range(40)} | {(3, 0): 1}
+    pointers = spark.createDataFrame([(r, k, n) for (r, k), n in after.items() if n is not None], "repo_id long, node long, next long")
+    starts = [(1, 0), (1, 7), (2, 3), (2, 3), (3, 0), (4, 9)]
+    want = set()
+    for repo, start in starts:
+        at, hop = start, 0
+        while at is not None:
+            want.add((repo, start, at, hop))
+            at, hop = after.get((repo, at)), hop + 1
+    found = graph.chase(spark.createDataFrame(starts, "repo_id long, node long"), pointers, most).collect()
+    assert len(found) == len(want) and {(r.repo_id, r.start, r.node, r.hop) for r in found} == want
 
 
 def brute_longest(nodes, edges):
@@ -260,3 +279,39 @@ def test_split_large_file_random(spark):
             want[k, part] = (f"p:{start + 1}-{end}", "\n".join(lines[start:end]) + "\n")
             start, part = end, part + 1
     assert {(r.id, r.part_ord): (r.path, r.content) for r in found} == want
+
+
+def test_stream_segments(spark, tmp_path):
+    """Steps, explicit status and resets, over two runs of a stream, against the batch operators on what is left."""
+    rng = random.Random(7)
+    events = []
+    for segment in range(6):
+        for no in range(30):
+            kind = rng.choice(["step"] * 8 + ["status", "reset"])
+            events.append((1 + segment % 2, f"s{segment}", no, kind, rng.choice(["complete", "failed"]) if kind == "status" else None, f"o{segment}-{no % 9}", f"d{segment}-{no}", 0.25 * (no % 3), f"spec {no}", f"log {no}"))
+    schema = "repo_id long, segment_id string, no long, kind string, status string, original_sha string, derived_sha string, cost double, spec string, changelog string"
+    for part in (0, 1):  # the second run repeats some events
+        spark.createDataFrame([e for e in events if e[2] < 18] if part == 0 else [e for e in events if e[2] >= 15], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        streams.stream_segments(stream, f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination(60)
+    totals, mapping, progress = streams.segment_views(spark, f"{tmp_path}/out")
+    left, told = [], []
+    for segment in {e[1] for e in events}:
+        own = [e for e in events if e[1] == segment]
+        after = max([e[2] for e in own if e[3] == "reset"], default=-1)
+        left += [e for e in own if e[2] > after and e[3] == "step"]
+        told += [e for e in own if e[2] > after and e[3] == "status"]
+    rows = spark.createDataFrame(left, schema).withColumn("seq", F.col("no"))
+    segments = spark.createDataFrame([(1 + k % 2, f"s{k}") for k in range(6)], "repo_id long, segment_id string")
+    status = spark.createDataFrame([(e[0], e[1], e[2], e[4]) for e in told], "repo_id long, segment_id string, seq long, status string")
+    same = lambda x, y: sorted(map(str, x.select(y.columns).collect())) == sorted(map(str, y.collect()))
+    assert same(progress, ledger.segment_progress(segments, rows, status)) and same(mapping, ledger.sha_map(rows.select("repo_id", "original_sha", "derived_sha", "seq")))
+    none = spark.createDataFrame([], "repo_id long, cost double")
+    assert {(r.repo_id, r.total_steps, float(r.total_cost)) for r in totals.where("total_steps > 0").collect()} == {(r.repo_id, r.total_steps, float(r.total_cost)) for r in ledger.ledger_totals(rows, none).collect()}
+
+
+def test_sha_map_by_time(spark):
+    """A commit in two segments takes the sha that was written last, not the one deeper in its segment."""
+    rows = [(1, "trunk-0", 7, "a", "early", "2024-01-01"), (1, "branch-0", 0, "a", "late", "2024-01-02"), (2, "trunk-0", 0, "a", "other", "2024-01-01")]
+    df = spark.createDataFrame(rows, "repo_id long, segment_id string, seq long, original_sha string, derived_sha string, ts string")
+    assert {(r.repo_id, r.derived_sha) for r in ledger.sha_map(df).collect()} == {(1, "late"), (2, "other")}
