@@ -67,27 +67,37 @@ def chunk_diff(files: DataFrame, keys: list[str], max_tokens: int, patterns: lis
     return chunks_of(split_oversized(kept.join(large, keys, "left_semi"), keys, max_tokens), keys)
 
 
+def _line_lengths(content: Column) -> Column:
+    return F.transform(F.split(content, "\n"), lambda x: F.length(x).cast("long"))
+
+
 def _runs(lengths: Column, limit: int) -> Column:
-    """Greedy starts of runs of lines: lines are added while a quarter of the length fits, at least one each; a fold over lengths."""
-    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("k"))
+    """(starts, tokens) of greedy runs of lines: lines are added while a quarter of the length fits, at least one each; a fold over lengths."""
+    long = F.lit(0).cast("long")
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), long.alias("size"), F.lit(0).alias("k"), long.alias("done"))
+
+    def quarter(size: Column) -> Column:
+        return F.ceil(size / 4).cast("long")
 
     def add(state: Column, n: Column) -> Column:
-        full = (state["k"] == 0) | (F.ceil((state["size"] + n + 1) / 4) > limit)
+        full = (state["k"] == 0) | (quarter(state["size"] + n + 1) > limit)
         starts = F.when(full, F.array_append(state["starts"], state["k"])).otherwise(state["starts"])
-        return F.struct(starts.alias("starts"), F.when(full, n + 1).otherwise(state["size"] + n + 1).alias("size"), (state["k"] + 1).alias("k"))
+        size, done = F.when(full, n + 1).otherwise(state["size"] + n + 1), F.when(full, state["done"] + quarter(state["size"])).otherwise(state["done"])
+        return F.struct(starts.alias("starts"), size.alias("size"), (state["k"] + 1).alias("k"), done.alias("done"))
 
-    return F.aggregate(lengths, zero, add, lambda state: state["starts"])
+    return F.aggregate(lengths, zero, add, lambda state: F.struct(state["starts"].alias("starts"), (state["done"] + quarter(state["size"])).alias("tokens")))
 
 
 def split_large_file(files: DataFrame, keys: list[str], max_file_tokens: int) -> DataFrame:
     """(keys, part_ord, path, content, tokens): parts of whole lines, named path:first-last; small files stay as they are.
 
     The greedy packing resets at each part; it is a fold over a file's line lengths where the file stands, so nothing is
-    shuffled. ``keys`` name a file; a null content has no rows.
+    shuffled. ``keys`` name a file; a null content has no rows. No limit (0) splits nothing.
     """
+    max_file_tokens = max_file_tokens or (1 << 62)
     rows = files.select(*keys, "path", "content", estimate_tokens("content").alias("tokens"))
     lines = F.split("content", "\n")
-    big = rows.where(F.col("tokens") > max_file_tokens).withColumn("starts", _runs(F.transform(lines, lambda x: F.length(x).cast("long")), max_file_tokens))
+    big = rows.where(F.col("tokens") > max_file_tokens).withColumn("starts", _runs(_line_lengths(F.col("content")), max_file_tokens)["starts"])
     ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.size(lines)))
     runs = big.select(*keys, "path", "content", F.posexplode(F.arrays_zip(F.col("starts").alias("a"), ends.alias("b"))).alias("part_ord", "r"))
     text = F.concat(F.array_join(F.slice(lines, F.col("r.a") + 1, F.col("r.b") - F.col("r.a")), "\n"), F.lit("\n"))
@@ -95,30 +105,38 @@ def split_large_file(files: DataFrame, keys: list[str], max_file_tokens: int) ->
     return rows.where(F.col("tokens") <= max_file_tokens).select(*keys, F.lit(0).alias("part_ord"), "path", "content", "tokens").unionByName(parts)
 
 
-def budget_fits(tokens: list[int], budget: int, total: int = 0) -> tuple[list[bool], int]:
-    """The fold itself: what fits is added, what doesn't is passed over."""
+def budget_fits(tokens: list[int], budget: int, total: int = 0, adds: list[int] | None = None) -> tuple[list[bool], int]:
+    """The fold itself: what fits is added (as ``adds``, where that differs), what doesn't is passed over."""
     out = []
-    for t in tokens:
+    for t, more in zip(tokens, adds or tokens):
         out.append(total + t <= budget)
-        total += t if out[-1] else 0
+        total += more if out[-1] else 0
     return out, total
 
 
-def admit_within_budget(files: DataFrame, keys: list[str], budget: int) -> DataFrame:
+def admit_within_budget(files: DataFrame, keys: list[str], budget: int, adds: str = "tokens") -> DataFrame:
     """Adds admitted: in listing order, a file enters unless it would exceed the budget; later, smaller ones still may.
 
-    The running total depends on what was skipped, so the files of a tree are folded in order. No budget (0) admits all.
+    ``adds``: the column of what an admitted file adds to the total. The running total depends on what was skipped, so the files of
+    a tree are folded in order. No budget (0) admits all.
     """
     if not budget:
         return files.withColumn("admitted", F.lit(True))
-    return folded(files, keys, ["file_ord"], "tokens", "admitted", lambda tokens, total: budget_fits(tokens, budget, total))
+
+    def fold(pairs: list, total: int) -> tuple[list[bool], int]:
+        return budget_fits([p["t"] or 0 for p in pairs], budget, total, [p["a"] or 0 for p in pairs])
+
+    paired = files.withColumn("_pair", F.struct(F.col("tokens").alias("t"), F.col(adds).alias("a")))
+    return folded(paired, keys, ["file_ord"], "_pair", "admitted", fold).drop("_pair")
 
 
 def read_tree_chunks(files: DataFrame, keys: list[str], patterns: list[str], budget: int, max_file_tokens: int, max_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(files with chunk_key, skipped paths) of source trees."""
+    """(files with chunk_key, skipped paths) of source trees; a file that is split counts towards the budget as its parts do."""
     readable = files.where(~is_binary_path("path") & not_ignored("path", patterns))
     sized = readable.where("content IS NOT NULL").withColumn("tokens", estimate_tokens("content"))
-    admitted = materialized(admit_within_budget(sized.select(*keys, "file_ord", "path", "tokens"), keys, budget))
+    parted = F.when(F.col("tokens") > max_file_tokens, _runs(_line_lengths(F.col("content")), max_file_tokens)["tokens"]) if max_file_tokens else F.lit(None)
+    sized = sized.withColumn("adds", F.coalesce(parted, "tokens"))
+    admitted = materialized(admit_within_budget(sized.select(*keys, "file_ord", "path", "tokens", "adds"), keys, budget, "adds"))
     parts = split_large_file(files.join(admitted.where("admitted").select(*keys, "file_ord"), [*keys, "file_ord"], "left_semi"), [*keys, "file_ord"], max_file_tokens)
     skipped = admitted.where("NOT admitted").select(*keys, "path").unionByName(readable.where("content IS NULL").select(*keys, "path"))
     chunked = split_oversized(parts.select(*keys, "file_ord", "part_ord", "path", "tokens"), keys, max_tokens)

@@ -98,10 +98,7 @@ parts AS (SELECT *, CAST(ceil(length('diff --git a/' || path || ' b/' || path ||
 told AS (SELECT *, CASE WHEN sum(tokens) OVER w > 2000 AND count(*) OVER w > 1 THEN path ELSE lang END AS chunk_key FROM parts WINDOW w AS (PARTITION BY change_id, lang)),
 sized AS (SELECT *, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens FROM d WHERE text IS NOT NULL),
 tree AS (SELECT *, CASE WHEN sum(tokens) OVER w > 2000 AND count(*) OVER w > 1 THEN path ELSE lang END AS chunk_key FROM sized WINDOW w AS (PARTITION BY change_id, lang))"""
-_ADMITTED = """adm AS (SELECT repo_id, file_ord, tokens <= 20000 AS yes, CASE WHEN tokens <= 20000 THEN tokens ELSE 0 END AS total FROM src WHERE file_ord = 1
-  UNION ALL SELECT s.repo_id, s.file_ord, adm.total + s.tokens <= 20000, CASE WHEN adm.total + s.tokens <= 20000 THEN adm.total + s.tokens ELSE adm.total END FROM adm JOIN src s ON s.repo_id = adm.repo_id AND s.file_ord = adm.file_ord + 1),
-admitted AS (SELECT src.* FROM src JOIN adm USING (repo_id, file_ord) WHERE adm.yes),"""
-_PARTS = f"""{_SOURCES.replace('WITH', 'WITH RECURSIVE', 1)}, /*more*/
+_PARTS = f"""{_SOURCES.replace('WITH', 'WITH RECURSIVE', 1)},
 lines AS MATERIALIZED (SELECT repo_id, file_ord, path, CAST(i AS BIGINT) AS i, string_split(content, chr(10))[i] AS line, length(string_split(content, chr(10))[i]) AS n FROM (SELECT *, unnest(range(1, len(string_split(content, chr(10))) + 1)) AS i FROM RUNS WHERE tokens > 200)),
 pack AS (SELECT repo_id, file_ord, i, CAST(0 AS BIGINT) AS part_ord, n + 1 AS size FROM lines WHERE i = 1
   UNION ALL SELECT l.repo_id, l.file_ord, l.i, CASE WHEN ceil((p.size + l.n + 1) / 4.0) > 200 THEN p.part_ord + 1 ELSE p.part_ord END, CASE WHEN ceil((p.size + l.n + 1) / 4.0) > 200 THEN l.n + 1 ELSE p.size + l.n + 1 END
@@ -224,8 +221,11 @@ f AS (SELECT repo_id, step_no, one AS trunk, CAST(0 AS BIGINT) AS last, false AS
   UNION ALL SELECT change_id, 'tree', chunk_key, tokens FROM tree ANTI JOIN accepted USING (change_id)) GROUP BY ALL""",
     "render_source_chunk": f"{_CHUNKS} SELECT change_id, chunk_key, 'source/' || replace(chunk_key, '/', '--') || '.txt' AS file_name, sha1(string_agg('--- ' || path || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM tree GROUP BY change_id, chunk_key",
     "split_large_file": f"{_PARTS.replace('RUNS', 'src')} SELECT repo_id, file_ord, part_ord, path, sha1(content) AS digest, tokens FROM parts",
-    "read_tree_chunks": f"""{_PARTS.replace('RUNS', 'admitted').replace('/*more*/', _ADMITTED)},
-grouped AS (SELECT *, split_part(path, '/', 1) AS top, sum(tokens) OVER w AS total, min(path) OVER w AS a, max(path) OVER w AS b FROM parts WINDOW w AS (PARTITION BY repo_id, split_part(path, '/', 1)))
+    "read_tree_chunks": f"""{_PARTS.replace('RUNS', 'src')}, sums AS MATERIALIZED (SELECT s.repo_id, s.file_ord, s.tokens, p.adds FROM src s JOIN (SELECT repo_id, file_ord, sum(tokens) AS adds FROM parts GROUP BY ALL) p USING (repo_id, file_ord)),
+adm AS (SELECT repo_id, file_ord, tokens <= 20000 AS yes, CASE WHEN tokens <= 20000 THEN adds ELSE 0 END AS total FROM sums WHERE file_ord = 1
+  UNION ALL SELECT s.repo_id, s.file_ord, adm.total + s.tokens <= 20000, CASE WHEN adm.total + s.tokens <= 20000 THEN adm.total + s.adds ELSE adm.total END FROM adm JOIN sums s ON s.repo_id = adm.repo_id AND s.file_ord = adm.file_ord + 1),
+kept AS (SELECT parts.* FROM parts JOIN adm USING (repo_id, file_ord) WHERE adm.yes),
+grouped AS (SELECT *, split_part(path, '/', 1) AS top, sum(tokens) OVER w AS total, min(path) OVER w AS a, max(path) OVER w AS b FROM kept WINDOW w AS (PARTITION BY repo_id, split_part(path, '/', 1)))
 SELECT repo_id, CASE WHEN total > 2000 AND a <> b THEN path ELSE top END AS chunk_key, count(*) AS n_files, CAST(sum(tokens) AS BIGINT) AS total_tokens FROM grouped GROUP BY ALL""",
     "diffstat": "SELECT doc_id // 10 AS change_id, lang AS path, CAST(sum(1) AS BIGINT) AS added, CAST(sum(length(text) - length(replace(text, chr(10), ''))) AS BIGINT) AS removed FROM documents WHERE text IS NOT NULL GROUP BY ALL",
 }

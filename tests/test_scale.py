@@ -315,3 +315,22 @@ def test_sha_map_by_time(spark):
     rows = [(1, "trunk-0", 7, "a", "early", "2024-01-01"), (1, "branch-0", 0, "a", "late", "2024-01-02"), (2, "trunk-0", 0, "a", "other", "2024-01-01")]
     df = spark.createDataFrame(rows, "repo_id long, segment_id string, seq long, original_sha string, derived_sha string, ts string")
     assert {(r.repo_id, r.derived_sha) for r in ledger.sha_map(df).collect()} == {(1, "late"), (2, "other")}
+
+
+def test_budget_counts_parts(spark):
+    """A split file enters by its own tokens and adds those of its parts."""
+    rng = random.Random(5)
+    files = [(1, k, f"d/f{k}.md", "\n".join("x" * rng.choice([3, 17, 40]) for _ in range(rng.randrange(1, 30)))) for k in range(40)]
+    df = spark.createDataFrame(files, "repo_id long, file_ord int, path string, content string")
+    parts = diffs.split_large_file(df, ["repo_id", "file_ord"], 12)
+    adds = {r.file_ord: r.t for r in parts.groupBy("file_ord").agg(F.sum("tokens").alias("t")).collect()}
+    total, skipped = 0, []
+    for _, k, path, text in files:
+        tokens = -(-len(text) // 4)
+        if total + tokens > 900:
+            skipped.append(path)
+        else:
+            total += adds[k]
+    chunked, left = diffs.read_tree_chunks(df, ["repo_id"], [], 900, 12, 10**6)
+    assert sorted(r.path for r in left.collect()) == sorted(skipped) and skipped
+    assert chunked.agg(F.sum("tokens")).first()[0] == total
