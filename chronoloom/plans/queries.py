@@ -540,7 +540,8 @@ def cost_estimate(spark, sf_dir):
 def setup_stats(spark, sf_dir):
     r = Repos(spark, sf_dir).full()
     done = r.ledger().groupBy("repo_id").agg(F.count("*").alias("done"), F.sum("cost").alias("cost"))
-    rows = pl.setup_stats(r.segments, pl.model_distribution(r.members, r.segments, r.commits), g.critical_path(r.segments, r.deps), done, pl.merge_points(r.members, r.segments, r.commits))
+    models = materialized(pl.model_distribution(r.members, r.segments, r.commits))
+    rows = pl.setup_stats(r.segments, models, g.critical_path(r.segments, r.deps), done, pl.merge_points(r.members, r.segments, r.commits))
     types = F.array_join(F.transform("by_type", lambda x: F.concat_ws(":", x["type"], x["n_segments"].cast("string"), x["n_commits"].cast("string"))), ",")
     models = F.array_join(F.transform("by_model", lambda x: F.concat_ws(":", x["model"], x["steps"].cast("string"))), ",")
     return rows.withColumns({"by_type": types, "by_model": models})
