@@ -107,6 +107,13 @@ b AS (SELECT DISTINCT id, array_to_string(words[i:i + k - 1], ' ') AS s FROM (SE
 n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_shared, count(*) / n.n_item AS containment
 FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id, n.n_item HAVING 100 * count(*) >= 80 * n.n_item""",
+    "op6_jaccard_join": r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT d, array_to_string(words[i:i + k - 1], ' ') AS s FROM (SELECT d, words, least(5, len(words)) AS k, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS i FROM w WHERE len(words) > 0)),
+n AS MATERIALIZED (SELECT d, count(*) AS n FROM s GROUP BY d),
+links AS MATERIALIZED (SELECT a.d AS u, b.d AS v FROM s a JOIN s b ON a.s = b.s AND a.d <> b.d JOIN n x ON x.d = a.d JOIN n y ON y.d = b.d GROUP BY a.d, b.d, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (SELECT d AS u, d AS v FROM w UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, min(o.doc_id) AS component_id FROM w LEFT JOIN n ON n.d = w.d JOIN reach r ON r.u = w.d JOIN w o ON o.d = r.v GROUP BY w.d, w.doc_id, n.n""",
     "op13_collocations": r"""
 WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
 w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
