@@ -107,6 +107,14 @@ b AS (SELECT DISTINCT id, array_to_string(words[i:i + k - 1], ' ') AS s FROM (SE
 n AS (SELECT id, count(*) AS n_item FROM b GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_shared, count(*) / n.n_item AS containment
 FROM d JOIN b USING (s) JOIN n ON n.id = b.id GROUP BY d.id, b.id, n.n_item HAVING 100 * count(*) >= 80 * n.n_item""",
+    "op4_substring_dedup": r"""
+WITH w AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, coalesce(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) AS words FROM documents),
+spans AS MATERIALIZED (SELECT d, i, array_to_string(words[i:i + 34], ' ') AS s FROM (SELECT d, words, unnest(range(1, len(words) - 33)) AS i FROM w)),
+hits AS (SELECT d, i FROM spans SEMI JOIN (SELECT s FROM spans GROUP BY s HAVING count(*) > 1) USING (s)),
+gone AS MATERIALIZED (SELECT DISTINCT d, p FROM (SELECT d, unnest(range(i, i + 35)) AS p FROM hits)),
+kept AS (SELECT d, p, word FROM (SELECT d, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM w) ANTI JOIN gone USING (d, p)),
+texts AS (SELECT d, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t FROM kept GROUP BY d)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN texts USING (d)""",
     "op6_jaccard_join": r"""
 WITH RECURSIVE w AS MATERIALIZED (SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS MATERIALIZED (SELECT DISTINCT d, array_to_string(words[i:i + k - 1], ' ') AS s FROM (SELECT d, words, least(5, len(words)) AS k, unnest(range(1, len(words) - least(5, len(words)) + 2)) AS i FROM w WHERE len(words) > 0)),
