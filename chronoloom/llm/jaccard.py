@@ -13,11 +13,15 @@ pivots, and exact distances to all of them: sets within 0.2 of a pivot are linke
 component; every set falls into the Voronoi cell of its nearest pivot, cells are cut into blocks, and a
 block meets another one only where the triangle inequality about every pivot allows a distance of
 0.2: those windows replicate it. Pairs of blocks are joined as small regions are, but for what is one component already.
+Where boilerplate holds a region together (many sets near each other, linked with no pivot) no pivot parts it; there
+the shingles that most hold are set aside, each set's need is lowered by what they can give, and the filter by shared
+shingles runs again over what is left, recursively.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,10 @@ K, PERCENT = 5, 80
 SURPLUS = 10
 #: Pivots of a large region.
 PIVOTS = 8
+#: Members of a crowded region by which its common shingles are told.
+SAMPLE = 32
+#: Least sizes of the bands of a crowded region: four to a factor of 1.25.
+_BANDS = np.unique(np.ceil(1.25 ** (np.arange(400) / 4)).astype(np.int64))
 _ODD = mix(np.arange(1, K + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -233,13 +241,19 @@ def _joined(members: DataFrame) -> DataFrame:
     return members.select("part", "side", "label", "rep", "text").repartition("part").sortWithinPartitions("part").mapInArrow(run, "u long, v long")
 
 
-def _star(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
-    """(p, rep, n, near, home, d): distances d of each member to the region's pivots, the nearest, and the linked ones."""
+def _dealt(members: DataFrame, texts: DataFrame, first: int, small: int, weight: int) -> DataFrame:
+    """(p, salt, k, rep, text), sorted within tasks: each region's members (k = 0) in shares, ``first`` of them (k < 0) before each share."""
     order = Window.partitionBy("p").orderBy((F.col("rep") != F.col("p")), F.xxhash64("rep"))
-    pivots = members.withColumn("k", F.row_number().over(order)).where(f"k <= {PIVOTS}")
+    leading = members.withColumn("k", F.row_number().over(order)).where(f"k <= {first}")
     tasks = F.ceil(F.greatest(F.col("times") / small, F.col("weight") / weight)).cast("int")
-    dealt = members.select("p", F.pmod(F.xxhash64("rep"), tasks).cast("int").alias("salt"), F.lit(0).alias("k"), "rep")
-    asked = pivots.select("p", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), (F.col("k") - PIVOTS - 1).alias("k"), "rep")
+    shares = members.select("p", F.pmod(F.xxhash64("rep"), tasks).cast("int").alias("salt"), F.lit(0).alias("k"), "rep")
+    asked = leading.select("p", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("salt"), (F.col("k") - first - 1).alias("k"), "rep")
+    rows = shares.unionByName(asked).join(texts, "rep").select("p", "salt", "k", "rep", "text")
+    return rows.repartition("p", "salt").sortWithinPartitions("p", "salt", "k")
+
+
+def _star(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
+    """(p, rep, n, near, label, home, d): distances d of each member to the region's pivots, the nearest, and the linked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pivots = None, []
@@ -260,14 +274,91 @@ def _star(members: DataFrame, texts: DataFrame, small: int, weight: int) -> Data
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], ["p", "rep", "n", "near", "label", "home", "d"])
 
-    rows = dealt.unionByName(asked).join(texts, "rep").select("p", "salt", "k", "rep", "text")
-    rows = rows.repartition("p", "salt").sortWithinPartitions("p", "salt", "k")
-    return written(rows.mapInArrow(run, "p long, rep long, n long, near array<long>, label int, home int, d array<double>"))
+    found = _dealt(members, texts, PIVOTS, small, weight).mapInArrow(run, "p long, rep long, n long, near array<long>, label int, home int, d array<double>")
+    return written(found)
+
 
+def _residual(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
+    """(key, rep, n, share) of crowded regions: the shingles by which their members may still link.
 
-def _voronoi(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
-    """Links (u, v) of large regions, by the distances of all members to several pivots."""
-    star = _star(members, texts, small, weight)
+    C, the shingles that half of ``SAMPLE`` members hold, stands for the region's boilerplate. Of the overlap
+    that sets x and y need, C gives no more than the smaller of |x & C| and |y & C|, so what is left of the need falls on
+    their other shingles, whatever C is: it decides cost, not links. A set meets its smaller or equal partners in bands of size,
+    each with a least need; in one order of the shingles outside C, the rarest of the sample first, two linked sets
+    share one of their first rest - need + 1. Where C alone may meet the need, all of them count, and a key of the band
+    itself joins the sets for which this holds. A key without a set of its own band, or with one set, links nothing.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sample, values, counts = None, [], None, None
+        for batch in small_batches(batches, 1 << 20):
+            keys, reps, sizes, homes = [], [], [], []
+            for p, salt, k, rep, text in zip(*[batch.column(c).to_pylist() for c in range(5)]):
+                if (p, salt) != now:
+                    now, sample, values = (p, salt), [], None
+                s = shingles(text)
+                if k < 0:
+                    sample.append(s)
+                    continue
+                if values is None:
+                    values, counts = np.unique(np.concatenate(sample), return_counts=True)
+                at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+                often = np.where(values[at] == s, counts[at], 0)
+                common = 2 * often >= len(sample)
+                n, held = len(s), int(common.sum())
+                rest = s[~common][np.argsort(often[~common], kind="stable")]
+                least = -(-PERCENT * n // 100)
+                own = int(np.searchsorted(_BANDS, n, "right"))
+                for band in range(int(np.searchsorted(_BANDS, least, "right")), own + 1):
+                    need = -(-PERCENT * (n + max(least, int(_BANDS[band - 1]))) // (100 + PERCENT)) - held
+                    place = mix(mix(np.array([p], np.int64).view(np.uint64)) + np.uint64(band))
+                    taken = mix(rest[: len(rest) - max(need, 1) + 1] + place) if need <= len(rest) else rest[:0]
+                    taken = np.concatenate([taken, place]) if need <= 0 else taken
+                    keys.append(taken)
+                    reps.append(np.full(len(taken), rep, np.int64))
+                    sizes.append(np.full(len(taken), n, np.int64))
+                    homes.append(np.full(len(taken), band == own))
+            if keys:
+                columns = [signed(np.concatenate(keys)), np.concatenate(reps), np.concatenate(sizes), np.concatenate(homes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "rep", "n", "home"])
+
+    rows = written(_dealt(members, texts, SAMPLE, small, weight).mapInArrow(run, "key long, rep long, n long, home boolean"))
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("times"), F.max("home").alias("home")).where("times > 1 AND home").select("key", "times"))
+    kept = written(spread_join(rows, keys, ["key"]).select("key", "rep", "n"))
+    shares = kept.groupBy("rep").agg(F.count("*").cast("int").alias("share"))
+    found = written(kept.join(shares, "rep").select("key", "rep", "n", "share"))
+    released(rows, keys, kept)
+    return found
+
+
+def _large(members: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
+    """Links (u, v) of large regions, by the distances of all members to several pivots.
+
+    A region is crowded where more than 2 * ``small`` members are linked with none of its pivots: such sets are parted by
+    ``_residual`` into regions of their own, again and again while that halves their rows. Other regions, and what
+    it parts no more, meet by blocks.
+    """
+    links, before = [], None
+    while True:
+        star = _star(members, texts, small, weight)
+        links.append(star.select(F.explode("near").alias("u"), F.col("rep").alias("v")))
+        sizes = written(star.groupBy("p").agg(F.count("*").alias("times"), F.sum("n").alias("weight"), F.sum((F.col("label") < 0).cast("long")).alias("open")))
+        star = spread_join(star, sizes, ["p"])
+        crowded = f"open > {2 * small}"
+        rows = sizes.where(crowded).agg(F.sum("times")).first()[0] or 0
+        if not rows or (before is not None and 2 * rows > before):
+            return reduce(DataFrame.unionByName, [*links, _voronoi(star, texts, small, weight)])
+        links.append(_voronoi(star.where(f"NOT {crowded}"), texts, small, weight))
+        parted = _members(_residual(star.where(crowded).select("p", "rep", "n", "times", "weight"), texts, small, weight))
+        inside = f"times <= {small} AND weight <= {weight}"
+        labels = star.where("label >= 0").groupBy("rep").agg(F.min(F.element_at("near", 1)).alias("label"))
+        own = parted.where(inside).join(labels, "rep", "left").withColumn("label", F.coalesce("label", F.lit(-1).cast("long")))
+        links.append(_joined(own.join(texts, "rep").select(F.col("p").alias("part"), F.lit(0).alias("side"), "label", "rep", "text")))
+        members, before = parted.where(f"NOT ({inside})"), rows
+
+
+def _voronoi(star: DataFrame, texts: DataFrame, small: int, weight: int) -> DataFrame:
+    """Links (u, v) between blocks of Voronoi cells that no pivot of the region parts; those with pivots are known."""
     cell = ["p", "label", "home", "band"]
     home = F.when(F.col("label") >= 0, F.col("label")).otherwise(F.col("home"))
     placed = star.select("p", "rep", "n", "label", home.alias("home"), F.floor(10 * F.get("d", home)).cast("int").alias("band"), "d")
@@ -286,8 +377,7 @@ def _voronoi(members: DataFrame, texts: DataFrame, small: int, weight: int) -> D
     pairs = pairs.withColumn("part", F.xxhash64("p", "one", "other"))
     sides = pairs.select("p", "part", F.lit(0).alias("side"), F.col("one").alias("block")).unionByName(pairs.where("one <> other").select("p", "part", F.lit(1).alias("side"), F.col("other").alias("block")))
     parts = placed.select("p", "block", "rep", "label").join(sides, ["p", "block"]).join(texts, "rep")
-    stars = star.select(F.explode("near").alias("u"), F.col("rep").alias("v"))
-    return _joined(parts).unionByName(stars)
+    return _joined(parts)
 
 
 def jaccard_links(docs: DataFrame, small: int = 280, weight: int = 600_000, frequent: int = 16_384) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -311,7 +401,7 @@ def jaccard_links(docs: DataFrame, small: int = 280, weight: int = 600_000, freq
     large = members.where(f"NOT ({inside})")
     if not large.isEmpty():
         some = written(texts.join(large.select("rep").distinct(), "rep"))
-        links = links.unionByName(_voronoi(large, some, small, weight))
+        links = links.unionByName(_large(large, some, small, weight))
     links = written(links.where("u <> v").distinct())
     released(members, texts)
     return sets, reps, links

@@ -338,6 +338,38 @@ def test_jaccard_chains(spark, small, monkeypatch):
     assert found == dict(enumerate(root)) and 5 < len(set(root)) < len(texts)
 
 
+@pytest.mark.parametrize("shared", [170, 176, 184])
+def test_jaccard_boilerplate(spark, shared, monkeypatch):
+    """Pages about the threshold that share most of their words: parted by what they don't share, and few copies of each."""
+    monkeypatch.setattr(jaccard.jaccard_links, "__defaults__", (20, 600_000, 64))
+    rng = random.Random(shared)
+    core = prose(rng, shared, 50_000).split()
+    section = prose(rng, 8, 50_000).split()
+    texts = []
+    for k in range(260):
+        own = prose(rng, rng.choice((200, 200, 200, 190, 215)) - shared, 50_000).split()
+        page = core[: shared // 2] + (section + own[8:] if k % 3 == 0 else own) + core[shared // 2 :]
+        if k % 7 == 0:
+            page[rng.randrange(len(core) // 2)] = "changed"
+        texts.append(" ".join(page))
+        if k % 10 == 0:
+            page[-1] = "other"
+            texts.append(" ".join(page))
+    moved = []
+
+    def joined(members, real=jaccard._joined):
+        moved.append(members)
+        return real(members)
+
+    monkeypatch.setattr(jaccard, "_joined", joined)
+    monkeypatch.setattr(jaccard, "released", lambda *tables: None)
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, texts)).collect()}
+    assert found == dict(enumerate(brute_components(shingle_sets(texts))))
+    if shared == 170:
+        assert len(set(found.values())) > 200
+        assert sum(m.count() for m in moved) < 4 * len(texts)
+
+
 def test_jaccard_row_keys(spark):
     """Links through rows without a doc_id, rows of one doc_id with different texts, repeated rows, one very long text."""
     rng = random.Random(22)
