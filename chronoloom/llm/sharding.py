@@ -26,24 +26,36 @@ def _positions(rows: DataFrame, group: list[str], order: list[Column], total: bo
     return rows.join(offsets.drop("n"), [*group, "b"]).withColumn("pos", F.col("off") + inside).drop("off", "b")
 
 
+def _copies(rows: DataFrame) -> DataFrame:
+    """Numbers equal rows from 0 (copy). They are alike, so they are counted for each task that read them and told apart anew:
+    a group of any size is one row a task until then, and what one task read is all that one task brings back.
+    """
+    keys = rows.columns
+    counts = rows.withColumn("task", F.spark_partition_id()).groupBy(*keys, "task").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))).repartition(*keys, "task")
+    return offsets.select(*keys, F.explode(F.sequence("off", F.col("off") + F.col("n") - 1)).alias("copy"))
+
+
 def stratified_shards(docs: DataFrame, shards: int = 8, seed: int = 42, bucket_rows: int = 256) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard and source for every row of ``docs``.
 
     Row counts of shards differ by one at most; slots of a shard run from 0 without gaps. A null
     source is a stratum of its own; a null text has size 1 and the checksum of the empty text.
-    Repeated rows and ids are rows like others; an empty table gives no rows; other columns are
+    Repeated rows and ids are rows like others, and repeats are spread as others are, with or without a doc_id; an empty table gives no rows; other columns are
     ignored. grown_shard is null under this law. Equal texts are not kept together: a group larger
     than a shard could not be under the law.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = written(
-        docs.select(
-            F.col("doc_id").cast("long"),
-            F.col("source").cast("string"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-        ).withColumn("r", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size"))
+    plain = docs.select(
+        F.col("doc_id").cast("long"),
+        F.col("source").cast("string"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
     )
+    hashed = [F.lit(seed), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    r = F.when(F.col("copy") == 0, F.xxhash64(*hashed)).otherwise(F.xxhash64(*hashed, F.col("copy")))
+    rows = written(_copies(plain).withColumn("r", r).drop("copy"))
     n = rows.count()
     buckets = max(16, min(65_536, n // bucket_rows))
     rows = rows.withColumn("stratum", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-")))

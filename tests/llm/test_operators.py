@@ -472,6 +472,27 @@ def test_token_counts(spark):
         assert (found[i].n_bytes, found[i].n_tokens, found[i].over_limit) == (len((t or "").encode()), n, n > 100)
 
 
+def test_sharding_repeats(spark, monkeypatch):
+    """Nine rows of ten are equal and without a doc_id: no bucket holds much more than another."""
+    most = []
+
+    def positions(rows, *args, real=sharding._positions, **more):
+        most.append(rows.groupBy("stratum", "b").count().agg(F.max("count")).first()[0])
+        return real(rows, *args, **more)
+
+    monkeypatch.setattr(sharding, "_positions", positions)
+    ids, texts = [None] * 3600 + list(range(400)), ["same"] * 3600 + [f"text {i}" for i in range(400)]
+    rows = sharding.stratified_shards(frame(spark, texts, ids=ids), bucket_rows=40).collect()
+    assert max(most) < 100
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in rows) == collections.Counter((i, zlib.crc32(t.encode())) for i, t in zip(ids, texts))
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert len(slots) == 8 and all(sorted(x) == list(range(500)) for x in slots.values())
+    again = sharding.stratified_shards(frame(spark, texts, ids=ids).repartition(7), bucket_rows=40).collect()
+    assert collections.Counter(rows) == collections.Counter(again)
+
+
 def test_sharding(spark, corpus):
     rng = random.Random(9)
     sources = [rng.choice(["a", "a", "a", "b", "c", None]) for _ in corpus]
