@@ -5,6 +5,9 @@ labelled rows. A document is taken as a mixture: EM estimates its language propo
 n-gram likelihoods, and the set of languages is the one of the best penalised likelihood (each
 further language costs ``penalty`` * log(n-grams)). The prediction is the language of the largest
 proportion in that set and the score its proportion. One map over the scan; no shuffle of texts.
+
+Where rows are to be rejected (``accepted``), the mixture has one component more: noise, under which
+every bucket is equally likely. Text that no learned language explains better is noise for the most part.
 """
 
 from __future__ import annotations
@@ -35,14 +38,15 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and (_LETTER.search(text) is not None or any(map(str.isalpha, text)))
 
 
-def fit(labelled: DataFrame, per_language: int = 3000) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, per_language: int = 3000, most: int = 512) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities of each bucket, from about ``per_language`` rows of each.
 
-    The sample is the rows of the smallest hashes of doc_id; its bound is what keeps the driver's
-    share at one vector for a language. Rows without text or lang are left out.
+    The sample is the rows of the smallest hashes of doc_id. The driver holds one vector of 512 KB for a
+    language, so the ``most`` languages of most rows (ties: the first in order) are learned and rows of others
+    left out, as are rows without text or lang. A null doc_id has a hash like any other.
     """
     rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()}
     if not counts:
         return [], np.zeros((0, BUCKETS), np.float32)
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, per_language / n))])[F.col("lang")]
@@ -117,8 +121,13 @@ def mixtures(texts: list[str], log_p: np.ndarray, penalty: float = 2.0, rounds:
     return out
 
 
+def with_noise(langs: list[str], log_p: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The learned languages and, as ``und``, noise: every bucket equally likely."""
+    return [*langs, "und"], np.vstack([log_p, np.full((1, BUCKETS), -np.log(BUCKETS), np.float32)])
+
+
 def judged(texts: list, langs: list[str], log_p: np.ndarray) -> tuple[list[str], list[float], list[int]]:
-    """Prediction, score and number of languages of each text."""
+    """Prediction, score and number of languages of each text; ties between languages go to the first in order."""
     pred, score, n = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
     able = [i for i, t in enumerate(texts) if langs and has_letter(t)]
     if able:
@@ -144,18 +153,24 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``predict`` gives a language; ``und`` rows go. Fits on ``docs`` itself.
+def accepted(docs: DataFrame, least: float = 0.1) -> DataFrame:
+    """The rows of ``docs``, all columns, that are written in the learned languages; the others go. Fits on ``docs`` itself.
 
-    Where no language can be learned, no row is rejected for that: all rows with a letter stay.
+    A row stays if the learned languages hold at least ``least`` of its n-grams by the proportions that EM
+    estimates beside noise (``with_noise``), in whatever mixture; numbers, addresses and code are noise for the
+    most part, which is why ``least`` is small. Texts that are null or have no letter go. Where
+    no language can be learned, no row is rejected for that: all rows with a letter stay. A text in a language
+    that was not learned goes if it shares too little with those that were.
     """
     langs, log_p = fit(docs.where(~held_out(4, 2)))
-    model = docs.sparkSession.sparkContext.broadcast(log_p)
+    model = docs.sparkSession.sparkContext.broadcast(with_noise(langs, log_p)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 1 << 20):
             texts = texts_of(batch)
-            good = [p != "und" for p in judged(texts, langs, model.value)[0]] if langs else [has_letter(t) for t in texts]
+            good = np.array([has_letter(t) for t in texts], bool)
+            if langs and good.any():
+                good[good] = mixtures([texts[i] for i in np.flatnonzero(good)], model.value)[:, -1] <= 1 - least
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

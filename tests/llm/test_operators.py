@@ -593,6 +593,36 @@ def test_accepted_without_languages(spark):
     assert {r.doc_id for r in langid.accepted(docs).collect()} == {0, 4}
 
 
+def test_accepted_by_proportions(spark):
+    """The proportions decide: noise and unlearned languages go, mixtures and texts full of numbers stay."""
+    rng = random.Random(21)
+    vocab = {"en": "the of and to in is that with from this have", "de": "der die und nicht zu den mit sich auf für ist"}
+    langs = [rng.choice(list(vocab)) for _ in range(200)]
+    texts = [" ".join(rng.choice(vocab[k].split()) for _ in range(rng.randrange(5, 60))) for k in langs]
+    alone = next(i for i in range(200, 300) if zlib.crc32(str(i).encode()) % 4 == 2)  # held out, so its language isn't learned
+    cases = {"qq zz 12": False, "xkqj vvwz pqzx": False, "123 ...": False, "the of and der die und nicht " * 3: True, "this is the +1 669 555 7228 25.178.55.242": True, None: False, "": False}
+    found = {"xx": (alone, "жук бежал вдоль реки", "xx")} | {i: (i, t, k) for i, (t, k) in enumerate(zip(texts, langs))} | {t: (1000 + i, t, None) for i, t in enumerate(cases)}
+    long_id = 2000
+    found[long_id] = (long_id, "the of and to " * 100_000, None)
+    docs = spark.createDataFrame([*found.values(), (None, "the of and to in is", "en"), (None, None, None)], "doc_id long, text string, lang string")
+    docs = docs.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("kept"))  # names that predict uses itself
+    kept = langid.accepted(docs)
+    assert kept.schema == docs.schema
+    ids = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in kept.collect())
+    wanted = [*range(200), *(found[t][0] for t, good in cases.items() if good), long_id]
+    assert [i for null, i, _ in ids if not null] == sorted(wanted)
+    assert [t for null, _, t in ids if null] == ["the of and to in is"]
+    assert langid.accepted(docs.limit(0)).count() == 0
+    assert langid.accepted(docs, least=0.0).count() == len(ids) + 3  # the texts of noise with a letter
+
+
+def test_languages_bounded(spark):
+    """The languages of most rows are learned, ties to the first in order; null ids take part like others."""
+    docs = spark.createDataFrame([(None if i == 1 else i, f"text {lang} of some words", lang) for i, lang in enumerate("ccccbbbaaad")], "doc_id long, text string, lang string")
+    assert langid.fit(docs)[0] == list("abcd")
+    assert langid.fit(docs, most=2)[0] == ["a", "c"]
+
+
 def test_bpe_repairs_joins():
     """Joins that disagree are encoded as one: a tokenizer whose words reach across white space would be right too."""
     coder = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
