@@ -147,10 +147,12 @@ def learn_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted for every document.
 
-    The network learns from about ``sample_rows`` labelled rows at most, the rows of the smallest
-    hashes of doc_id, none of them held out; its word vectors come from all texts. Null and empty
-    texts get the score of a document of no tokens. Without two classes to learn from, every score
-    is the mean label, or 0.5. Repeated rows repeat; other columns are ignored.
+    The network learns from about ``sample_rows`` labelled ids at most, those of the smallest hashes,
+    none of them held out, with one document for each: where several share an id, the one of the least
+    vector. An id with several labels has the larger. Word vectors come from all texts. Null and empty
+    texts get the score of a document of no tokens; a null doc_id is scored, has no label and isn't held out.
+    Without two classes to learn from, as in an empty table, every score is the mean label, or 0.5.
+    Repeated rows repeat; other columns are ignored.
     """
     wanted = learn_rows(docs, labels)
     n = wanted.count()
@@ -161,11 +163,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
             rows = pooled(texts_of(batch), vectors.value)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "quality", "x"])
 
-    # sample_rows bounds the broadcast side
-    fit_rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("text", "quality")
-    sample = fit_rows.mapInArrow(features, "quality int, x binary").toPandas().sort_values(["x", "quality"])
+    # sample_rows bounds the broadcast side and, with one vector an id, what the driver gets
+    fit_rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("text", "doc_id", "quality")
+    single = fit_rows.mapInArrow(features, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    sample = single.select("quality", "x").toPandas().sort_values(["x", "quality"])
     y = sample["quality"].to_numpy(float)
     x = np.stack([np.frombuffer(r, np.float32) for r in sample["x"]]).astype(float) if len(y) else np.zeros((0, WIDTH))
     constant = None if len(set(y)) == 2 else float(y.mean()) if len(y) else 0.5
