@@ -52,17 +52,25 @@ def released(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
-def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+def hot_from(total: int, parts: int = 1000, many: int = 1_000_000, most: int = 500_000) -> float:
+    """More rows than this make a key hot, of ``total``: more than one in ``parts``, or than ``many``.
+
+    Fewer than ``total`` divided by it can be hot; of huge tables it is raised until that is ``most``, a bound for a broadcast.
+    """
+    return min(total / parts, max(many, total / most))
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], **bounds: int) -> DataFrame:
     """``rows`` joined with ``values``: a row for each key and, as ``times``, how many rows have it at least.
 
-    A key of more than one in ``parts`` of those rows would fill a task. There are fewer than ``parts`` such keys,
-    whatever the data, so their values are broadcast and their rows stay where they are; the others are shuffled.
-    ``values`` must be a written table.
+    Keys of many rows would fill a task. ``hot_from`` bounds the number of such keys, whatever the data, so their
+    values are broadcast and their rows stay where they are; the others are shuffled. ``values`` must be a written
+    table of narrow rows.
     """
-    total = values.agg(F.sum("times")).first()[0] or 0
-    hot = values.where(F.col("times") * parts > total)
+    least = hot_from(values.agg(F.sum("times")).first()[0] or 0, **bounds)
+    hot = values.where(F.col("times") > least)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rest.join(values.where(F.col("times") * parts <= total), keys).unionByName(rows.join(F.broadcast(hot), keys))
+    return rest.join(values.where(F.col("times") <= least), keys).unionByName(rows.join(F.broadcast(hot), keys))
 
 
 def row_hashes(text) -> list:

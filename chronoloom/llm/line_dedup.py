@@ -7,7 +7,8 @@ two variants without the same place equal, an inserted one makes a variant equal
 edit leaves the first or the last half of a line alone, so lines of which no half stands in another
 line of fitting length emit nothing, and the others only the variants of the other half. Equal
 variants are joined by the earliest line of each key, an aggregate, never as pairs; what matches is
-verified as an edit distance of one between the words themselves.
+verified as an edit distance of one between the words themselves. Halves, variants and lines that very many
+rows have are joined where those rows stand (``spread_join``), so that none fills a task.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Spans, hash_words, mix, released, row_hashes, signed, small_batches, texts_of, written
+from .common import Spans, hash_words, mix, released, row_hashes, signed, small_batches, spread_join, texts_of, written
 
 NEAR = 8
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -150,26 +151,28 @@ def _decided(keyed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     Also the written tables it is read from, for release.
     """
     seen = written(_lines(keyed))
-    firsts = written(seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves")))
+    firsts = written(seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves"), F.count("*").alias("times")))
     distinct = firsts.where(f"n >= {NEAR}").select("first.*", F.posexplode("halves").alias("bit", "half"))
-    twice = distinct.groupBy("half").agg(F.count("*").alias("times")).where("times > 1").select("half")
-    asked = distinct.join(twice, "half").groupBy(*ROW, "line_no").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
+    twice = written(distinct.groupBy("half").agg(F.count("*").alias("times")).where("times > 1"))
+    asked = spread_join(distinct, twice, ["half"]).groupBy(*ROW, "line_no").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
     lines = written(_variants(asked, keyed))
     rows = lines.select(at().alias("at"), F.explode(F.arrays_zip("kinds", "keys")).alias("v")).select("at", "v.kinds", "v.keys")
-    least = rows.groupBy("keys").agg(*[F.min(F.when(F.col("kinds") == k, F.col("at"))).alias(f"m{k}") for k in range(3)], F.count("*").alias("times")).where("times > 1")
+    least = written(rows.groupBy("keys").agg(*[F.min(F.when(F.col("kinds") == k, F.col("at"))).alias(f"m{k}") for k in range(3)], F.count("*").alias("times")).where("times > 1"))
     other = F.when(F.col("kinds") == 0, F.col("m0")).when(F.col("kinds") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = rows.join(least, "keys").select("at", other.alias("first")).where("first < at").distinct()
+    pairs = spread_join(rows, least, ["keys"]).select("at", other.alias("first")).where("first < at").distinct()
     near = _verified(pairs, lines).select(at().alias("first"), "keep")
-    groups = firsts.select("h", "g", "n", "first").join(near, "first", "left")
+    # lines that stand once and are near none leave here, before all lines are joined
+    groups = written(firsts.select("h", "g", "n", "first", "times").join(near, "first", "left").where("times > 1 OR keep IS NOT NULL"))
     is_first = at() == F.col("first")
-    found = seen.join(groups, ["h", "g", "n"]).where(~is_first | F.col("keep").isNotNull()).select(
+    found = spread_join(seen, groups, ["h", "g", "n"]).where(~is_first | F.col("keep").isNotNull()).select(
         *ROW,
         "line_no",
         F.when(is_first, F.col("keep.keep_doc_id")).otherwise(F.col("first.doc_id")).alias("keep_doc_id"),
         F.when(is_first, F.col("keep.keep_line_no")).otherwise(F.col("first.line_no")).alias("keep_line_no"),
         F.when(is_first, 1).otherwise(0).alias("edits"),
     )
-    return found, [seen, firsts, lines]
+    released(twice, least, lines, firsts)  # groups is written
+    return found, [seen, groups]
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:

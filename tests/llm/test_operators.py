@@ -638,14 +638,46 @@ def test_bpe_repairs_joins():
 
 
 def test_spread_join(spark):
-    from chronoloom.llm.common import spread_join, written
+    from chronoloom.llm.common import hot_from, spread_join, written
 
-    rows = spark.createDataFrame([(1, k) for k in range(500)] + [(k, k) for k in range(2, 90)] + [(None, 7)], "key long, x long")
+    rows = spark.createDataFrame([(1, k) for k in range(500)] + [(k, k) for k in range(2, 90)] + [(None, 7)], "key long, x long").repartition(6, "x")
     values = written(rows.where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("times")).where("key % 3 <> 0"))
-    for parts in (2, 1000):
-        found = sorted((r.key, r.x, r.times) for r in spread_join(rows, values, ["key"], parts).collect())
+    for bounds in ({"parts": 2}, {"parts": 1000}, {"parts": 1, "many": 100}, {"parts": 1, "many": 1, "most": 3}):
+        joined = spread_join(rows, values, ["key"], **bounds)
+        found = sorted((r.key, r.x, r.times) for r in joined.collect())
         assert found == sorted([(1, k, 500) for k in range(500)] + [(k, k, 1) for k in range(2, 90) if k % 3])
+        tasks = [r["count"] for r in joined.where("key = 1").groupBy(F.spark_partition_id()).count().collect()]
+        assert len(tasks) == 6 and max(tasks) < 2 * sorted(tasks)[3]  # the rows of a hot key stay where they are
     assert spread_join(rows, values.limit(0), ["key"]).count() == 0
+    assert hot_from(10**6) == 1000 and hot_from(10**10) == 10**6 and hot_from(10**13) == 2 * 10**7
+    assert all(total / hot_from(total) <= 500_000 for total in (10**4, 10**9, 10**12, 10**15))
+
+
+def test_line_dedup_hot_line(spark):
+    """A line of nine tenths of all rows, its near variants and a half that all others share: the earliest stays."""
+    hot = "one two three four five six seven eight nine"
+    texts = [hot] * 270 + [f"one two three four five w{i} x{i} y{i} z{i}" for i in range(20)] + [hot.replace("nine", f"n{i}") for i in range(10)]
+    ids = list(range(300, 0, -1))
+    found = {(r.doc_id, r.line_no): (r.keep_doc_id, r.edits) for r in line_dedup.repeated_lines(frame(spark, texts, ids=ids)).collect()}
+    # ids 1-10 are the near variants: 2-10 are one edit from 1; the hot lines, 31-300, are an edit from 1 or equal to 31
+    assert {k[0] for k in found} == {*range(2, 11), *range(31, 301)}
+    assert all(found[i, 0] == (1, 1) for i in range(2, 11)) and found[31, 0] == (1, 1)
+    assert all(found[i, 0] == (31, 0) for i in range(32, 301))
+
+
+def test_quality_sample_bounded(spark, monkeypatch):
+    """Labelled ids that repeat count once in the sample; null ids are scored and have no label."""
+    rng = random.Random(5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once = frame(spark, [prose(rng, 60) for _ in range(40)])
+    again = once.unionByName(once.where("doc_id < 30")).unionByName(once.where("doc_id = 1").withColumn("text", F.lit("other")))
+    again = again.unionByName(once.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    learned, begin = [], quality.Network.__init__
+    monkeypatch.setattr(quality.Network, "__init__", lambda self, x, y: (learned.append(list(y)), begin(self, x, y))[1])
+    found = quality.quality_scores(again, labels).collect()
+    assert len(found) == 72 and [r.held_out for r in found if r.doc_id is None] == [False]
+    kept = [i % 2 for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    assert sorted(learned[0]) == sorted(kept)
 
 
 def test_pipeline(spark, tmp_path, corpus):
