@@ -1,6 +1,6 @@
 """A cleaning pipeline over ``documents``: five stages, each one of the training-data operators.
 
-Language ID drops documents whose language can't be told; line dedup removes lines that an earlier
+Language ID drops documents that no learned language describes; line dedup removes lines that an earlier
 line repeats; the Jaccard join leaves one document of each group of near duplicates; benchmark
 decontamination drops documents that hold a benchmark item; BPE encodes and decodes what is left.
 Clean documents stay. All stages but the last return the columns of documents.
@@ -17,12 +17,18 @@ from chronoloom.llm.queries import table, vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that language ID gives ``und`` go: those without a letter. Where no language can be learned, the others stay."""
+    """Rows go of which the learned languages hold under a tenth, noise the rest, and texts that are null or without a letter.
+
+    Where no language can be learned, all rows with a letter stay. Very long texts are judged whole; a null doc_id is one like others.
+    """
     return langid.accepted(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines leave the texts, n_chars follows; a document that they leave without a word goes."""
+    """Repeated lines leave the texts, n_chars follows; a document that they leave without a word goes.
+
+    A null text has no lines and stays; very long texts are whole; rows without a doc_id count as the last.
+    """
     kept = line_dedup.drop_repeated_lines(docs)
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
@@ -45,7 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold 0.8 of a benchmark item's shingles go, whatever their doc_id; each row of benchmark is an item."""
+    """Rows that hold 0.8 of a benchmark item's shingles go, whatever their doc_id; each row of benchmark is an item.
+
+    Null texts hold nothing and stay, as all rows do if benchmark is empty; very long texts are whole.
+    """
     rows = _numbered(docs)
     items = _numbered(table(spark, sf_dir, "benchmark")).select(F.col("key").alias("item_id"), "row.text")
     leaks = decontaminate.contained_items(rows.select(F.col("key").alias("doc_id"), "row.text"), items).select(F.col("doc_id").alias("key")).distinct()
