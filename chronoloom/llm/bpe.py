@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,14 @@ from pyspark.sql import functions as F
 from .common import mix, small_batches, texts_of
 
 _MASK = np.uint64(127)  # a chunk has about 128 words
-_WORDS, _SHORT = 160_000, 64  # words of one of two generations of their memo (about 300 bytes each), and their longest
-_MEMO, _LONG = 12 << 20, 4096  # bytes of one generation of a memo; longer keys aren't kept
+_WORDS, _SHORT = 200_000, 64  # words of one of two generations of their memo (about 130 bytes each), and their longest
+_CALL = 1024  # words or chunks in one call of the library, whose results are about a kilobyte each while it lasts
+_MEMO, _LONG = 6 << 20, 4096  # bytes of one generation of a memo; longer keys aren't kept
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _HEAD = re.compile(rb"[ \t-\r]*[^ \t-\r]*")
 
-Part = tuple[int, str, str]  # number of ids, ids joined by a space, decoded text
+Part = bytes  # the ids, as int32: strings are made once for a whole text
 
 
 class Memo:
@@ -68,26 +70,35 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         if self.tokenizer.decoder is not None:
             raise ValueError("only tokenizers whose decode() joins the tokens by a space")
-        self.names = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.names = np.full(max(vocab.values(), default=-1) + 1, "", object)
+        self.names[list(vocab.values())] = list(vocab)
+        self.digits = np.array([str(i) for i in range(len(self.names))], object)
         self.words: dict[bytes, Part] = {}
         self.older: dict[bytes, Part] = {}
         self.chunks, self.joins = Memo(), Memo(_MEMO // 3)
 
-    def encoded(self, parts: Iterable[bytes]) -> list:
-        return self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts], add_special_tokens=False)
-
     def raw(self, parts: list[bytes]) -> list[Part]:
-        return [(len(ids := e.ids), " ".join(map(str, ids)), " ".join([self.names[i] for i in ids])) for e in self.encoded(parts)]
+        """The parts of what the library encodes, each for itself."""
+        out = []
+        for at in range(0, len(parts), _CALL):
+            texts = [p.decode("utf-8", "replace") for p in parts[at : at + _CALL]]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            data = np.fromiter(chain.from_iterable(ids), np.int32).tobytes()
+            ends = np.cumsum([4 * len(x) for x in ids]).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends)]
+        return out
 
     @staticmethod
-    def joined(parts: list[Part]) -> Part:
-        parts = [p for p in parts if p[0]]
-        return sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+    def spelled(names: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """For each text, which has so many of the ids, their names joined by a space."""
+        flat, ends = names[ids].tolist(), np.cumsum(counts).tolist()
+        return [" ".join(flat[a:b]) for a, b in zip([0, *ends], ends)]
 
     def known(self, words: set[bytes]) -> dict[bytes, Part]:
-        """The parts of words: those in the memo as they are, the others by the library in one batch."""
+        """The parts of words: those in the memo as they are, the others by the library."""
         now, old = self.words, self.older
-        parts = {w: p for w in words if (p := now.get(w) or old.get(w))}
+        parts = {w: p for w in words if (p := now.get(w)) is not None or (p := old.get(w)) is not None}
         new = [w for w in words if w not in parts]
         parts.update(zip(new, self.raw(new)))
         if len(now) + len(parts) > _WORDS:
@@ -102,7 +113,7 @@ class ChunkEncoder:
         marks = {w for w in parts if w[0] >= 0xCC and unicodedata.category(w.decode("utf-8", "replace")[0]).startswith("M")}
         whole = [k for k, words in enumerate(split) if marks and not marks.isdisjoint(words)]
         made = dict(zip(whole, self.raw([chunks[k] for k in whole])))
-        return [made.get(k) or self.joined([parts[w] for w in words]) for k, words in enumerate(split)]
+        return [made[k] if k in made else b"".join(map(parts.__getitem__, words)) for k, words in enumerate(split)]
 
     @staticmethod
     def cut(text: bytes) -> list[bytes]:
@@ -126,9 +137,8 @@ class ChunkEncoder:
         good = {s: k for s in seams if (k := self.joins.get(b"\0".join(s))) is not None}
         new = [s for s in seams if s not in good]
         parts = self.known({x.strip() for s in new for x in s})
-        for (a, b), e in zip(new, self.encoded(a + b for a, b in new)):
-            apart = self.joined([parts[a], parts[b.strip()]])
-            good[a, b] = (len(e.ids), " ".join(map(str, e.ids))) == apart[:2]
+        for (a, b), both in zip(new, self.raw([a + b for a, b in new])):
+            good[a, b] = both == parts[a] + parts[b.strip()]
             self.joins.put(b"\0".join((a, b)), good[a, b], len(a) + len(b))
         return {s for s, k in good.items() if k}
 
@@ -151,8 +161,8 @@ class ChunkEncoder:
         new = [k for k in keys if k not in parts]
         for k, p in zip(new, self.fresh(new)):
             parts[k] = p
-            self.chunks.put(k, p, len(k) + len(p[1]) + len(p[2]))
-        return [self.joined([parts[k] for k in g]) for g in groups]
+            self.chunks.put(k, p, len(k) + len(p))
+        return [b"".join([parts[k] for k in g]) for g in groups]
 
 
 @lru_cache(maxsize=2)
@@ -185,15 +195,15 @@ def _mapped(docs: DataFrame, path: str, digest: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder_of(path)
-        for batch in small_batches(batches, 2 << 20):
+        for batch in small_batches(batches, 1 << 20):
             parts = coder.encode_all([t or "" for t in texts_of(batch)])
-            counts = np.array([n for n, _, _ in parts], np.int64)
+            counts, ids = np.array([len(p) // 4 for p in parts], np.int64), np.frombuffer(b"".join(parts), np.int32)
+            decoded = coder.spelled(coder.names, ids, counts)
             if digest:
-                made = [pa.array([_sha(ids) for _, ids, _ in parts], pa.string()), pa.array([_sha(text) for _, _, text in parts], pa.string())]
+                made = [pa.array([_sha(text) for text in texts], pa.string()) for texts in (coder.spelled(coder.digits, ids, counts), decoded)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), *made], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                ids = np.fromstring(" ".join([ids for _, ids, _ in parts]), np.int32, sep=" ")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), lists, pa.array([text for _, _, text in parts], pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), lists, pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

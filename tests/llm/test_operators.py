@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -637,6 +638,20 @@ def test_bpe_repairs_joins():
     assert fresh.encode_all([text])[0] == want and asked == [text.encode()]
 
 
+def test_bpe_memory():
+    """A word is kept in under 180 bytes, and words without ids are kept too (before: 255 bytes, now 124)."""
+    coder = bpe.ChunkEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    coder.known({b"warm"})
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(20_000)]
+    tracemalloc.start()
+    coder.known({w.encode() for w in words} | {b"\xc2\x85"})
+    kept = tracemalloc.get_traced_memory()[0] / len(words)
+    tracemalloc.stop()
+    coder.raw = lambda parts: [1 / 0 for _ in parts]
+    assert len(coder.known({w.encode() for w in words[:50]} | {b"\xc2\x85"})) == 51 and kept < 180
+
+
 def test_spread_join(spark):
     from chronoloom.llm.common import hot_from, spread_join, written
 
