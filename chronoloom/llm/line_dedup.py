@@ -8,7 +8,9 @@ edit leaves the first or the last half of a line alone, so lines of which no hal
 line of fitting length emit nothing, and the others only the variants of the other half. Equal
 variants are joined by the earliest line of each key, an aggregate, never as pairs; what matches is
 verified as an edit distance of one between the words themselves. Halves, variants and lines that very many
-rows have are joined where those rows stand (``spread_join``), so that none fills a task.
+rows have are joined where those rows stand (``spread_join``), so that none fills a task. Lines go by a number
+there, not by document, text hashes and place, which would be most of what is moved; the numbers of lines with
+variants are in the order of the lines, so the smallest is the earliest.
 """
 
 from __future__ import annotations
@@ -113,7 +115,7 @@ def one_edit(a: list[bytes], b: list[bytes]) -> bool:
 
 
 def _variants(asked: DataFrame, keyed: DataFrame) -> DataFrame:
-    """(doc_id, line_no, th, tg, line, kinds, keys) of the asked lines."""
+    """(id, doc_id, line_no, th, tg, line, kinds, keys) of the asked lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 2 << 20):
@@ -124,13 +126,14 @@ def _variants(asked: DataFrame, keyed: DataFrame) -> DataFrame:
                     line = lines[w["line_no"]]
                     made = variant_keys(hash_words(line)[0], w["shared"])
                     kinds = np.concatenate([np.full(len(k), kind, np.int32) for kind, k in made])
-                    rows.append((doc, w["line_no"], th, tg, line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["doc_id", "line_no", "th", "tg", "line", "kinds", "keys"])
+                    rows.append((w["id"], doc, w["line_no"], th, tg, line.decode("utf-8", "surrogatepass"), kinds, signed(np.concatenate([k for _, k in made]))))
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], ["id", "doc_id", "line_no", "th", "tg", "line", "kinds", "keys"])
 
-    lists = asked.groupBy(*ROW).agg(F.collect_list(F.struct("line_no", "shared")).alias("wanted"))
-    rows = keyed.join(lists, ROW).select(*ROW, "text", "wanted")
-    return rows.mapInArrow(run, "doc_id long, line_no int, th long, tg long, line string, kinds array<int>, keys array<long>")
+    lists = asked.groupBy(*ROW).agg(F.collect_list(F.struct("line_no", "shared", "id")).alias("wanted"))
+    # texts are shuffled at every size, so that small runs show what large ones move; a table this narrow would be broadcast by its compressed size
+    rows = keyed.join(lists.hint("merge"), ROW).select(*ROW, "text", "wanted")
+    return rows.mapInArrow(run, "id long, doc_id long, line_no int, th long, tg long, line string, kinds array<int>, keys array<long>")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -139,9 +142,9 @@ def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             good = [one_edit(a.encode().split(), b.encode().split()) for a, b in zip(texts_of(batch, "line"), texts_of(batch, "other"))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    left = pairs.join(lines.select(at().alias("at"), "line"), "at")
-    both = left.join(lines.select(at().alias("first"), F.col("line").alias("other")), "first")
-    flat = both.select("at.*", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.line_no").alias("keep_line_no"), "line", "other")
+    left = pairs.join(lines.select("id", *ROW, "line_no", "line"), "id")
+    both = left.join(lines.select(F.col("id").alias("first"), F.col("doc_id").alias("keep_doc_id"), F.col("line_no").alias("keep_line_no"), F.col("line").alias("other")), "first")
+    flat = both.select(*ROW, "line_no", "keep_doc_id", "keep_line_no", "line", "other")
     return flat.mapInArrow(run, flat.schema).groupBy(*ROW, "line_no").agg(F.min(F.struct("keep_doc_id", "keep_line_no")).alias("keep"))
 
 
@@ -151,15 +154,18 @@ def _decided(keyed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     Also the written tables it is read from, for release.
     """
     seen = written(_lines(keyed))
-    firsts = written(seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves"), F.count("*").alias("times")))
-    distinct = firsts.where(f"n >= {NEAR}").select("first.*", F.posexplode("halves").alias("bit", "half"))
+    firsts = seen.groupBy("h", "g", "n").agg(F.min(at()).alias("first"), F.min("halves").alias("halves"), F.count("*").alias("times"))
+    firsts = written(firsts.withColumn("number", F.monotonically_increasing_id()))
+    distinct = firsts.where(f"n >= {NEAR}").select("number", F.posexplode("halves").alias("bit", "half"))
     twice = written(distinct.groupBy("half").agg(F.count("*").alias("times")).where("times > 1"))
-    asked = spread_join(distinct, twice, ["half"]).groupBy(*ROW, "line_no").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
+    shared = spread_join(distinct, twice, ["half"]).groupBy("number").agg(F.sum(F.expr("shiftleft(1, bit)")).cast("int").alias("shared"))
+    asked = firsts.select("number", "first.*").join(shared, "number").orderBy("doc_id", "line_no", "th", "tg")
+    asked = written(asked.select(F.monotonically_increasing_id().alias("id"), *ROW, "line_no", "shared"))  # in the order of at()
     lines = written(_variants(asked, keyed))
-    rows = lines.select(at().alias("at"), F.explode(F.arrays_zip("kinds", "keys")).alias("v")).select("at", "v.kinds", "v.keys")
-    least = written(rows.groupBy("keys").agg(*[F.min(F.when(F.col("kinds") == k, F.col("at"))).alias(f"m{k}") for k in range(3)], F.count("*").alias("times")).where("times > 1"))
+    rows = lines.select("id", F.explode(F.arrays_zip("kinds", "keys")).alias("v")).select("id", "v.kinds", "v.keys")
+    least = written(rows.groupBy("keys").agg(*[F.min(F.when(F.col("kinds") == k, F.col("id"))).alias(f"m{k}") for k in range(3)], F.count("*").alias("times")).where("times > 1"))
     other = F.when(F.col("kinds") == 0, F.col("m0")).when(F.col("kinds") == 1, F.col("m2")).otherwise(F.col("m1"))
-    pairs = spread_join(rows, least, ["keys"]).select("at", other.alias("first")).where("first < at").distinct()
+    pairs = spread_join(rows, least, ["keys"]).select("id", other.alias("first")).where("first < id").distinct()
     near = _verified(pairs, lines).select(at().alias("first"), "keep")
     # lines that stand once and are near none leave here, before all lines are joined
     groups = written(firsts.select("h", "g", "n", "first", "times").join(near, "first", "left").where("times > 1 OR keep IS NOT NULL"))
@@ -171,7 +177,7 @@ def _decided(keyed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         F.when(is_first, F.col("keep.keep_line_no")).otherwise(F.col("first.line_no")).alias("keep_line_no"),
         F.when(is_first, 1).otherwise(0).alias("edits"),
     )
-    released(twice, least, lines, firsts)  # groups is written
+    released(twice, asked, least, lines, firsts)  # groups is written
     return found, [seen, groups]
 
 

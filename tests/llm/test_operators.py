@@ -668,6 +668,24 @@ def test_spread_join(spark):
     assert all(total / hot_from(total) <= 500_000 for total in (10**4, 10**9, 10**12, 10**15))
 
 
+def test_line_dedup_moves_numbers(spark, monkeypatch):
+    """Lines go by one number through the joins of halves and variants (before: 28 bytes of names), and the earliest stays."""
+    moved = {}
+
+    def joined(rows, values, keys, real=line_dedup.spread_join, **bounds):
+        moved[keys[0]] = {f.name: f.dataType.simpleString() for f in [*rows.schema, *values.schema]}
+        return real(rows, values, keys, **bounds)
+
+    monkeypatch.setattr(line_dedup, "spread_join", joined)
+    words = "one two three four five six seven eight nine".split()
+    texts = {900: words, 7: [*words[:3], "x", *words[4:]], -5: [*words[:3], "y", *words[4:]], 20_000_000_000: words[:8], 31: [*words, "ten"], 8: ["a", *words]}
+    docs = spark.createDataFrame([(k, "other\n" * (k == -5) + " ".join(w)) for k, w in texts.items()] + [(7, " ".join(words[1:]))], "doc_id long, text string").repartition(5)
+    found = sorted(tuple(r) for r in line_dedup.repeated_lines(docs).collect())
+    assert found == [(7, 0, -5, 1, 1), (900, 0, -5, 1, 1), (20_000_000_000, 0, 900, 0, 1)]
+    assert moved["half"].keys() == {"number", "bit", "half", "times"} and moved["keys"].keys() == {"id", "kinds", "keys", "m0", "m1", "m2", "times"}
+    assert {moved["keys"][k] for k in ("id", "m0", "m1", "m2")} == {"bigint"}
+
+
 def test_line_dedup_hot_line(spark):
     """A line of nine tenths of all rows, its near variants and a half that all others share: the earliest stays."""
     hot = "one two three four five six seven eight nine"
