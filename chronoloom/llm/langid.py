@@ -153,6 +153,19 @@ def predict(docs: DataFrame, langs: list[str], log_p: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, n_langs int")
 
 
+def fitting(batches: Iterator[pa.RecordBatch], log_p: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """The rows with a letter of which noise, the last of ``log_p``, holds 1 - ``least`` at most; all with a letter if it is alone.
+
+    Batches are of 256 KB, since EM takes about sixty times that and the worker goes on to the stages that follow.
+    """
+    for batch in small_batches(batches, 1 << 18):
+        texts = texts_of(batch)
+        good = np.array([has_letter(t) for t in texts], bool)
+        if len(log_p) > 1 and good.any():
+            good[good] = mixtures([texts[i] for i in np.flatnonzero(good)], log_p)[:, -1] <= 1 - least
+        yield batch.filter(pa.array(good, pa.bool_()))
+
+
 def accepted(docs: DataFrame, least: float = 0.1) -> DataFrame:
     """The rows of ``docs``, all columns, that are written in the learned languages; the others go. Fits on ``docs`` itself.
 
@@ -166,12 +179,7 @@ def accepted(docs: DataFrame, least: float = 0.1) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(with_noise(langs, log_p)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, 1 << 20):
-            texts = texts_of(batch)
-            good = np.array([has_letter(t) for t in texts], bool)
-            if langs and good.any():
-                good[good] = mixtures([texts[i] for i in np.flatnonzero(good)], model.value)[:, -1] <= 1 - least
-            yield batch.filter(pa.array(good, pa.bool_()))
+        yield from fitting(batches, model.value, least)
 
     return docs.mapInArrow(run, docs.schema)
 
